@@ -54,3 +54,40 @@ def blocks_for(n: int, each: int) -> int:
     return max(1, -(-int(n) // each))
 
 
+
+
+#: Words of the bitmap of ``may_hold``: 2^16 longs, 2^22 bits, at any size of the data.
+BITMAP_WORDS = 1 << 16
+
+
+def may_hold(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` without most rows whose ``key`` is not in ``ids`` (one column of the same name); none that is there is lost.
+
+    The ids are folded into a bitmap of fixed size, which is small enough to be broadcast however many ids there are; as
+    it fills up it lets more rows through.  It spares a shuffle of large rows before the exact semi join.
+    """
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_WORDS * 64))
+    bits = ids.select((at / 64).cast("int").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("_bit"))
+    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = df.withColumn("_word", (at / 64).cast("int")).withColumn("_at", (at % 64).cast("int"))
+    found = found.join(F.broadcast(bits), "_word").where(F.expr("getbit(_bits, _at) = 1"))
+    return found.select(*df.columns)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Smallest reachable id of every id in ``edges`` (a, b): columns id, label.
+
+    Every round takes the least label among the neighbours and then the label of the label, so that paths halve; each
+    round is settled, and only the number of changed labels comes to the driver.
+    """
+    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a"))
+    labels = settle(both.groupBy("id").agg(F.least("id", F.min("other")).alias("label")))
+    both = settle(both)
+    while True:
+        near = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
+        step = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
+        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        step = settle(step.join(jump, "label", "left").select("id", F.coalesce("further", "label").alias("label"), "was"))
+        labels = step.select("id", "label")
+        if not step.where("label <> was").limit(1).count():
+            return labels
