@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, ngram_join, sharding
+from . import media, mixing, ngram_join, quality, sharding
 from .common import table
 
 
@@ -29,11 +29,16 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_quality_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_mix_sources": op2_mix_sources,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op9_shards": op9_shards,
+    "op10_quality_field": op10_quality_field,
 }
 
 ORACLE_SQL: dict[str, str] = {}
