@@ -204,7 +204,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield batch_of(pieces, id_type)
 
     def round_two(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        filler = WindowFiller(dict(targets), lambda k: (((1 << 24) | key[0]) << 32) | k, window)
+        filler = WindowFiller(dict(targets), lambda k: (((1 << 24) | int(key[0])) << 32) | k, window)
         group = group.sort_values(["lane", "doc_id", "start"])
         for r in group.itertuples():
             filler.add(r.source, r.doc_id, np.frombuffer(r.ids, np.uint32), r.start, r.doc_tokens)
