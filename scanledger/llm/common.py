@@ -60,18 +60,25 @@ def blocks_for(n: int, each: int) -> int:
 BITMAP_WORDS = 1 << 16
 
 
+def _bit_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_WORDS * 64))
+    word, bit = (at / 64).cast("int"), (at % 64).cast("int")
+    bits = ids.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    return df.withColumn("_word", word).withColumn("_at", bit).join(F.broadcast(bits), "_word", "left")
+
+
 def may_hold(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``df`` without most rows whose ``key`` is not in ``ids`` (one column of the same name); none that is there is lost.
+    """``df`` without most rows whose ``key`` is not in ``ids`` (a column of the same name); none that is there is lost.
 
     The ids are folded into a bitmap of fixed size, which is small enough to be broadcast however many ids there are; as
-    it fills up it lets more rows through.  It spares a shuffle of large rows before the exact semi join.
+    it fills up it lets more rows through.  It spares a shuffle of large rows before the exact join.
     """
-    at = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_WORDS * 64))
-    bits = ids.select((at / 64).cast("int").alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("_bit"))
-    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    found = df.withColumn("_word", (at / 64).cast("int")).withColumn("_at", (at % 64).cast("int"))
-    found = found.join(F.broadcast(bits), "_word").where(F.expr("getbit(_bits, _at) = 1"))
-    return found.select(*df.columns)
+    return _bit_of(df, key, ids).where("getbit(_bits, _at) = 1").select(*df.columns)
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows that ``may_hold`` drops, rows with a null key among them."""
+    return _bit_of(df, key, ids).where("coalesce(getbit(_bits, _at), 0) = 0").select(*df.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:

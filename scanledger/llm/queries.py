@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media, mixing, ngram_join, packing, quality, sharding
+from . import html_text, media, mixing, ngram_join, packing, quality, repeats, sharding
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_html_text": op3_html_text,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_repeated_strings": op7_repeated_strings,
     "op8_packing": op8_packing,
     "op9_shards": op9_shards,
     "op10_quality_field": op10_quality_field,
