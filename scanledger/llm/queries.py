@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media, mixing, ngram_join, packing, quality, repeats, sharding
-from .common import table
+from . import html_text, line_dedup, media, mixing, ngram_join, packing, quality, repeats, sharding, sketches
+from .common import pick, table
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,27 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketches.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        sketches.as_string("sketch").alias("fingerprint"),
+        sketches.as_string("edited_sketch").alias("edited_fingerprint"),
+        sketches.likeness("sketch", "edited_sketch").alias("near_edited"),
+        sketches.likeness("sketch", "next_sketch").alias("near_next"),
+        sketches.containment("sketch", "edited_sketch").alias("in_edited"),
+        sketches.containment("sketch", "next_sketch").alias("in_next"),
+    )
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    left = line_dedup.without_lines(docs, line_dedup.dedup_lines(docs))
+    return left.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -49,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_mix_sources": op2_mix_sources,
     "op3_html_text": op3_html_text,
+    "op4_fingerprints": op4_fingerprints,
+    "op6_line_dedup": op6_line_dedup,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_repeated_strings": op7_repeated_strings,
     "op8_packing": op8_packing,
