@@ -63,7 +63,8 @@ BITMAP_WORDS = 1 << 16
 def _bit_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     at = F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_WORDS * 64))
     word, bit = (at / 64).cast("int"), (at % 64).cast("int")
-    bits = ids.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    bits = ids.where(F.col(key).isNotNull()).groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    word = F.when(F.col(key).isNotNull(), word)
     return df.withColumn("_word", word).withColumn("_at", bit).join(F.broadcast(bits), "_word", "left")
 
 

@@ -217,6 +217,24 @@ def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", tex
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def keep_good(docs: DataFrame, field: LineField, text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``least``."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [np.zeros(0)]
+            for x, length, lines in documents_features([(t or "").encode() for t in batch.column(at).to_pylist()]):
+                good, _, _ = field.marginals(x, lines)
+                weight = np.maximum(length, 1)
+                of_doc = np.repeat(np.arange(len(lines)), lines)
+                scores.append(np.bincount(of_doc, good * weight) / np.bincount(of_doc, weight))
+            yield batch.filter(pa.array(np.concatenate(scores) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     field = fit_quality(docs, labels)
