@@ -388,3 +388,40 @@ def big_merge(spark, d):
     new = rows.where("night >= '1997-01-01'").groupBy("finding_id").agg(F.lit(True).alias("seen"))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return old.join(new, "finding_id", "full_outer").select("finding_id", day(F.coalesce("a", clock)).alias("first_night"), day(F.when(F.col("seen"), clock).otherwise(F.col("z"))).alias("last_night"))
+
+
+# SARIF documents, files that are read back, and the incremental fold
+
+
+@query(None)
+def sarif_documents(spark, d):
+    from ..sources.io import sarif_documents as documents
+
+    shown = v.published(spark, d)
+    fired = publish.sarif_rules(shown, rule_dimension(spark))
+    return documents(publish.sarif_results(shown, fired), fired)
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS name, url AS repo_url FROM pages")
+def registry_pages(spark, d):
+    from ..sources.io import parse_registry_pages
+
+    server = F.struct(F.struct(F.col("page_id").cast("string").alias("name"), F.struct("url").alias("repository")).alias("server"))
+    pages = v.table(spark, d, "pages").groupBy((F.col("page_id") % 16).alias("p")).agg(F.collect_list(server).alias("servers"))
+    return parse_registry_pages(pages.select(F.to_json(F.struct("servers")).alias("value")))
+
+
+@query(None)
+def merge_stream(spark, d):
+    import tempfile
+    import uuid
+
+    from ..streaming.merge_stream import merge_stream as run
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    base = f"{shared.rstrip('/')}/merge-{uuid.uuid4().hex}"
+    rows = v.findings(spark, d).where("night >= '2024-01-26'").select(*history.FIELDS, "night")
+    names = ["server_id", "commit_sha", "rule_id", "severity", "confidence", "file", "line", "evidence", "finding_id", "night"]
+    rows.select(*names).repartitionByRange(4, "night").write.parquet(f"{base}/landing")
+    out = run(spark, f"{base}/landing", f"{base}/state", f"{base}/checkpoint", files_per_batch=2)
+    return stamped(out.select("finding_id", "server_id", "rule_id", "first_seen", "last_seen"), "first_seen", "last_seen")
