@@ -63,9 +63,9 @@ def state_counts(stated: DataFrame) -> DataFrame:
 
 def publish_findings(stated: DataFrame, tonight: Column) -> DataFrame:
     """Tonight's publishable rows, and rows no longer seen that stay visible, marked with when they were seen last."""
-    seen = stated.where((F.col("last_seen") == tonight) & F.col("disclosure_state").isin(PUBLISHABLE)).withColumn("no_longer_seen_since", F.lit(None).cast("string"))
-    unseen = stated.where((F.col("last_seen") != tonight) & F.col("disclosure_state").isin(SHOWN_UNSEEN)).withColumn("no_longer_seen_since", stamp(F.col("last_seen")))
-    return seen.unionByName(unseen)
+    seen, state = F.col("last_seen") == tonight, F.col("disclosure_state")
+    shown = stated.where((seen & state.isin(PUBLISHABLE)) | (~seen & state.isin(SHOWN_UNSEEN)))
+    return shown.withColumn("no_longer_seen_since", F.when(~seen, stamp(F.col("last_seen"))))
 
 
 def publish_from_history(history: DataFrame, facts: DataFrame, opted_out: DataFrame, generated_at: Column, now: Column) -> DataFrame:

@@ -64,24 +64,21 @@ def carry_moved(merged: DataFrame, now: Column) -> DataFrame:
     """Pair what vanished with what arrived under the same server, rule, file and evidence, in line order.
 
     Only where as many vanished as arrived: the old row goes, the new one takes its first_seen and its chain of ids.
-    The windows run over a hash of the key, and only over rows that vanished or arrived.
+    All windows share one shuffle on a hash of the key, and ``merged`` is read once.
     """
-    key = F.xxhash64(*MOVE_KEY)
-    gone = F.col("last_seen") != now
-    came = (F.col("last_seen") == now) & (F.col("first_seen") == now)
-    per = Window.partitionBy("k", *MOVE_KEY)
-    order = Window.partitionBy("k", *MOVE_KEY).orderBy("line", "finding_id")
-    ranked = lambda df: df.withColumn("k", key).withColumn("rn", F.row_number().over(order)).withColumn("cnt", F.count("*").over(per))
-    old = ranked(merged.where(gone)).select("k", *MOVE_KEY, "rn", "cnt", F.col("finding_id").alias("old_id"), F.col("first_seen").alias("old_first"), F.col("previous_ids").alias("old_chain"))
-    new = ranked(merged.where(came)).select("k", *MOVE_KEY, "rn", "cnt", "finding_id")
-    pairs = new.join(old, ["k", *MOVE_KEY, "rn", "cnt"]).select("finding_id", "old_id", "old_first", "old_chain")
-    left = merged.join(pairs.select(F.col("old_id").alias("finding_id")), "finding_id", "left_anti")
-    moved = left.join(pairs, "finding_id", "left")
-    return moved.select(
-        *[c for c in FIELDS],
-        F.coalesce("old_first", "first_seen").alias("first_seen"),
+    k = F.xxhash64(*MOVE_KEY)
+    side = F.when(F.col("last_seen") != now, "gone").when((F.col("last_seen") == now) & (F.col("first_seen") == now), "came").otherwise("kept")
+    rows = merged.withColumns({"k": k, "side": side})
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("k", *MOVE_KEY, "side").orderBy("line", "finding_id")))
+    same = Window.partitionBy("k", *MOVE_KEY)
+    rows = rows.withColumn("even", F.count_if(F.col("side") == "gone").over(same) == F.count_if(F.col("side") == "came").over(same))
+    old = F.max(F.when(F.col("side") == "gone", F.struct("finding_id", "first_seen", "previous_ids"))).over(Window.partitionBy("k", *MOVE_KEY, "rn"))
+    rows = rows.withColumn("old", F.when(F.col("even") & (F.col("side") == "came"), old))
+    return rows.where("not (side = 'gone' and even)").select(
+        *FIELDS,
+        F.coalesce("old.first_seen", "first_seen").alias("first_seen"),
         "last_seen",
-        F.when(F.col("old_id").isNotNull(), F.concat("old_chain", F.array("old_id"))).otherwise(F.col("previous_ids")).alias("previous_ids"),
+        F.when(F.col("old").isNotNull(), F.concat("old.previous_ids", F.array("old.finding_id"))).otherwise(F.col("previous_ids")).alias("previous_ids"),
     )
 
 
