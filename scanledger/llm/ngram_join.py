@@ -4,10 +4,14 @@
 2.  Documents with the same set form one class, whose smallest id stands for it.  A document's prefix are the first
     n - ceil(t n) + 1 shingles of its set in that order; two documents that link share a shingle of their prefixes.
     Within a task, documents with identical prefixes and size are sent on once, as a group.
-3.  In each prefix shingle's bucket every document is paired with one pivot of like size; pairs are verified on whole
-    texts and linked documents joined to components.  Only documents of different components that still share a bucket
-    are paired with each other (sizes and positions must allow the overlap), expanded and verified.  Links within one
-    component can't change it, so large groups of near copies cost a pair per member and not per pair of members.
+3.  In each prefix shingle's bucket every document meets one pivot of like size; with the pivot it meets in most buckets
+    it is verified on whole texts, and linked documents are joined to components.  Only documents of different
+    components that still share a bucket are paired with each other, expanded and verified.  Links within one component
+    can't change it, so large groups of near copies cost a pair per member and not per pair of members.
+4.  Before texts are fetched, a pair's sizes, the positions of its shared shingle and its parity sketches must allow the
+    overlap.  A parity sketch has bits that are each flipped by the shingles that hash to it, ``PARITY`` of them or 8 or 64
+    times as many for larger sets: two sketches differ in at most as many bits as the sets differ in shingles, which is at
+    most (1 - t) / (1 + t) of the sum of their sizes.
 
 Defined results: a null or wordless text has an empty set and stays alone; a text with fewer words than a shingle has
 the whole sequence as its one shingle; repeated rows are copies; ties do not arise (ids decide); an empty table gives
@@ -30,32 +34,35 @@ from .words import SHINGLE, shingle_set
 
 BINS = 1 << 18
 PERCENT = 80
+PARITY = 1024
 
 
 def _classes(rows: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, sig of each row, and at the end of each task the counts of its shingles by bin."""
+    """doc_id, n_shingles, sig, parity of each row, and at the end of each task the counts of its shingles by bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BINS, np.int64)
-        names = ["doc_id", "n_shingles", "sig", "bin", "hits"]
+        names = ["doc_id", "n_shingles", "sig", "parity", "bin", "hits"]
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            sizes, sigs, places = [], [], [np.zeros(0, np.uint64)]
+            sizes, sigs, places, parity = [], [], [np.zeros(0, np.uint64)], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text or b"", n=n)
                 sizes.append(len(found))
                 sigs.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 places.append(found)
+                bits = PARITY if len(found) <= PARITY else 8 * PARITY if len(found) <= 8 * PARITY else 64 * PARITY
+                parity.append(np.packbits((np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes())
             counts += np.bincount((np.concatenate(places) >> np.uint64(45)).astype(np.int64), minlength=BINS)
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(parity, pa.binary()), none, none], names=names)
         used = np.flatnonzero(counts)
         if kind is not None and len(used):
             m = len(used)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=names)
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, sig binary, bin long, hits long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, sig binary, parity binary, bin long, hits long")
 
 
 def crowded_bins(counts: DataFrame) -> np.ndarray:
@@ -115,6 +122,25 @@ def _prefixes(rows: DataFrame, crowded: np.ndarray, n: int, percent: int) -> Dat
     return rows.mapInArrow(run, f"token long, doc_id {kind}, n int, pos int, member {kind}")
 
 
+def _alike(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and parity sketches allow a link."""
+    x, y = (parities.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("parity").alias(f"p_{s}")) for s in "ab")
+    fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for m, n, p, q in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+                size = min(len(p), len(q))  # a longer sketch folds onto a shorter one
+                p, q = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (p, q))
+                good.append((100 + percent) * int(np.bitwise_count(p ^ q).sum()) <= (100 - percent) * (m + n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    joined = pairs.join(x, "a").join(y, "b").where(fits).select("a", "b", "n_a", "n_b", "p_a", "p_b")
+    return joined.mapInArrow(run, pairs.select("a", "b").schema)
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole texts link."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -158,7 +184,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     binned = buckets.withColumn("bin", size_class)
     pivots = binned.groupBy("token", "bin").agg(F.min("doc_id").alias("pivot"))
-    stars = settle(binned.join(pivots, ["token", "bin"]).where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).union(members.select("member", "doc_id")).distinct())
+    stars = binned.join(pivots, ["token", "bin"]).where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("hits"))
+    stars = stars.groupBy("doc_id").agg(F.max_by("pivot", F.struct("hits", -F.col("pivot"))).alias("pivot"))
+    parities = settle(first.where("sig is not null").select("doc_id", "n_shingles", "parity").dropDuplicates(["doc_id"]))
+    stars = settle(_alike(stars.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).union(members.select("member", "doc_id")).distinct(), parities, percent))
     links = settle(_verified(stars, rows, n, percent))
     labels = components(links)
 
@@ -173,7 +202,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         f" and {100 + percent} * least(n_x - pos_x, n_y - pos_y) >= {percent} * (n_x + n_y)"
     )
     rest = x.join(y, "token").where(fits).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()
-    rest = settle(rest.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+    rest = settle(_alike(rest, parities, percent).join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
     more = settle(_verified(rest, rows, n, percent))
     labels = components(links.union(more))
     return classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
