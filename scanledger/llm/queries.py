@@ -79,4 +79,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_field": op10_quality_field,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Upper and lower case of the letters that op5 folds.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, t.b FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) t ON r.root = t.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) c USING (doc_id)""",
+    "op6_line_dedup": """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+f AS (SELECT line, min(doc_id * 1000000 + k) AS id, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line),
+e AS (SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON y.n BETWEEN x.n AND x.n + 2 AND x.id <> y.id AND levenshtein(x.line, y.line) <= 2),
+r AS (SELECT id, id AS root FROM f UNION SELECT r.id, t.b FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) t ON r.root = t.a),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY 1),
+o AS (SELECT l.doc_id, l.k, l.line, c.root IS NOT NULL AND c.root <> l.doc_id * 1000000 + l.k AS gone FROM l LEFT JOIN f USING (line) LEFT JOIN c USING (id))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM o GROUP BY 1""",
+    "op7_repeated_strings": """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(0, length(h) // 2 - 99), lambda i: struct_pack(i := i, m := md5(substr(h, CAST(2 * i + 1 AS BIGINT), 200))))) AS w FROM t WHERE length(h) >= 200),
+k AS (SELECT doc_id, w.i AS i, row_number() OVER (PARTITION BY w.m ORDER BY doc_id, w.i) AS nth FROM s),
+d AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM k WHERE nth > 1),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM d),
+x AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, span),
+y AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM x),
+u AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM y JOIN t USING (doc_id) GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM t LEFT JOIN u USING (doc_id)""",
+}
