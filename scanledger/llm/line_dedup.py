@@ -113,7 +113,7 @@ def line_links(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, shortest:
     wanted = shared.select("id").distinct()
     at = firsts.join(wanted, "id", "left_semi").select("first.doc_id", "first.line_no", "id")
     places = settle(at.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "id")).alias("at")))
-    texts = may_hold(rows, "doc_id", places.select("doc_id")).dropDuplicates(["doc_id"]).join(places, "doc_id")
+    texts = may_hold(rows, "doc_id", places.select("doc_id")).dropDuplicates(["doc_id"]).join(places.hint("merge"), "doc_id")
     texts = texts.select(F.split("text", "\n", -1).alias("lines"), F.explode("at").alias("p")).select(F.col("p.id").alias("id"), F.get("lines", F.col("p.line_no")).alias("line"))
     texts = texts.select("id", F.split("line", "").alias("letters"))
     texts = settle(texts.select("id", "letters", pair_parity("letters").alias("parity")))
@@ -139,7 +139,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = settle(labelled.join(roots, "label").select("id", "root"))
     stays = firsts.join(roots, "id", "left").select("id", F.coalesce("root", "first").alias("root"), "hits", F.col("root").isNotNull().alias("near"))
     stays = stays.where("hits > 1 or near").select("id", "root")
-    places = may_hold(lines.select("doc_id", "line_no", "id"), "id", stays.select("id")).join(stays, "id")
+    places = may_hold(lines.select("doc_id", "line_no", "id"), "id", stays.select("id")).join(stays.hint("merge"), "id")
     gone = places.where("struct(doc_id, line_no) <> root")
     return settle(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped")))
 
@@ -151,6 +151,6 @@ def without_lines(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", t
     keyed = dropped.select(F.col("doc_id").alias(id_col), "dropped")
     count = F.coalesce(F.size(F.split(text_col, "\n", -1)), F.lit(0))
     same = without(docs, id_col, keyed.select(id_col)).select(*names, count.alias("_lines"), F.lit(0).alias("_gone"))
-    cut = may_hold(docs, id_col, keyed.select(id_col)).join(keyed, id_col, "left")
+    cut = may_hold(docs, id_col, keyed.select(id_col)).join(keyed.hint("merge"), id_col, "left")
     cut = cut.select(*[F.when(F.col("dropped").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in names], count.alias("_lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("_gone"))
     return same.unionByName(cut)
