@@ -13,9 +13,12 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,9 @@ END = 2
 LANE_BYTES = 24 << 20
 GROUP_LANES = 64
 LOOK_AHEAD = 96 * WINDOW
-CACHED = 400_000
+#: Most chunks and most parts of chunks that a worker keeps.
+CACHED_CHUNKS = 500_000
+CACHED_PARTS = 800_000
 PIECES = "doc_id {id}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, credit double"
 
 
@@ -41,11 +46,60 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Places(dict):
+    """Numbers of strings; one that isn't there gets the next and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
+class _Ids:
+    """Token ids of numbered strings in one flat array."""
+
+    def __init__(self):
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.count + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.size[self.count : self.count + len(sizes)] = sizes
+        self.start[self.count : self.count + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        self.count += len(sizes)
+
+    def cut_to(self, count: int) -> None:
+        if count < self.count:
+            self.used = int(self.start[count])
+            self.count = count
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings ``at`` in a row, and where each string's end."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+# ASCII characters that are neither letters nor digits nor white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class ChunkEncoder:
-    """Token ids of whole texts, by way of the ids of their pieces between blanks and line feeds.
+    """Token ids of whole texts, by way of the ids of their chunks between blanks and line feeds.
 
-    The tokenizer's pre-tokenizer drops white space and never joins across it, so a text's ids are those of its
-    pieces in a row; pieces recur, and each is encoded once while it is among the last ``CACHED``.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in a row.  Within
+    a chunk of letters followed by ASCII marks only, it parts the letters from the marks and ignores case, so such a chunk
+    is put together from the two.  What recurs is encoded once; the tables stop growing at fixed sizes, and what comes
+    after is encoded for its batch alone.
     """
 
     def __init__(self, path: str, end: int = END):
@@ -54,46 +108,56 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self._add(["", "\0end"], [[], [self.end]])
-
-    def _add(self, chunks: list[str], ids: list[list[int]]) -> None:
-        total, first = sum(map(len, ids)), len(self.index)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(chunks) > len(self.start):
-            self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
-        self.flat[self.used : self.used + total] = [x for i in ids for x in i]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.size[first : first + len(chunks)] = sizes
-        self.start[first : first + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.index.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        self.used += total
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks, self.parts = _Places(), _Places()
+        self.chunk_ids, self.part_ids = _Ids(), _Ids()
+        self.end = self.chunks["\0 end"]
+        self.chunks.new.clear()
+        self.chunk_ids.add(np.array([end], np.uint32), np.array([1]))
+
+    def _encode_new(self) -> None:
+        new, halves = self.chunks.new, []
+        for chunk in new:
+            low = chunk.lower()
+            core = low.rstrip(_MARKS)
+            if core.isalpha() and "\u03a3" not in chunk and unicodedata.is_normalized("NFC", chunk):
+                halves += (self.parts[core], self.parts[low[len(core) :]])
+            else:
+                halves += (self.parts[chunk], self.parts[""])
+        if self.parts.new:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.parts.new, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.part_ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        flat, ends = self.part_ids.gather(np.array(halves, np.int64))
+        self.chunk_ids.add(flat, np.diff(np.append(0, ends[1::2])))
+
+    def _forget(self, places: _Places, ids: _Ids, most: int) -> None:
+        if len(places) > most:
+            for key in places.new:
+                del places[key]
+            ids.cut_to(len(places))
+        places.new.clear()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, closed by the end token."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.index.keys())
-        if new:
-            if len(self.index) + len(new) > CACHED:
-                self.clear()
-                new = list(set().union(*split) - self.index.keys())
-            self._add(new, [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)])
-        out = []
-        find = self.index.__getitem__
-        for chunks in split:
-            at = np.fromiter(map(find, chunks), np.int64, len(chunks))
-            at = np.append(at, 1)
-            size = self.size[at]
-            ends = np.cumsum(size)
-            out.append(self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])])
-        return out
+        find, at, lengths = self.chunks.__getitem__, [], []
+        for t in texts:
+            chunks = t.replace("\n", " ").split(" ")
+            at += map(find, chunks)
+            at.append(self.end)
+            lengths.append(len(chunks) + 1)
+        if self.chunks.new:
+            self._encode_new()
+        flat, ends = self.chunk_ids.gather(np.array(at, np.int64))
+        self._forget(self.parts, self.part_ids, CACHED_PARTS)
+        self._forget(self.chunks, self.chunk_ids, CACHED_CHUNKS)
+        return np.split(flat, ends[np.cumsum(lengths) - 1])[:-1]
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a worker."""
+    return ChunkEncoder(path)
 
 
 class WindowFiller:
@@ -191,7 +255,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def lane(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
-        filler, encoder, id_type = WindowFiller(dict(targets), lambda k: (number << 32) | k, window), ChunkEncoder(path), None
+        filler, encoder, id_type = WindowFiller(dict(targets), lambda k: (number << 32) | k, window), encoder_of(path), None
         for batch in batches:
             id_type = batch.column(0).type
             for i in range(0, batch.num_rows, 256):
