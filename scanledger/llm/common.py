@@ -82,6 +82,13 @@ def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return _bit_of(df, key, ids).where("coalesce(getbit(_bits, _at), 0) = 0").select(*df.columns)
 
 
+def sliced(batches, rows: int = 1024):
+    """Record batches cut to at most ``rows`` rows, so that what is built per batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every id in ``edges`` (a, b): columns id, label.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, may_hold, pick, settle
+from .common import components, may_hold, pick, settle, sliced
 from .words import SHINGLE, shingle_set
 
 BINS = 1 << 18
@@ -44,7 +44,7 @@ def _classes(rows: DataFrame, n: int) -> DataFrame:
         counts = np.zeros(BINS, np.int64)
         names = ["doc_id", "n_shingles", "sig", "parity", "bin", "hits"]
         kind = None
-        for batch in batches:
+        for batch in sliced(batches):
             kind = batch.column(0).type
             sizes, sigs, places, parity = [], [], [np.zeros(0, np.uint64)], []
             for text in batch.column(1).to_pylist():
@@ -87,7 +87,7 @@ def _prefixes(rows: DataFrame, crowded: np.ndarray, n: int, percent: int) -> Dat
         full = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(np.uint64) << np.uint64(63)
         seen: set[bytes] = set()
         leaders: dict[bytes, object] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             at, tokens, members = [], [], []
             ids = batch.column(0)
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -128,7 +128,7 @@ def _alike(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     fits = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             good = []
             for m, n, p, q in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 p, q = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
@@ -149,7 +149,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cached = lru_cache(256)(lambda text: shingle_set(text, n=n))
-        for batch in batches:
+        for batch in sliced(batches):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = cached(x or b""), cached(y or b"")
