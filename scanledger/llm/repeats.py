@@ -7,12 +7,12 @@
 3.  What is left are the first runs of contexts that share an anchor but differ: the edges of repeats.  Their contexts
     are dealt to shards by anchor; a shard sorts its suffixes by induced sorting, takes permuted common prefixes, and
     in every stretch of suffixes that share ``LENGTH`` bytes keeps the earliest start.  Anchors with more than
-    ``CROWD`` such contexts are not gathered in one place: their windows are compared by digest.
+    ``CROWD`` such contexts are not gathered in one place: their windows are ranked by digest, in salted parts first.
 4.  The spans found are merged per document and cut from its bytes.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH`` bytes lose nothing; rows with the same
-doc_id count as one document, and the smaller start wins ties within it; an empty table gives no rows; further columns
-are ignored.
+doc_id count as one document, and the smaller start wins ties within it; rows without a doc_id have no place in the order:
+they lose nothing and cost others nothing; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ LENGTH = 100
 GRAM = 24
 CROWD = 512
 SHARD_BYTES = 1 << 21
+SALTS = 64
 _SEGMENT = 1 << 19
 
 
@@ -215,7 +216,7 @@ def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, start, count: bytes (from 0) of whole texts covered by strings of ``length`` bytes that start earlier; spans may overlap."""
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).where("doc_id is not null")
     judged = _runs(rows, length).selectExpr(
         "*",
         "rank() over (partition by key, context order by doc_id, start) as nth",
@@ -231,9 +232,12 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edge = edge.join(crowds, "key", "left").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "count", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("runs"))
     cut = settle(_edges(rows, settle(edge), length))
     found = _sorted_shards(cut.where("body is not null").select("key", "doc_id", "start", "body"), length)
-    windows = cut.where("body is null").select("key", "doc_id", "start")
-    firsts = windows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("hits")).where("hits > 1").drop("hits")
-    more = windows.join(firsts, "key").where("struct(doc_id, start) > first").select("doc_id", "start", F.lit(length).alias("count"))
+    # A window's digest may be very common: starts are ranked in salted parts of a digest first, and only the first of
+    # each part across its parts.
+    windows = cut.where("body is null").select("key", "doc_id", "start", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    nth = windows.selectExpr("*", "rank() over (partition by key, salt order by doc_id, start) as nth")
+    across = nth.where("nth = 1").selectExpr("key", "doc_id", "start", "rank() over (partition by key order by doc_id, start) as nth")
+    more = nth.drop("salt").unionByName(across).where("nth > 1").select("doc_id", "start", F.lit(length).alias("count"))
     return spans.unionByName(found).unionByName(more)
 
 
