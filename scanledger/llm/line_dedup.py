@@ -26,7 +26,7 @@ OFTEN = 16
 
 
 def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
-    """doc_id, line_no, line, n, key of the lines of (doc_id, text) that are long enough; equal lines have equal keys."""
+    """doc_id, line_no, line, n, id of the lines of (doc_id, text) that are long enough; equal lines have equal ids (64-bit hashes)."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return lines.where(F.length("line") >= shortest).select("doc_id", "line_no", "line", F.length("line").alias("n"), F.xxhash64("line").alias("id"))
 

@@ -35,8 +35,8 @@ LANE_BYTES = 24 << 20
 GROUP_LANES = 64
 LOOK_AHEAD = 96 * WINDOW
 #: Most chunks and most parts of chunks that a worker keeps.
-CACHED_CHUNKS = 500_000
-CACHED_PARTS = 800_000
+CACHED_CHUNKS = 200_000
+CACHED_PARTS = 300_000
 PIECES = "doc_id {id}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, credit double"
 
 

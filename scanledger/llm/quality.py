@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, sliced
 from .words import word_hashes
 
 #: Most labelled rows that the field is fitted on: those with the smallest hash of their id.
@@ -182,7 +182,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     texts = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.encode("text", "UTF-8").alias("text")).join(F.broadcast(drawn), "doc_id").select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out, said = [], batch.column(0).to_numpy()
             done = 0
             for x, _, lines in documents_features([t or b"" for t in batch.column(1).to_pylist()]):
@@ -205,7 +205,7 @@ def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", tex
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.encode("text", "UTF-8").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [np.zeros(0)]
             for x, length, lines in documents_features([t or b"" for t in batch.column(1).to_pylist()]):
                 good, _, _ = field.marginals(x, lines)
@@ -223,7 +223,7 @@ def keep_good(docs: DataFrame, field: LineField, text_col: str = "text", least:
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [np.zeros(0)]
             for x, length, lines in documents_features([(t or "").encode() for t in batch.column(at).to_pylist()]):
                 good, _, _ = field.marginals(x, lines)

@@ -8,7 +8,8 @@ texts without words have an empty sketch.
 Defined results: a null text counts as empty; texts with fewer words than a shingle have their whole sequence as the one
 shingle; two empty sketches have likeness and containment 1, an empty and another one 0; rows with the same doc_id count
 once when the next document is sought (the smaller text stands for it), and each of them is a row of the result; the only
-document of a table is its own next; an empty table gives no rows; further columns are ignored.
+document of a table is its own next; rows without a doc_id have no place in the order and are left out; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +30,15 @@ def word_array_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, WORD_SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def sketch_of(words: str, scale: int = SCALE, n: int = SHINGLE) -> Column:
-    """Ascending kept hashes of the column ``words`` of word hashes (a column of its own, so that it is computed once)."""
+def shingle_hashes(words: str, n: int = SHINGLE) -> Column:
+    """Hashes of the runs of n words of the column ``words`` of word hashes (a column of its own, so that it is computed once)."""
     w = F.col(words)
     many = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
     return F.when(F.size(w) >= n, many).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
 def kept(shingles: str, scale: int = SCALE) -> Column:
+    """The distinct hashes below the threshold, ascending; the smallest one where there is none below it."""
     below = F.lit(-(1 << 63) + (1 << 64) // scale)
     s = F.col(shingles)
     low = F.array_sort(F.array_distinct(F.filter(s, lambda h: h < below)))
@@ -47,7 +49,7 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with the sketch of the column ``text`` as column ``name``."""
     out = [F.col(c) for c in df.columns]
     df = df.select(*out, word_array_hashes(F.col(text)).alias("_words"))
-    df = df.select(*out, sketch_of("_words").alias("_shingles"))
+    df = df.select(*out, shingle_hashes("_words").alias("_shingles"))
     return df.select(*out, kept("_shingles").alias(name))
 
 
