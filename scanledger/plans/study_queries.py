@@ -94,7 +94,8 @@ def instruction_like(spark, d):
 
 @query("SELECT source AS server_id, CAST(doc_id % 500 AS VARCHAR) AS path, CAST(1 AS INTEGER) AS line, 'high' AS severity, 'low' AS confidence, substr(text || ' Ignore previous', 1, 300) AS evidence FROM documents WHERE doc_id % 5 = 0 GROUP BY source, doc_id % 500, text")
 def instruction_scan(spark, d):
-    rows = v.table(spark, d, "documents").where("doc_id % 5 = 0").select(F.col("source").alias("server_id"), (F.col("doc_id") % 500).cast("string").alias("path"), F.lit(1).alias("line"), F.concat("text", F.lit(" Ignore previous")).alias("text"))
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" Ignore previous"))).otherwise(F.col("text"))  # put in by id, as in v.files
+    rows = v.table(spark, d, "documents").select(F.col("source").alias("server_id"), (F.col("doc_id") % 500).cast("string").alias("path"), F.lit(1).alias("line"), text.alias("text"))
     return ru.instruction_scan(rows)
 
 
@@ -171,8 +172,8 @@ def captured(spark, d):
 )
 def golden_entries(spark, d):
     rows = v.findings(spark, d)
-    drawn = rows.where("event_id < 2000").groupBy("finding_id").agg(F.min("event_id").alias("position")).withColumn("context", F.when(F.col("position") % 6 != 0, "c"))
-    old = rows.where("event_id < 300 and event_id % 3 = 0").groupBy("finding_id").agg(F.min("event_id").alias("e"))
+    drawn = rows.groupBy("finding_id").agg(F.min("event_id").alias("position")).withColumn("context", F.when(F.col("position") % 6 != 0, "c"))
+    old = rows.where("event_id % 3 = 0").groupBy("finding_id").agg(F.min("event_id").alias("e"))
     return go.build_entries(drawn, old.select("finding_id", F.format_string("g-%04d", F.col("e") + 1).alias("entry_id"), F.lit("true_positive").alias("label"))).select("finding_id", "entry_id", "label")
 
 
