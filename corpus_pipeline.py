@@ -23,7 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand (nearly) alike in an earlier place; those left without any text go."""
-    left = line_dedup.without_lines(docs, line_dedup.dedup_lines(docs))
+    left = line_dedup.without_lines(docs, line_dedup.dedup_lines(docs, least=line_dedup.LEAST))
     left = left.where("_gone = 0 or trim(text) <> ''")
     count = F.when(F.col("_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return left.select(*[count.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -7,7 +7,11 @@ substrings of each line are probed at those places only.  Candidates must agree
 pairs (an edit changes at most four pairs) and are verified by banded bit-parallel edit distance: one bit per diagonal,
 one word per number of edits.  Linked lines form classes; of each class the first line (by doc_id, line) stays.
 
-Defined results: lines shorter than ``SHORTEST`` characters stay; a null text has no lines and stays null; an empty text
+Lines of ``least`` to ``SHORTEST`` - 1 characters, where a caller names ``least``, take part by equality alone: two edits
+make almost any short line of another.
+
+Defined results: lines shorter than ``least`` characters (``SHORTEST`` where it isn't named) and blank lines under ``SHORTEST``
+characters stay; a null text has no lines and stays null; an empty text
 has one empty line; rows with the same doc_id share their decisions; ties do not arise (places are distinct); an empty
 table gives no rows; further columns are ignored.
 """
@@ -21,14 +25,19 @@ from .common import components, may_hold, pick, settle, without
 
 EDITS = 2
 SHORTEST = 20
+#: What the registered query and the pipeline name as ``least``: all lines that aren't blank take part.
+LEAST = 1
 #: Lines found more often than this are sent once from where they stand first, and not from each place.
 OFTEN = 16
 
 
-def lines_of(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+def lines_of(docs: DataFrame, shortest: int = SHORTEST, least: int | None = None) -> DataFrame:
     """doc_id, line_no, line, n, id of the lines of (doc_id, text) that are long enough; equal lines have equal ids (64-bit hashes)."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.length("line") >= shortest).select("doc_id", "line_no", "line", F.length("line").alias("n"), F.xxhash64("line").alias("id"))
+    enough = F.length("line") >= shortest
+    if least is not None and least < shortest:
+        enough = enough | ((F.length("line") >= least) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return lines.where(enough).select("doc_id", "line_no", "line", F.length("line").alias("n"), F.xxhash64("line").alias("id"))
 
 
 def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -127,10 +136,10 @@ def line_links(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, shortest:
     return within(pairs.join(text_of("a"), "a").join(text_of("b"), "b"), "letters_a", "letters_b", edits).select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, shortest: int = SHORTEST, least: int | None = None) -> DataFrame:
     """doc_id, dropped: the numbers (from 0, ascending) of the lines that go, for documents that lose any."""
     rows = pick(docs, doc_id=id_col, text=text_col).where("doc_id is not null")
-    lines = lines_of(rows, shortest)
+    lines = lines_of(rows, shortest, least)
     firsts = settle(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("hits")))
     links = settle(line_links(rows, firsts, edits, shortest))
     labels = components(links)

@@ -41,7 +41,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    left = line_dedup.without_lines(docs, line_dedup.dedup_lines(docs))
+    left = line_dedup.without_lines(docs, line_dedup.dedup_lines(docs, least=line_dedup.LEAST))
     return left.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
