@@ -7,7 +7,8 @@ Where a page marks its article, lines outside it count as empty too.  Text lengt
 all spans is kept, or on pages without a marked article that of the spans that come near the largest.
 
 Defined results: a null or empty page has empty text; text outside any block is a line of its own; an element left
-open reaches to the end of its parent's text; repeated rows give repeated results; further columns are ignored.
+open reaches to the end of its parent, or of a p, li, dd, dt, or part of a table to what ends it in HTML (the next of
+its kind, and for p any block); a raw element that closes itself is empty; repeated rows give repeated results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,15 @@ MARKS = set(
     " header masthead footer copyright sidebar side aside widget widgets related recommended recommendations cookie cookies consent gdpr notice notices alert popup modal"
     " newsletter subscribe signup login comment comments disqus reply replies respond share sharing social toolbar skip".split()
 )
+#: Elements whose end tag may be left out.
+OPTIONAL = set("p li dd dt option tr td th thead tbody tfoot caption".split())
+#: Blocks whose start ends an open p.
+ENDS_P = BLOCKS - set("br option legend title html head body".split())
+#: By element: which open ones its start ends, and the blocks that these are looked for through.
+_IN_ITEM, _IN_TABLE = {"address", "div", "p"}, BLOCKS - set("table article main body html".split())
+SIBLINGS = {"li": ({"li"}, _IN_ITEM), "dt": ({"dt", "dd"}, _IN_ITEM), "dd": ({"dt", "dd"}, _IN_ITEM), "option": ({"option"}, set()), "body": ({"head"}, BLOCKS)}
+SIBLINGS |= {n: ({"td", "th"}, _IN_TABLE - {"tr"}) for n in ("td", "th")} | {"tr": ({"tr", "td", "th"}, _IN_TABLE)}
+SIBLINGS |= {n: ({"thead", "tbody", "tfoot", "tr", "td", "th"}, _IN_TABLE) for n in ("thead", "tbody", "tfoot")}
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
@@ -58,12 +68,69 @@ def _unwanted(name: str, attributes: str) -> bool:
     return False
 
 
+class _Open:
+    """The elements that are open at a place of a page; how many of them are unwanted (drop), and how many articles."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.kinds: list[str] = []
+        self.drop = self.article = 0
+
+    def push(self, name: str, kind: str = "") -> None:
+        self.names.append(name)
+        self.kinds.append(kind)
+        self.drop += kind == "drop"
+        self.article += kind == "article"
+
+    def cut(self, at: int) -> None:
+        """Element number ``at`` ends, and with it all that are open within it."""
+        self.drop -= self.kinds[at:].count("drop")
+        self.article -= self.kinds[at:].count("article")
+        del self.names[at:], self.kinds[at:]
+
+    def ended_by_start(self, name: str) -> int | None:
+        """The element whose left-out end tag the start tag of ``name`` stands for."""
+        found = None
+        wanted, through = SIBLINGS.get(name, ((), ()))
+        for at in range(len(self.names) - 1, -1, -1):
+            other = self.names[at]
+            if other in wanted:
+                found = at
+            elif other in BLOCKS and other not in through:
+                break
+        if found is None and name in ENDS_P:
+            for at in range(len(self.names) - 1, -1, -1):
+                if self.names[at] in BLOCKS:
+                    return at if self.names[at] == "p" else None
+        return found
+
+    def ended_by_end(self, name: str) -> int | None:
+        """The element that the end tag of ``name`` ends; a stray one ends no block, and only its own one an article."""
+        for at in range(len(self.names) - 1, -1, -1):
+            other = self.names[at]
+            if other == name:
+                return at
+            if name not in ("article", "main") and (other in ("article", "main") or name not in BLOCKS and other in BLOCKS and other not in OPTIONAL):
+                return None
+        return None
+
+    def clear(self) -> None:
+        """Nothing that is open counts as unwanted any longer."""
+        self.kinds = ["" if k == "drop" else k for k in self.kinds]
+        self.drop = 0
+
+
+def _self_closed(attributes: str) -> bool:
+    """Whether a start tag ends in a slash that isn't part of an unquoted value."""
+    return attributes.endswith("/") and not re.search(r"=\s*[^\s\"']+$", attributes)
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, unwanted, inside an article) of each line of a page, empty ones left out."""
     out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
-    linked = links = article = drop = 0
-    drop_name = ""
+    linked = links = 0
+    opened = _Open()
     at = 0
 
     def close() -> None:
@@ -71,10 +138,16 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, linked, drop > 0, article > 0))
+                out.append((text, linked, opened.drop > 0, opened.article > 0))
             parts.clear()
         linked = 0
 
+    def end(number: int | None) -> None:
+        if number is not None:
+            if "drop" in opened.kinds[number:]:
+                close()
+            opened.cut(number)
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
@@ -83,8 +156,9 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
         if not name:
             continue
         if name in RAW and not m[1]:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if not _self_closed(m[3]):
+                last = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = last.end() if last else len(page)
             if name in BLOCKS:
                 close()
             continue
@@ -92,22 +166,26 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
             close()
         elif name == "a":
             links = max(0, links + (-1 if m[1] else 1))
+        if m[1]:
+            end(opened.ended_by_end(name))
+            continue
+        end(opened.ended_by_start(name))
+        if name in VOID:
+            continue
         if name in ("article", "main"):
-            if not m[1] and not drop and _unwanted(name, m[3]):
-                drop, drop_name = 1, name
-                continue
-            if drop and drop_name == name:
-                drop += -1 if m[1] else 1
-                continue
-            if not m[1]:
-                drop = 0  # whatever was left open before it ends here
-            article = max(0, article + (-1 if m[1] else 1))
-        elif drop:
-            if name == drop_name:
-                drop += -1 if m[1] else 1
-        elif not m[1] and name not in VOID and _unwanted(name, m[3]):
+            within = any(k == "drop" and n == name for n, k in zip(opened.names, opened.kinds, strict=True))
+            if not opened.drop and _unwanted(name, m[3]):
+                opened.push(name, "drop")
+            elif within:
+                opened.push(name)
+            else:
+                opened.clear()  # whatever was left open before it ends here
+                opened.push(name, "article")
+        elif not opened.drop and _unwanted(name, m[3]):
             close()
-            drop, drop_name = 1, name
+            opened.push(name, "drop")
+        else:
+            opened.push(name)
     if at < len(page):
         rest = page[at:]
         parts.append(rest if not re.match(r"<[/a-zA-Z!]", rest) else "")
