@@ -1,10 +1,9 @@
-"""HTML extraction by line-block distribution.
+"""HTML extraction by line blocks.
 
 Markup is stripped so that every block element gives one line; lines inside menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments (by element, role, class or id), and lines that are mostly link text, count as empty.
-Where a page marks its article, lines outside it count as empty too.  Text lengths are summed over sliding windows of
-``WINDOW`` lines; text begins where a sum surges over the threshold and ends where it dives to nothing.  The text of
-all spans is kept, or on pages without a marked article that of the spans that come near the largest.
+adverts, forms and reader comments (by element, role, class or id) count as empty.  Where a page marks its article, lines
+outside it count as empty too, and where it does not, lines that are mostly link text.  All other lines are kept,
+however short they are and however many empty ones stand around them.
 
 Defined results: a null or empty page has empty text; text outside any block is a line of its own; an element left
 open reaches to the end of its parent, or of a p, li, dd, dt, or part of a table to what ends it in HTML (the next of
@@ -17,16 +16,12 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
 
-WINDOW = 3
-SURGE = 40
-NEAR_LARGEST = 0.3
 LINKS = 0.6
 
 # Elements by what they mean for the text, roles, and words of classes and ids.
@@ -194,30 +189,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
 
 
 def main_text(page: str) -> str:
-    """The text between surge and dive points of the page's line lengths."""
+    """The lines of the page that count."""
     lines = page_lines(page)
-    if not lines:
-        return ""
     marked = any(inside and not bad for _, _, bad, inside in lines)
-    length = np.array([0 if bad or (marked and not inside) or (not marked and link > LINKS * len(text)) else len(text) for text, link, bad, inside in lines])
-    if not length.any():
-        return ""
-    sums = np.convolve(length, np.ones(WINDOW, int))  # sums[i + WINDOW - 1] covers lines i to i + WINDOW - 1
-    ahead = sums[WINDOW - 1 :]
-    least = 1 if marked else min(SURGE, int(ahead.max()))
-    spans, i, n = [], 0, len(length)
-    while i < n:
-        if ahead[i] >= least:  # surge
-            j = i
-            while j < n and ahead[j] > 0:
-                j += 1
-            spans.append((i, j))  # dive
-            i = j
-        else:
-            i += 1
-    mass = [int(length[a:b].sum()) for a, b in spans]
-    keep = [s for s, m in zip(spans, mass, strict=True) if marked or m >= NEAR_LARGEST * max(mass)]
-    return "\n".join(lines[k][0] for a, b in keep for k in range(a, b) if length[k])
+    return "\n".join(text for text, link, bad, inside in lines if not bad and (inside if marked else link <= LINKS * len(text)))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

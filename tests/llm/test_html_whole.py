@@ -21,3 +21,12 @@ def test_an_unwanted_element_without_end_tag_ends_with_its_kind_or_parent():
 def test_raw_elements_that_close_themselves_are_empty():
     assert main_text('<article><svg/><p>One</p><svg width="1" /><p>Two</p><math/>Three</article>') == "One\nTwo\nThree"
     assert main_text("<article><svg><text>x</text></svg><p>One</p><iframe src=http://x/>old</iframe><p>Two</p></article>") == "One\nTwo"
+
+
+def test_short_parts_of_pages_without_an_article_stay():
+    long = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(3))
+    box = '<div class="newsletter"><p>Sign up</p><p>now</p><p>please</p><p>do</p></div>'
+    links = "<ul>" + "".join(f"<li><a href=x{i}>Link number {i}</a></li>" for i in range(5)) + "</ul>"
+    page = f"<body>{links}<h1>Short title</h1><p>A short lead.</p>{box}{long}{box}<h2>End</h2><p>A short closing section of its own.</p>{links}<p>Bye.</p></body>"
+    got = main_text(page).split("\n")
+    assert got[:2] == ["Short title", "A short lead."] and got[-3:] == ["End", "A short closing section of its own.", "Bye."] and len(got) == 8
