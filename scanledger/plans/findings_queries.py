@@ -420,7 +420,7 @@ def merge_stream(spark, d):
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
     base = f"{shared.rstrip('/')}/merge-{uuid.uuid4().hex}"
-    rows = v.findings(spark, d).where("night >= '2024-01-26'").select(*history.FIELDS, "night")
+    rows = v.findings(spark, d).select(*history.FIELDS, "night")
     names = ["server_id", "commit_sha", "rule_id", "severity", "confidence", "file", "line", "evidence", "finding_id", "night"]
     rows.select(*names).repartitionByRange(4, "night").write.parquet(f"{base}/landing")
     out = run(spark, f"{base}/landing", f"{base}/state", f"{base}/checkpoint", files_per_batch=2)

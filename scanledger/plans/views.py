@@ -68,8 +68,8 @@ def findings_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def previous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History of nights 20 to 24: the last row of each id, seen from its first to its last night."""
-    rows = findings(spark, sf_dir).where("night between '2024-01-20' and '2024-01-24'")
+    """History of all nights before the 25th: the last row of each id, seen from its first to its last night."""
+    rows = findings(spark, sf_dir).where("night < '2024-01-25'")
     fields = [c for c in history.FIELDS if c != "finding_id"]
     out = rows.groupBy("finding_id").agg(F.max_by(F.struct(*fields), "event_id").alias("r"), F.min("night").cast("timestamp").alias("first_seen"), F.max("night").cast("timestamp").alias("last_seen"))
     return out.select("finding_id", "r.*", "first_seen", "last_seen", F.array().cast("array<string>").alias("previous_ids"))

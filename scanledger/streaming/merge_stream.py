@@ -28,8 +28,10 @@ def fold_night(state: DataFrame, rows: DataFrame, night: str) -> DataFrame:
         return history.nightly_fold(state, current, now)
     merged = history.merge_findings(state, current, now)
     seen = state.select("finding_id", F.col("first_seen").alias("s_first"), F.col("last_seen").alias("s_last"))
-    return merged.join(seen, "finding_id", "left").select(
-        *history.FIELDS, F.least(F.coalesce("s_first", now), now).alias("first_seen"), F.greatest(F.coalesce("s_last", now), now).alias("last_seen"), "previous_ids"
+    held = current.select("finding_id", F.lit(True).alias("held"))
+    widened = lambda pick, was: F.when(F.col("held"), pick(F.coalesce(was, now), now)).otherwise(F.col(was))
+    return merged.join(seen, "finding_id", "left").join(held, "finding_id", "left").select(
+        *history.FIELDS, widened(F.least, "s_first").alias("first_seen"), widened(F.greatest, "s_last").alias("last_seen"), "previous_ids"
     )
 
 
