@@ -407,7 +407,7 @@ def registry_pages(spark, d):
     from ..sources.io import parse_registry_pages
 
     server = F.struct(F.struct(F.col("page_id").cast("string").alias("name"), F.struct("url").alias("repository")).alias("server"))
-    pages = v.table(spark, d, "pages").groupBy((F.col("page_id") % 16).alias("p")).agg(F.collect_list(server).alias("servers"))
+    pages = v.table(spark, d, "pages").groupBy(F.floor(F.col("page_id") / 100).alias("p")).agg(F.collect_list(server).alias("servers"))
     return parse_registry_pages(pages.select(F.to_json(F.struct("servers")).alias("value")))
 
 
