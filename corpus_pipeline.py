@@ -9,7 +9,7 @@ further columns are carried up to the mix; rows with the same doc_id are one doc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanledger.llm import line_dedup, mixing, ngram_join, packing, quality
@@ -42,8 +42,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.mix_documents(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    taken = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    mixed = mixing.mix_documents(docs).where("copies > 0")
+    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    taken = docs.join(copies, "doc_id").select(*docs.columns, "_copies")
+    # Documents without an id are told apart by source, size and their number among equals.
+    among = Window.partitionBy("source", "_size").orderBy(F.xxhash64("text"))
+    bare = docs.where("doc_id is null").withColumn("_size", mixing.word_count(F.col("text"))).withColumn("_no", F.row_number().over(among) - 1)
+    same = mixed.where("doc_id is null").select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copy_no").alias("_no"), F.col("copies").alias("_copies"))
+    bare = bare.join(same.withColumnsRenamed({"_size": "_size_m", "_no": "_no_m"}), F.expr("source <=> _source and _size = _size_m and _no = _no_m"))
+    taken = taken.unionByName(bare.select(*docs.columns, "_copies")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(*docs.columns)
 
 
