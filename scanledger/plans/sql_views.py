@@ -11,8 +11,8 @@ f0 AS (SELECT event_id, 's' || (user_id % 10) AS server_id, substr(sha256(CAST(u
 f AS (SELECT *, sha256(server_id || '|' || rule_id || '|' || file || ':' || line || '|' || sha256(evidence)) AS finding_id FROM f0)"""
 
 HISTORY = FINDINGS + """,
-prev AS (SELECT q.*, s.first_seen, s.last_seen FROM (SELECT * FROM f WHERE night BETWEEN DATE '2024-01-20' AND DATE '2024-01-24' QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY event_id DESC) = 1) q
-  JOIN (SELECT finding_id, CAST(min(night) AS TIMESTAMP) AS first_seen, CAST(max(night) AS TIMESTAMP) AS last_seen FROM f WHERE night BETWEEN DATE '2024-01-20' AND DATE '2024-01-24' GROUP BY finding_id) s USING (finding_id)),
+prev AS (SELECT q.*, s.first_seen, s.last_seen FROM (SELECT * FROM f WHERE night < DATE '2024-01-25' QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY event_id DESC) = 1) q
+  JOIN (SELECT finding_id, CAST(min(night) AS TIMESTAMP) AS first_seen, CAST(max(night) AS TIMESTAMP) AS last_seen FROM f WHERE night < DATE '2024-01-25' GROUP BY finding_id) s USING (finding_id)),
 cur AS (SELECT * FROM f WHERE night >= DATE '2024-01-25' QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY event_id DESC) = 1),
 clock AS (SELECT TIMESTAMP '2024-01-30 00:00:00' AS now, TIMESTAMP '2024-04-15 00:00:00' AS gate),
 m AS (SELECT coalesce(c.finding_id, p.finding_id) AS finding_id, coalesce(c.server_id, p.server_id) AS server_id, coalesce(c.commit_sha, p.commit_sha) AS commit_sha, coalesce(c.rule_id, p.rule_id) AS rule_id,
@@ -61,7 +61,8 @@ ok AS (SELECT * FROM fs WHERE scannable AND NOT is_symlink AND size <= 1048576 A
 GOLDEN = """
 g AS (SELECT doc_id AS entry_id, source AS server_id, lang AS rule_id, CASE WHEN toxic = 1 THEN 'unsure' WHEN quality = 1 THEN 'true_positive' ELSE 'false_positive' END AS label,
   CASE WHEN doc_id % 4 = 0 THEN 'model' ELSE 'human' END AS labelled_by, CASE WHEN doc_id % 10 <> 3 THEN (doc_id * 7919 % 1001) / 1000.0 END AS p_window, CASE WHEN doc_id % 10 <> 7 THEN (doc_id * 104729 % 1001) / 1000.0 END AS p_function,
-  text AS context, substr(text, 1, 40) AS context_function, CAST(doc_id % 30 AS INTEGER) AS line FROM documents JOIN labels USING (doc_id)),
+  text AS context, array_to_string(ls[greatest(doc_id % len(ls), 1):doc_id % len(ls) + 2], chr(10)) AS context_function, CAST(doc_id % 30 AS INTEGER) AS line
+  FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents) JOIN labels USING (doc_id)),
 gp AS (SELECT * FROM g WHERE p_window IS NOT NULL AND p_function IS NOT NULL),
 an AS (SELECT doc_id AS entry_id, CASE WHEN quality = 1 THEN 'true_positive' ELSE 'false_positive' END AS label, 'r' AS reason, 'a' AS annotator, doc_id * 2 AS seq FROM labels
   UNION ALL SELECT doc_id, CASE WHEN xor(quality, toxic) = 1 THEN 'true_positive' ELSE 'false_positive' END, 'r', 'b', doc_id * 2 + 1 FROM labels

@@ -92,7 +92,11 @@ def instruction_like(spark, d):
     return fi.decoded(v.files(spark, d)).where(ru.reads_as_instruction(F.col("source"))).select("server_id", "path")
 
 
-@query("SELECT source AS server_id, CAST(doc_id % 500 AS VARCHAR) AS path, CAST(1 AS INTEGER) AS line, 'high' AS severity, 'low' AS confidence, substr(text || ' Ignore previous', 1, 300) AS evidence FROM documents WHERE doc_id % 5 = 0 GROUP BY source, doc_id % 500, text")
+#: What ``reads_as_instruction`` says of the text t.
+INSTRUCTION = "({} OR (length(t) > 200 AND ({})))".format(*(" OR ".join("contains(lower(t), '" + p.replace("'", "''") + "')" for p in phrases) for phrases in (ru.ODD_PHRASES, ru.ADDRESSING)))
+
+
+@query(f"WITH x AS (SELECT DISTINCT source AS server_id, CAST(doc_id % 500 AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 THEN text || ' Ignore previous' ELSE text END AS t FROM documents) SELECT server_id, path, CAST(1 AS INTEGER) AS line, 'high' AS severity, 'low' AS confidence, substr(t, 1, 300) AS evidence FROM x WHERE {INSTRUCTION}")
 def instruction_scan(spark, d):
     text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" Ignore previous"))).otherwise(F.col("text"))  # put in by id, as in v.files
     rows = v.table(spark, d, "documents").select(F.col("source").alias("server_id"), (F.col("doc_id") % 500).cast("string").alias("path"), F.lit(1).alias("line"), text.alias("text"))
@@ -168,7 +172,7 @@ def captured(spark, d):
 
 
 @query(
-    f"WITH {sv.FINDINGS}, dr AS (SELECT finding_id, min(event_id) AS position, CASE WHEN min(event_id) % 6 <> 0 THEN 'c' END AS context FROM f WHERE event_id < 2000 GROUP BY 1), ex AS (SELECT finding_id, 'g-' || printf('%04d', min(event_id) + 1) AS entry_id, 'true_positive' AS label FROM f WHERE event_id < 300 AND event_id % 3 = 0 GROUP BY 1), j AS (SELECT dr.finding_id, position, ex.entry_id, ex.label FROM dr LEFT JOIN ex USING (finding_id) WHERE context IS NOT NULL) SELECT finding_id, entry_id, label FROM j WHERE entry_id IS NOT NULL UNION ALL SELECT finding_id, 'g-' || printf('%04d', row_number() OVER (ORDER BY position, finding_id) + (SELECT max(CAST(substr(entry_id, 3) AS INTEGER)) FROM ex)), NULL FROM j WHERE entry_id IS NULL"
+    f"WITH {sv.FINDINGS}, dr AS (SELECT finding_id, min(event_id) AS position, CASE WHEN min(event_id) % 6 <> 0 THEN 'c' END AS context FROM f GROUP BY 1), ex AS (SELECT finding_id, 'g-' || printf('%04d', min(event_id) + 1) AS entry_id, 'true_positive' AS label FROM f WHERE event_id % 3 = 0 GROUP BY 1), j AS (SELECT dr.finding_id, position, ex.entry_id, ex.label FROM dr LEFT JOIN ex USING (finding_id) WHERE context IS NOT NULL) SELECT finding_id, entry_id, label FROM j WHERE entry_id IS NOT NULL UNION ALL SELECT finding_id, 'g-' || printf('%04d', row_number() OVER (ORDER BY position, finding_id) + (SELECT max(CAST(substr(entry_id, 3) AS INTEGER)) FROM ex)), NULL FROM j WHERE entry_id IS NULL"
 )
 def golden_entries(spark, d):
     rows = v.findings(spark, d)
