@@ -90,9 +90,9 @@ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.
 e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
 r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, t.b FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) t ON r.root = t.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) c USING (doc_id)""",
-    "op6_line_dedup": """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
-f AS (SELECT line, min(doc_id * 1000000 + k) AS id, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line),
-e AS (SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON y.n BETWEEN x.n AND x.n + 2 AND x.id <> y.id AND levenshtein(x.line, y.line) <= 2),
+    "op6_line_dedup": r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+f AS (SELECT line, min(doc_id * 1000000 + k) AS id, length(line) AS n FROM l WHERE length(line) >= 20 OR regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+e AS (SELECT x.id AS a, y.id AS b FROM f x JOIN f y ON x.n >= 20 AND y.n BETWEEN x.n AND x.n + 2 AND x.id <> y.id AND levenshtein(x.line, y.line) <= 2),
 r AS (SELECT id, id AS root FROM f UNION SELECT r.id, t.b FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) t ON r.root = t.a),
 c AS (SELECT id, min(root) AS root FROM r GROUP BY 1),
 o AS (SELECT l.doc_id, l.k, l.line, c.root IS NOT NULL AND c.root <> l.doc_id * 1000000 + l.k AS gone FROM l LEFT JOIN f USING (line) LEFT JOIN c USING (id))
