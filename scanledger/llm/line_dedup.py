@@ -2,8 +2,8 @@
 
 Two lines link when at most ``EDITS`` insertions, deletions and substitutions turn one into the other.  Every line is
 split into ``EDITS`` + 1 segments of even length; within that distance one segment of the shorter line stands unchanged
-in the longer, at a place that the two lengths confine.  Segments are indexed by line length, number and content, and
-substrings of each line are probed at those places only.  Candidates must agree in a parity sketch of their character
+in the longer, at a place that the two lengths confine.  Segments are indexed by number and content, and substrings of
+each line are probed at those places only, each once for all lengths of a partner that it serves.  Candidates must agree in a parity sketch of their character
 pairs (an edit changes at most four pairs) and are verified by banded bit-parallel edit distance: one bit per diagonal,
 one word per number of edits.  Linked lines form classes; of each class the first line (by doc_id, line) stays.
 
@@ -40,34 +40,43 @@ def lines_of(docs: DataFrame, shortest: int = SHORTEST, least: int | None = None
     return lines.where(enough).select("doc_id", "line_no", "line", F.length("line").alias("n"), F.xxhash64("line").alias("id"))
 
 
-def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
+def _segment(n: int, i: int, parts: int) -> tuple[int, int]:
     """Start (from 1) and length of segment i (from 0) of a line of length n; longer segments come last."""
-    parts = edits + 1
-    short = F.floor(n / parts).cast("int")
-    longer = n - short * parts  # so many segments at the end have one more
-    before = F.greatest(F.lit(i) - (F.lit(parts) - longer), F.lit(0))
-    return short * i + before + 1, short + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
+    short, longer = divmod(n, parts)  # so many segments at the end have one more
+    return short * i + max(i - (parts - longer), 0) + 1, short + (i >= parts - longer)
 
 
-def segment_rows(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """hash, id, n, probe of every indexed segment (probe false) and every probed substring (true) of ``lines``.
+def substrings(remainder: int, edits: int = EDITS) -> list[tuple[int, int, int, bool]]:
+    """(i, start, size, indexed) of all substrings of a line of length k * (edits + 1) + remainder, without repeats.
 
-    A substring at its own segment's place, for partners of equal length, is the indexed row itself.
+    Start is less i * k, size less k, so that one list holds for every k.  Segments of the line itself are indexed; a
+    partner shorter by ``less`` may have its segment i anywhere from ``less - (edits - i)`` to ``less + (edits - i)``, and
+    from -i to i, characters away.
     """
-    n, line = F.col("n"), F.col("line")
-    out = []
-    for i in range(edits + 1):
-        start, size = _segment(n, i, edits)
-        out.append(F.struct(F.xxhash64(n, F.lit(i), line.substr(start, size)).alias("hash"), F.lit(False).alias("probe")))
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = _segment(n - less, i, edits)
+    parts, k = edits + 1, edits + 1  # any k that leaves all segments some characters
+    n, found = k * parts + remainder, {}
+    for i in range(parts):
+        start, size = _segment(n, i, parts)
+        found[i, start - i * k, size - k] = True
+    for less in range(parts):
+        for i in range(parts):
+            start, size = _segment(n - less, i, parts)
             for move in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                if less or move:
-                    at = start + move
-                    inside = (at >= 1) & (at + size - 1 <= n) & (n - less > edits)
-                    out.append(F.when(inside, F.struct(F.xxhash64(n - less, F.lit(i), line.substr(at, size)).alias("hash"), F.lit(True).alias("probe"))))
-    return lines.select("id", "n", F.explode(F.array(*out)).alias("s")).where("s is not null").select("s.hash", "id", "n", "s.probe")
+                found.setdefault((i, start + move - i * k, size - k), False)
+    return [(*place, indexed) for place, indexed in found.items()]
+
+
+def segment_rows(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """hash, id, n, probe of every indexed segment (probe false) and every other probed substring (true) of ``lines``.
+
+    Lengths are left out of the hash: one substring stands for all lengths of a partner that it may be a segment of.
+    """
+    parts = edits + 1
+    lists = [F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(not own).alias("probe")) for i, a, b, own in substrings(r, edits)]) for r in range(parts)]
+    k = F.floor(F.col("n") / parts).cast("int")
+    rows = lines.select("id", "n", "line", k.alias("k"), F.explode(F.get(F.array(*lists), F.col("n") % parts)).alias("s"))
+    piece = F.col("line").substr(F.col("s.i") * F.col("k") + F.col("s.a"), F.col("k") + F.col("s.b"))
+    return rows.select(F.xxhash64("s.i", piece).alias("hash"), "id", "n", "s.probe")
 
 
 def pair_parity(letters: str) -> Column:
@@ -130,7 +139,7 @@ def line_links(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, shortest:
     known = shared.join(texts.select("id", "parity"), "id")
     x = known.where("not probe").select("hash", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("parity_a"))
     y = known.select("hash", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"), "probe")
-    close = F.expr(f"a <> b and (probe or a < b) and n_b - n_a between 0 and {edits} and bit_count(parity_a ^ parity_b) <= {4 * edits}")
+    close = F.expr(f"a <> b and (probe or n_a < n_b or a < b) and n_b - n_a between 0 and {edits} and bit_count(parity_a ^ parity_b) <= {4 * edits}")
     pairs = settle(x.join(y, "hash").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     text_of = lambda s: texts.select(F.col("id").alias(s), F.col("letters").alias(f"letters_{s}"))
     return within(pairs.join(text_of("a"), "a").join(text_of("b"), "b"), "letters_a", "letters_b", edits).select("a", "b")
