@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +29,9 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir()
-    return folder
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or where it is unset a place in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -54,8 +50,6 @@ def blocks_for(n: int, each: int) -> int:
     return max(1, -(-int(n) // each))
 
 
-
-
 #: Words of the bitmap of ``may_hold``: 2^16 longs, 2^22 bits, at any size of the data.
 BITMAP_WORDS = 1 << 16
 
@@ -82,11 +76,26 @@ def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return _bit_of(df, key, ids).where("coalesce(getbit(_bits, _at), 0) = 0").select(*df.columns)
 
 
-def sliced(batches, rows: int = 1024):
-    """Record batches cut to at most ``rows`` rows, so that what is built per batch stays small."""
+def sliced(batches, rows: int = 1024, column: int | None = None, size: int = 0):
+    """Record batches cut to at most ``rows`` rows, so that what is built per batch stays small.
+
+    With ``column``, cut by the bytes of that column instead: about ``size`` of them, one row at least.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if column is None:
+            cuts = range(rows, batch.num_rows + rows, rows)
+        else:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts, last = [], 0
+            while last < batch.num_rows:
+                before = int(ends[last - 1]) if last else 0
+                last = max(int(np.searchsorted(ends, before + size, side="right")), last + 1)
+                cuts.append(last)
+        at = 0
+        for cut in cuts:
+            if at < batch.num_rows:
+                yield batch.slice(at, cut - at)
+            at = cut
 
 
 def components(edges: DataFrame) -> DataFrame:
