@@ -12,6 +12,8 @@ Defined results: a null value has type null and no items; an empty value, or one
 
 from __future__ import annotations
 
+import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, sliced
 
 # Magic bytes and where they stand from the start of an item.
 SIGNATURES = [
@@ -43,6 +45,7 @@ RIFF_KINDS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msv
 UNKNOWN = "application/octet-stream"
 PIXELS_WIDE = 64
 ROW_BYTES = PIXELS_WIDE * 3
+SLICE_BYTES = 4 << 20
 
 
 @lru_cache(1)
@@ -56,139 +59,247 @@ def automaton():
     return found
 
 
-def _png(b: memoryview, at: int) -> int:
-    i, first = at + 8, True
-    while i + 12 <= len(b):
+class _Value:
+    """A value's bytes, with the last place of each needle that was sought, so that seeking stays linear over ascending places."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size, self.places = data, len(data), {}
+
+    def find(self, needle: bytes, at: int) -> int:
+        """Where ``needle`` stands next from ``at`` on, or -1."""
+        begin, place = self.places.get(needle, (0, -2))
+        if place == -2 or at < begin or 0 <= place < at:
+            place = self.data.find(needle, at)
+            self.places[needle] = at, place
+        return place
+
+
+def _png(v: _Value, at: int) -> int:
+    b, i, first, data = v.data, at + 8, True, False
+    while i + 12 <= v.size:
         n, kind = struct.unpack_from(">I4s", b, i)
         end = i + 12 + n
-        if end > len(b) or (first and (kind != b"IHDR" or n != 13)) or zlib.crc32(b[i + 4 : i + 8 + n]) != struct.unpack_from(">I", b, i + 8 + n)[0]:
+        if end > v.size or (first and (kind != b"IHDR" or n != 13)) or zlib.crc32(memoryview(b)[i + 4 : i + 8 + n]) != struct.unpack_from(">I", b, i + 8 + n)[0]:
             return 0
         if kind == b"IEND":
-            return end - at
-        i, first = end, False
+            return end - at if data else 0
+        i, first, data = end, False, data or kind == b"IDAT"
     return 0
 
 
-def _jpeg(b: memoryview, at: int) -> int:
-    i = at + 2
-    while i + 4 <= len(b) and b[i] == 0xFF:
+def _jpeg(v: _Value, at: int) -> int:
+    """Segments up to the end mark; within a scan, any mark but a restart ends it."""
+    b, i, scanned, framed = v.data, at + 2, False, False
+    while i + 4 <= v.size and b[i] == 0xFF or i + 2 == v.size and b[i] == 0xFF:
         mark = b[i + 1]
         if mark == 0xD9:
-            return i + 2 - at
+            return i + 2 - at if scanned and framed else 0
+        if i + 4 > v.size or mark in (0x00, 0x01, 0xFF) or 0xD0 <= mark <= 0xD8:
+            return 0
         n = struct.unpack_from(">H", b, i + 2)[0]
-        if n < 2 or mark in (0x00, 0xFF):
+        if n < 2:
             return 0
+        framed = framed or 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
         i += 2 + n
         if mark == 0xDA:
-            rest = bytes(b[i:])
-            j = rest.find(b"\xff")
-            while j >= 0 and j + 1 < len(rest) and (rest[j + 1] == 0 or 0xD0 <= rest[j + 1] <= 0xD7):
-                j = rest.find(b"\xff", j + 2)
-            if j < 0:
+            scanned = True
+            while (i := v.find(b"\xff", i)) >= 0 and i + 1 < v.size and (b[i + 1] == 0 or 0xD0 <= b[i + 1] <= 0xD7):
+                i += 2
+            if i < 0:
                 return 0
-            i += j
     return 0
 
 
-def _gif(b: memoryview, at: int) -> int:
-    if at + 13 > len(b):
+def _gif(v: _Value, at: int) -> int:
+    b = v.data
+    if at + 13 > v.size:
         return 0
-    flags = b[at + 10]
+    flags, pictures = b[at + 10], 0
     i = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-    while i < len(b):
+    while i < v.size:
         if b[i] == 0x3B:
-            return i + 1 - at
+            return i + 1 - at if pictures else 0
         if b[i] == 0x21:
             i += 2
-        elif b[i] == 0x2C and i + 10 <= len(b):
-            flags = b[i + 9]
+        elif b[i] == 0x2C and i + 10 <= v.size:
+            flags, pictures = b[i + 9], pictures + 1
             i += 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
         else:
             return 0
-        while i < len(b) and b[i]:
+        while i < v.size and b[i]:
             i += b[i] + 1
         i += 1
     return 0
 
 
-def _bmp(b: memoryview, at: int) -> int:
-    if at + 30 > len(b):
+def _bmp(v: _Value, at: int) -> int:
+    if at + 30 > v.size:
         return 0
-    size, zero, start, head, _, _, planes, bits = struct.unpack_from("<IIIIiiHH", b, at + 2)
-    good = zero == 0 and head in (40, 52, 56, 108, 124) and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and 14 + head <= start <= size
-    return size if good and at + size <= len(b) else 0
+    size, zero, start, head, wide, high, planes, bits = struct.unpack_from("<IIIIiiHH", v.data, at + 2)
+    good = zero == 0 and head in (40, 52, 56, 108, 124) and wide > 0 and high != 0 and planes == 1 and bits in (1, 4, 8, 16, 24, 32) and 14 + head <= start <= size
+    return size if good and at + size <= v.size else 0
 
 
-def _riff(b: memoryview, at: int) -> int:
-    if at + 12 > len(b) or bytes(b[at + 8 : at + 12]) not in RIFF_KINDS:
+def _riff(v: _Value, at: int) -> int:
+    if at + 12 > v.size or v.data[at + 8 : at + 12] not in RIFF_KINDS:
         return 0
-    size = struct.unpack_from("<I", b, at + 4)[0] + 8
-    if size < 12 or at + size > len(b):
+    size = struct.unpack_from("<I", v.data, at + 4)[0] + 8
+    if size < 20 or at + size > v.size:
         return 0
     i = at + 12
     while i + 8 <= at + size:
-        n = struct.unpack_from("<I", b, i + 4)[0]
+        n = struct.unpack_from("<I", v.data, i + 4)[0]
         i += 8 + n + (n & 1)
     return size if i in (at + size, at + size + 1) else 0
 
 
-def _flac(b: memoryview, at: int) -> int:
-    i = at + 4
-    if i + 4 > len(b) or b[i] & 0x7F or int.from_bytes(b[i + 1 : i + 4], "big") != 34:
-        return 0
-    while i + 4 <= len(b):
-        last, n = b[i] & 0x80, int.from_bytes(b[i + 1 : i + 4], "big")
+@lru_cache(4)
+def _crc_table(bits: int, poly: int) -> list[int]:
+    top, mask = 1 << (bits - 1), (1 << bits) - 1
+    table = []
+    for c in range(256):
+        c <<= bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ poly if c & top else c << 1) & mask
+        table.append(c)
+    return table
+
+
+def _crc(data: bytes, bits: int, poly: int) -> int:
+    """Check sum whose highest bit comes first."""
+    table, c, shift, mask = _crc_table(bits, poly), 0, bits - 8, (1 << bits) - 1
+    for x in data:
+        c = (c << 8 & mask) ^ table[c >> shift ^ x]
+    return c
+
+
+def _flac_head(b: bytes, i: int) -> tuple[int, int]:
+    """(length of the frame header at ``i``, samples of the frame), zeros where there is none."""
+    if i + 6 > len(b) or b[i] != 0xFF or b[i + 1] & 0xFE != 0xF8 or b[i + 3] & 1:
+        return 0, 0
+    block, rate = b[i + 2] >> 4, b[i + 2] & 15
+    lead = next((k for k in range(8) if not b[i + 4] & 0x80 >> k), 8)
+    at = i + 4 + max(lead, 1)
+    if block == 0 or rate == 15 or lead in (1, 8):
+        return 0, 0
+    samples = 192 if block == 1 else 576 << block - 2 if block < 6 else 256 << block - 8
+    if block in (6, 7):
+        samples = int.from_bytes(b[at : at + block - 5], "big") + 1
+        at += block - 5
+    at += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    return (at + 1 - i, samples) if at < len(b) and _crc(b[i:at], 8, 0x07) == b[at] else (0, 0)
+
+
+def _flac(v: _Value, at: int) -> int:
+    """Metadata, then frames by their check sums until the stream's samples are complete; a stream of unknown length ends with the last good frame."""
+    b, i, whole = v.data, at + 4, None
+    while i + 4 <= v.size:
+        last, kind, n = b[i] & 0x80, b[i] & 0x7F, int.from_bytes(b[i + 1 : i + 4], "big")
+        if whole is None:
+            if kind != 0 or n != 34 or i + 38 > v.size:
+                return 0
+            whole = int.from_bytes(b[i + 17 : i + 22], "big") & 0xFFFFFFFFF
         i += 4 + n
         if last:
-            return len(b) - at if i <= len(b) else 0
-    return 0
+            break
+    else:
+        return 0
+    done, table = 0, _crc_table(16, 0x8005)
+    while not whole or done < whole:
+        head, samples = _flac_head(b, i)
+        if not head:
+            break
+        c, j, final = _crc(b[i : i + head], 16, 0x8005), i + head, bool(whole) and done + samples >= whole
+        while j < v.size:
+            c = (c << 8 & 0xFFFF) ^ table[c >> 8 ^ b[j]]
+            j += 1
+            if c == 0 and (final or j == v.size or _flac_head(b, j)[0]):
+                break
+        if c:
+            break
+        i, done = j, done + samples
+    return i - at if done and (not whole or done >= whole) else 0
 
 
-def _ogg(b: memoryview, at: int) -> int:
-    i = at
-    while i + 27 <= len(b) and bytes(b[i : i + 5]) == b"OggS\0":
+def _ogg(v: _Value, at: int) -> int:
+    """Pages with right check sums, from one that begins a stream to the last that follows without a gap."""
+    b, i = v.data, at
+    while i + 27 <= v.size and b[i : i + 5] == b"OggS\0":
         n = b[i + 26]
         end = i + 27 + n + sum(b[i + 27 : i + 27 + n])
-        if i + 27 + n > len(b) or end > len(b):
+        if i + 27 + n > v.size or end > v.size or i == at and not b[i + 5] & 2:
+            break
+        if _crc(b[i : i + 22] + b"\0\0\0\0" + b[i + 26 : end], 32, 0x04C11DB7) != struct.unpack_from("<I", b, i + 22)[0]:
             break
         i = end
     return i - at
 
 
-def _mp4(b: memoryview, at: int) -> int:
-    i = at
-    while i + 8 <= len(b):
+def _mp4(v: _Value, at: int) -> int:
+    b, i, kinds = v.data, at, set()
+    while i + 8 <= v.size:
         n, kind = struct.unpack_from(">I4s", b, i)
-        if n < 8 or i + n > len(b) or not all(32 <= c < 127 for c in kind):
+        if n == 1 and i + 16 <= v.size:
+            n = struct.unpack_from(">Q", b, i + 8)[0]
+        if n < 8 or i + n > v.size or not all(32 <= c < 127 for c in kind):
             break
+        kinds.add(kind)
         i += n
-    return i - at
+    return i - at if kinds & {b"moov", b"mdat", b"moof", b"meta"} else 0
+
 
+_PDF_END = re.compile(rb"startxref[\r\n ]+(\d{1,12})[\r\n ]+$")
+_PDF_TABLE = re.compile(rb"xref[\r\n ]|\d+ +\d+ +obj")
 
-def _pdf(b: memoryview, at: int) -> int:
-    end = bytes(b[at:]).rfind(b"%%EOF")
-    return end + 5 if end > 0 else 0
+
+def _pdf(v: _Value, at: int) -> int:
+    """Up to the last end mark before the next header whose startxref names a cross-reference table in the item."""
+    b = v.data
+    if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
+        return 0
+    stop = v.find(b"%PDF-", at + 5)
+    stop, found, end = v.size if stop < 0 else stop, 0, at
+    while 0 <= (end := v.find(b"%%EOF", end + 5)) < stop:
+        told = _PDF_END.search(b, max(at, end - 64), end)
+        if told and int(told[1]) < end - at and _PDF_TABLE.match(b, at + int(told[1])):
+            found = end + 5 - at
+    return found
 
 
-def _gzip(b: memoryview, at: int) -> int:
+def _gzip(v: _Value, at: int) -> int:
+    """One member: the header's fields are skipped, the stream is read in pieces, and its check sum and length must agree."""
+    b, i = v.data, at + 10
+    if i > v.size or (flags := b[at + 3]) & 0xE0:
+        return 0
+    if flags & 4:
+        i += 2 + int.from_bytes(b[i : i + 2], "little")
+    for field in (8, 16):  # name and comment, each up to a zero byte
+        if flags & field:
+            if (i := v.find(b"\0", i) + 1) == 0:
+                return 0
+    i += flags & 2
+    reader, crc, size, view = zlib.decompressobj(-15), 0, 0, memoryview(b)
     try:
-        reader = zlib.decompressobj(31)
-        left = bytes(b[at:])
-        while left and not reader.eof:
-            reader.decompress(left, 1 << 20)
-            left = reader.unconsumed_tail
-        return len(b) - at - len(reader.unused_data) if reader.eof else 0
+        while i < v.size and not reader.eof:
+            left = view[i : i + 16384]
+            i += len(left)
+            while len(left) and not reader.eof:
+                out = reader.decompress(left, 1 << 20)
+                crc, size, left = zlib.crc32(out, crc), size + len(out), reader.unconsumed_tail
     except zlib.error:
         return 0
+    i -= len(reader.unused_data)
+    good = reader.eof and i + 8 <= v.size and struct.unpack_from("<II", b, i) == (crc, size & 0xFFFFFFFF)
+    return i + 8 - at if good else 0
 
 
-def _zip(b: memoryview, at: int) -> int:
-    rest = bytes(b[at:])
-    end = rest.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(rest):
+def _zip(v: _Value, at: int) -> int:
+    end = v.find(b"PK\x05\x06", at)
+    if end < 0 or end + 22 > v.size:
         return 0
-    size, start, note = struct.unpack_from("<IIH", rest, end + 12)
-    return end + 22 + note if start + size == end and end + 22 + note <= len(rest) else 0
+    size, start, note = struct.unpack_from("<IIH", v.data, end + 12)
+    whole = start + size == end - at and end + 22 + note <= v.size and (size == 0 or v.data[at + start : at + start + 4] == b"PK\x01\x02")
+    return end + 22 + note - at if whole else 0
 
 
 VALIDATORS = {
@@ -199,7 +310,7 @@ VALIDATORS = {
 
 def items(value: bytes) -> list[tuple[int, int, str]]:
     """(start, length, type) of each valid item, by start; items inside another are listed too."""
-    view, hits = memoryview(value), {}
+    held, hits = _Value(value), {}
     for end, (n, offset, kind) in automaton().iter(value.decode("latin-1")):
         at = end + 1 - n - offset
         if at >= 0 and (at not in hits or hits[at][0] < n):
@@ -207,11 +318,21 @@ def items(value: bytes) -> list[tuple[int, int, str]]:
     out = []
     for at in sorted(hits):
         kind = hits[at][1]
-        if length := VALIDATORS[kind](view, at):
+        if length := VALIDATORS[kind](held, at):
             out.append((at, length, RIFF_KINDS[value[at + 8 : at + 12]] if kind == "riff" else kind))
     return out
 
 
+def outermost(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Those items that don't begin inside an earlier one."""
+    out, end = [], 0
+    for at, length, kind in found:
+        if at >= end:
+            out.append((at, length, kind))
+            end = at + length
+    return out
+
+
 def encode_rgb(payload: bytes) -> bytes:
     """PNG of the samples, ``PIXELS_WIDE`` RGB pixels to a row; their number is a multiple of ``ROW_BYTES``."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES)
@@ -281,7 +402,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Each whole text as media: doc_id, n_bytes, media (a PNG of its UTF-8 bytes, blanks filling the last row).  Null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, column=1, size=SLICE_BYTES):
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             media = [encode_rgb(t + b" " * (-len(t) % ROW_BYTES if t else ROW_BYTES)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -290,31 +411,58 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+#: What stands before and behind a stored picture, and the type it is declared as: by the length of the text, as in a dump
+#: whose labels can't be trusted.  The second holds magics without items.
+ENVELOPES = [
+    (b"", b"", "image/png"),
+    (b"Content-Type: image/gif\r\n\r\n", b"\r\n--end--\r\n", "image/gif"),
+    (b"GIF89a, BM, PK\x03\x04 and %PDF-1.4 are magics; %%EOF ends one.\n", b"\x1f\x8b\x08", "application/pdf"),
+]
+
+
+def wrap_media(stored: DataFrame) -> DataFrame:
+    """``stored`` (doc_id, n_bytes, media) with every value inside one of the ``ENVELOPES``, and its declared type."""
+    kinds = F.array(*[F.struct(F.lit(a).alias("front"), F.lit(z).alias("back"), F.lit(t).alias("declared")) for a, z, t in ENVELOPES])
+    picked = F.get(kinds, (F.col("n_bytes") % len(ENVELOPES)).cast("int"))
+    rows = stored.select("doc_id", "n_bytes", "media", picked.alias("e"))
+    return rows.select("doc_id", "n_bytes", F.concat("e.front", "media", "e.back").alias("media"), F.col("e.declared").alias("declared"))
+
+
 def media_features(stored: DataFrame) -> DataFrame:
-    """Sniff, carve and read back what ``store_texts`` wrote.
+    """Sniff, carve and read back what ``store_texts`` wrote, wrapped by ``wrap_media`` or bare.
 
-    Every value is sniffed by its bytes alone; the RGB item at its front is carved out and decoded, and all digests
-    are those of what was read.  A value whose front is no valid RGB picture has null digests.
+    Every value is sniffed by its bytes alone; the first item that doesn't stand inside another is carved out, its type
+    corrects the declared one, and an RGB picture is decoded; all digests are those of what was carved and read.  A value
+    without an item has the unknown type and null digests, a null value null ones throughout.
     """
-    import hashlib
+    stored = stored if "declared" in stored.columns else stored.withColumn("declared", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for value in batch.column(2).to_pylist():
-                found = items(value)
-                front = next((x for x in found if x[0] == 0), None)
-                row = [front[2] if front else UNKNOWN, len(found) - bool(front), None, None, None, len(value), hashlib.sha256(value).hexdigest(), None]
-                if front and front[2] == "image/png":
-                    pixels = read_rgb(value[: front[1]])
+            for value, said in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if value is None:
+                    out.append([None] * 11)
+                    continue
+                found = outermost(items(value))
+                if not found:
+                    out.append([UNKNOWN, 0, None, None, None, None, None, None, said, said is not None, None])
+                    continue
+                at, length, kind = found[0]
+                carved = value[at : at + length]
+                row = [kind, len(found) - (at == 0), None, None, None, length, hashlib.sha256(carved).hexdigest(), None, said, said is not None and said != kind, at]
+                if kind == "image/png":
+                    pixels = read_rgb(carved)
                     payload = pixels.tobytes()
                     row[2:5] = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])
                     row[7] = _feature(pixels)
                 out.append(row)
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 11
+            types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
             arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "n_bytes", "media_type", "embedded", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "n_bytes", *names])
 
+    names = ["media_type", "embedded", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "corrected", "item_start"]
     kind = stored.schema["doc_id"].dataType.simpleString()
-    return stored.mapInArrow(run, f"doc_id {kind}, n_bytes long, media_type string, embedded int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = f"doc_id {kind}, n_bytes long, media_type string, embedded int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, corrected boolean, item_start long"
+    return stored.select("doc_id", "n_bytes", "media", "declared").mapInArrow(run, schema)

@@ -12,8 +12,8 @@ from .common import pick, table
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = media.media_features(media.store_texts(table(spark, sf_dir, "documents")))
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "embedded")
+    read = media.media_features(media.wrap_media(media.store_texts(table(spark, sf_dir, "documents"))))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "embedded", "declared", "corrected", "item_start")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
