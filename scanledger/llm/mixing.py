@@ -1,14 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A document's expected number of copies is its source's ratio of target to size (times an optional weight of the
-document, whose mean is brought to 1).  The whole part is taken for certain; the rest is its inclusion probability p.
-Documents are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)) with u from a hash of the id,
-and taken in that order until the source's remaining words are used up.  Ranks are cut by counting words in bins of
-the rank, then in bins within the bin that is split, so that only one small bin per source is ever sorted; of the
-documents behind the cut, the largest that still fits what is left is added.
+A document's expected number of copies is a level of its source times the document's weight, ``MOST_COPIES`` at most; the
+level is such that the source's expected words are its target.  The whole part is taken for certain; the rest is the
+document's inclusion probability p.  Documents are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p))
+with u from a hash of the id, and taken in that order until the source's remaining words are used up.  Ranks are cut by
+counting words in bins of the rank, then in bins within the bin that is split, so that only one small bin per source is
+ever sorted; of the documents behind the cut, the largest that still fits what is left is added.
+
+Weights are rounded to ``STEPS`` to the octave, so that a source has a bounded number of them however many documents it
+has.  Unless given, a weight grows with the logarithm of the document's words: very short texts teach little.
+
+Tables with one row per source are settled, so that Spark knows their size and broadcasts them only while they are small.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, after all others; repeated
-rows are ranked apart by their number among equals; a source of size 0 has target 0; an empty table gives no rows.
+rows are ranked apart by their number among equals; rows without an id are ranked like any other; a source of size 0 has
+target 0; a null or negative weight counts as 0; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from .common import WORD_SPACE, pick, settle
 
 BINS = 4096
 MOST_COPIES = 3
+STEPS = 8
 
 
 def word_count(text: Column) -> Column:
@@ -64,11 +71,13 @@ def _cut(rows: DataFrame, room: DataFrame) -> DataFrame:
     ends1 = bins1.withColumn("end", F.sum("words").over(Window.partitionBy("source").orderBy("b1"))).join(room, F.expr("source <=> source_r"))
     split1 = ends1.where("end > room").groupBy("source_r").agg(F.min(F.struct("b1", (F.col("end") - F.col("words")).alias("before"))).alias("s1"))
     cut1 = room.join(split1.withColumnRenamed("source_r", "source_s"), F.expr("source_r <=> source_s"), "left").select("source_r", "room", F.col("s1.b1").alias("c1"), F.col("s1.before").alias("before1"))
-    bins2 = rows.join(F.broadcast(cut1), F.expr("source <=> source_r and b1 = c1")).groupBy("source", "source_r", "b1", "b2", "room", "before1").agg(F.sum("size").alias("words"))
+    cut1 = settle(cut1)
+    bins2 = rows.join(cut1, F.expr("source <=> source_r and b1 = c1")).groupBy("source", "source_r", "b1", "b2", "room", "before1").agg(F.sum("size").alias("words"))
     ends2 = bins2.withColumn("end", F.col("before1") + F.sum("words").over(up_to))
     split2 = ends2.where("end > room").groupBy("source").agg(F.min(F.struct("b2", (F.col("end") - F.col("words")).alias("before"))).alias("s2")).select(F.col("source").alias("source_t"), F.col("s2.b2").alias("c2"), F.col("s2.before").alias("before2"))
     cuts = cut1.join(split2, F.expr("source_r <=> source_t"), "left").drop("source_t", "before1")
-    marked = rows.join(F.broadcast(cuts), F.expr("source <=> source_r")).drop("source_r")
+    cuts = settle(cuts)
+    marked = rows.join(cuts, F.expr("source <=> source_r")).drop("source_r")
     at = (F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2"))
     inside = F.col("c1").isNull() | (F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & (F.col("c2").isNull() | (F.col("b2") < F.col("c2"))))
     edge = marked.where(at).withColumn("end", F.col("before2") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "copy_no")))
@@ -77,48 +86,83 @@ def _cut(rows: DataFrame, room: DataFrame) -> DataFrame:
     return rest.select(*keep, "in").union(edge.withColumn("in", F.col("end") <= F.col("room")).select(*keep, "in"))
 
 
-def pareto_mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
-    """Whole copies of each row of ``sized`` (doc_id, source, size, optional weight) under ``targets``.
+def length_weight(size: Column) -> Column:
+    """1 for a text without words, one more for each doubling of their number."""
+    return 1 + F.floor(F.log2(size.cast("double") + 1)).cast("double")
 
-    Returns doc_id, source, size, source_size, target, copies.
+
+def source_levels(weighted: DataFrame, targets: DataFrame, most: int = MOST_COPIES) -> DataFrame:
+    """source, weight, source_size, target, wanted: expected copies of a document of each source and weight.
+
+    Wanted is min(most, level * weight), heavier documents reach the bound first; those before the first weight that stays
+    below it set the level of all that follow.
     """
+    sums = weighted.groupBy("source", "weight").agg(F.sum("size").alias("words"))
     t = targets.select(F.col("source").alias("source_t"), "source_size", "target")
-    rows = sized if "weight" in sized.columns else sized.withColumn("weight", F.lit(1.0))
-    rows = rows.join(F.broadcast(t), F.expr("source <=> source_t")).drop("source_t")
-    mean = rows.groupBy("source").agg((F.sum(F.col("weight") * F.col("size")) / F.sum("size")).alias("mean")).withColumnRenamed("source", "source_m")
-    rows = rows.join(F.broadcast(mean), F.expr("source <=> source_m")).drop("source_m")
-    wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.when(F.col("mean") > 0, F.col("weight") / F.col("mean")).otherwise(1.0)
-    rows = rows.withColumn("wanted", F.least(wanted, F.lit(float(MOST_COPIES))))
+    sums = sums.join(t, F.expr("source <=> source_t")).drop("source_t")
+    heavy = Window.partitionBy("source").orderBy(F.col("weight").desc())
+    before, every = heavy.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("source")
+    mass = F.col("words") * F.col("weight")
+    full = most * F.coalesce(F.sum("words").over(before), F.lit(0))
+    left = F.sum(mass).over(heavy.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    sums = sums.withColumn("level", F.try_divide(F.greatest(F.col("target") - full, F.lit(0.0)), F.when(left > 0, left)))
+    below = F.col("level") * F.col("weight") <= most
+    level = F.max_by(F.when(below, F.col("level")), F.when(below, F.col("weight"))).over(every)
+    wanted = F.least(F.lit(float(most)), F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))
+    return sums.select("source", "weight", "source_size", "target", F.when((F.col("source_size") > 0) & (F.col("weight") > 0), wanted).otherwise(0.0).alias("wanted"))
+
+
+def ranked_documents(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+    """doc_id, copy_no, source, size, source_size, target, whole, p, u, rank of each row of ``sized`` (doc_id, source, size, copy_no, optional weight).
+
+    ``whole`` copies are certain, p is the probability of one more, u a number in (0, 1) from a hash; rank, in [0, 1), grows
+    with the odds of u over those of p.
+    """
+    weight = F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)) if "weight" in sized.columns else length_weight(F.col("size"))
+    rows = sized.select("doc_id", "copy_no", "source", "size", weight.alias("weight"))
+    rows = rows.withColumn("weight", F.when(F.col("weight") > 0, F.pow(2.0, F.round(F.log2(F.greatest("weight", F.lit(1e-300))) * STEPS) / STEPS)).otherwise(0.0))
+    levels = settle(source_levels(rows, targets))
+    levels = levels.select(F.col("source").alias("source_l"), F.col("weight").alias("weight_l"), "source_size", "target", "wanted")
+    rows = rows.join(levels, F.expr("source <=> source_l and weight = weight_l")).drop("source_l", "weight_l")
     rows = rows.withColumn("whole", F.floor(F.col("wanted") + 1e-9).cast("int")).withColumn("p", F.greatest(F.col("wanted") - F.col("whole"), F.lit(0.0)))
     # u in (0, 1) from 52 bits of a hash; odds above 0, so that odds / (1 + odds) ranks in [0, 1) as the odds do.
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size", "copy_no"), 12) + 0.5) / float(1 << 52)
-    odds = (u / (1 - u)) / (F.greatest("p", F.lit(1e-12)) / (1 - F.least("p", F.lit(1 - 1e-12))))
-    rows = settle(rows.withColumn("rank", F.least(odds / (1 + odds), F.lit(1 - 2.0**-53))).select("doc_id", "copy_no", "source", "size", "source_size", "target", "whole", "p", "rank"))
-    room = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("room")).withColumnRenamed("source", "source_r")
+    rows = rows.withColumn("u", (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size", "copy_no"), 12) + 0.5) / float(1 << 52))
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.greatest("p", F.lit(1e-12)) / (1 - F.least("p", F.lit(1 - 1e-12))))
+    rows = rows.withColumn("rank", F.least(odds / (1 + odds), F.lit(1 - 2.0**-53)))
+    return settle(rows.select("doc_id", "copy_no", "source", "size", "source_size", "target", "whole", "p", "u", "rank"))
+
+
+def pareto_mix(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+    """Whole copies of each row of ``sized`` (doc_id, source, size, copy_no, optional weight) under ``targets``.
+
+    Returns doc_id, copy_no, source, size, source_size, target, copies.
+    """
+    rows = ranked_documents(sized, targets, seed).drop("u")
+    room = settle(rows.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("room")).withColumnRenamed("source", "source_r"))
     closed = (F.col("p") <= 0) | (F.col("size") == 0)
     cut = settle(_cut(rows.where(~closed), room).unionByName(rows.where(closed).withColumn("in", F.lit(False))))
     used = cut.where("in").groupBy("source").agg(F.sum("size").alias("used")).withColumnRenamed("source", "source_u")
-    left = room.join(used, F.expr("source_r <=> source_u"), "left").select("source_r", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
+    left = settle(room.join(used, F.expr("source_r <=> source_u"), "left").select("source_r", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")))
     last = (
         cut.where("not `in` and p > 0 and size > 0")
-        .join(F.broadcast(left), F.expr("source <=> source_r and size <= room"))
+        .join(left, F.expr("source <=> source_r and size <= room"))
         .groupBy("source")
         .agg(F.max_by(F.struct("doc_id", "copy_no"), F.struct("size", -F.col("rank"))).alias("last"))
         .select(F.col("source").alias("source_f"), F.col("last.doc_id").alias("last_id"), F.col("last.copy_no").alias("last_no"))
     )
-    fills = F.expr("source <=> source_f and doc_id = last_id and copy_no = last_no")
-    done = cut.join(F.broadcast(last), fills, "left").withColumn("in", F.col("in") | F.col("last_no").isNotNull())
+    fills = F.expr("source <=> source_f and doc_id <=> last_id and copy_no = last_no and not `in`")
+    done = cut.join(settle(last), fills, "left").withColumn("in", F.col("in") | F.col("last_no").isNotNull())
     return done.select("doc_id", "copy_no", "source", "size", "source_size", "target", (F.col("whole") + F.col("in").cast("int")).alias("copies"))
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size and copy_no (0, 1, ... among rows equal in all three), settled."""
     rows = pick(docs, doc_id=id_col, source=source_col, text=text_col).select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    again = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    return settle(rows.withColumn("copy_no", F.row_number().over(again) - 1))
+    counts = rows.groupBy("doc_id", "source", "size").agg(F.count("*").cast("int").alias("n"))
+    return settle(counts.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy_no")))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Words that the mix takes of each document: doc_id, copy_no, source, size, source_size, target, copies, taken."""
     sized = sized_documents(docs)
-    return pareto_mix(sized, source_targets(sized)).withColumn("taken", F.col("copies").cast("long") * F.col("size"))
+    return pareto_mix(sized, settle(source_targets(sized))).withColumn("taken", F.col("copies").cast("long") * F.col("size"))
