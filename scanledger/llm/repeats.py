@@ -2,17 +2,18 @@
 
 1.  Every window of ``LENGTH`` bytes is assigned to its anchor, the k-gram in it with the smallest hash, which depends on
     the window's bytes alone: equal windows have equal anchors.  Neighbouring windows of one anchor form a run.
-2.  Runs are gathered by anchor.  A run whose whole context (all its windows) also occurs earlier is a repeat as it
-    stands; within a batch of documents this is settled before the shuffle.  Runs of anchors that occur once are done.
-3.  What is left are the first runs of contexts that share an anchor but differ: the edges of repeats.  Their contexts
-    are dealt to shards by anchor; a shard sorts its suffixes by induced sorting, takes permuted common prefixes, and
-    in every stretch of suffixes that share ``LENGTH`` bytes keeps the earliest start.  Anchors with more than
-    ``CROWD`` such contexts are not gathered in one place: their windows are ranked by digest, in salted parts first.
+2.  Runs are gathered by anchor.  Runs of anchors that occur once are done.  Runs with equal contexts (all their windows)
+    collapse to the first, the others repeat it as they stand; within a slice of documents this is settled before the shuffle.
+3.  The different contexts of an anchor are dealt to shards of about ``SHARD_BYTES`` by anchor; a shard sorts its suffixes
+    by induced sorting, takes permuted common prefixes, and in every stretch of suffixes that share ``LENGTH`` bytes keeps
+    the earliest start.  An anchor whose contexts fill more than one shard is dealt to several; of each stretch in one of
+    those, the first window is ranked across the shards by its digest.
 4.  The spans found are merged per document and cut from its bytes.
 
-Defined results: a null text counts as empty; texts shorter than ``LENGTH`` bytes lose nothing; rows with the same
-doc_id count as one document, and the smaller start wins ties within it; rows without a doc_id have no place in the order:
-they lose nothing and cost others nothing; an empty table gives no rows; further columns are ignored.
+Defined results: a null text counts as empty; texts shorter than ``LENGTH`` bytes lose nothing; rows with the same doc_id
+and text count as one document, and rows with the same doc_id but other texts as documents of their own, in the order of
+their texts' hashes; the smaller start wins ties within one; rows without a doc_id have no place in the order: they lose
+nothing and cost others nothing; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,19 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import may_hold, pick, settle, without
+from .common import may_hold, pick, settle, sliced, without
 from .suffix_array import permuted_common_prefixes, suffix_array
 from .words import _powers, mixed
 
 LENGTH = 100
 GRAM = 24
-CROWD = 512
-SHARD_BYTES = 1 << 21
-SALTS = 64
+SHARD_BYTES = 1 << 18
+#: Bytes of texts whose runs are found together.
+SLICE_BYTES = 4 << 20
 _SEGMENT = 1 << 19
+#: A place is the number of a document among those of its id, and below these bits the start in it.
+_START_BITS = 40
+_START = (1 << _START_BITS) - 1
 
 
 def _digests(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray | int, sums: np.ndarray) -> np.ndarray:
@@ -84,172 +88,184 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
+def _told_apart(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text in bytes; the different texts of ids that have several: doc_id, hash, sub)."""
+    rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    hashes = rows.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    several = hashes.groupBy("doc_id").agg(F.min("hash").alias("a"), F.max("hash").alias("z")).where("a <> z").select("doc_id")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("hash")) - 1
+    return rows, settle(hashes.join(several, "doc_id", "left_semi").distinct().withColumn("sub", nth))
+
+
+def _with_sub(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text, ...) with sub, 0 where an id has one text."""
+    if not several.limit(1).count():
+        return rows.withColumn("sub", F.lit(0))
+    held = several.select("doc_id").distinct()
+    told = may_hold(rows, "doc_id", held).withColumn("hash", F.xxhash64("text")).join(several, ["doc_id", "hash"], "left").withColumn("sub", F.coalesce("sub", F.lit(0)))
+    return without(rows, "doc_id", held).withColumn("sub", F.lit(0)).unionByName(told.drop("hash"))
+
+
 def _runs(rows: DataFrame, length: int) -> DataFrame:
-    """key, context, doc_id, start, count: the first run of each context in its batch, and with null context the spans
-    (start, count in bytes) of those that are repeats of one in the batch."""
+    """key, context, doc_id, place, count: the first run of each context in its slice, and with null context the spans
+    (place, count in bytes) of those that are repeats of one in the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, parts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), []
-            for d, text in zip(docs, batch.column(1).to_pylist(), strict=True):
-                found = anchor_runs(np.frombuffer(text or b"", np.uint8), length)
-                if len(found[0]):
-                    parts.append((*found, np.full(len(found[0]), d, np.int64)))
+        for batch in sliced(batches, column=1, size=SLICE_BYTES):
+            docs, subs, parts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_pylist(), []
+            for d, text, sub in zip(docs, batch.column(1), subs, strict=True):
+                key, context, start, count = anchor_runs(np.frombuffer(text.as_buffer() or b"", np.uint8), length)
+                if len(key):
+                    parts.append((key, context, start + (sub << _START_BITS), count.astype(np.int32), np.full(len(key), d, np.int64)))
             if not parts:
                 continue
-            key, context, start, count, doc = (np.concatenate(p) for p in zip(*parts, strict=True))
-            order = np.lexsort((start, doc, context, key))
-            key, context, start, count, doc = (a[order] for a in (key, context, start, count, doc))
+            key, context, place, count, doc = (np.concatenate(p) for p in zip(*parts, strict=True))
+            del parts
+            order = np.lexsort((place, doc, context, key))
+            key, context, place, count, doc = (a[order] for a in (key, context, place, count, doc))
             head = np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1]))
             lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-            later = ~head & ((doc != doc[lead]) | (start != start[lead]))
+            later = ~head & ((doc != doc[lead]) | (place != place[lead]))
             spans = []
             if later.any():
-                d, s, e = doc[later], start[later], start[later] + count[later] + (length - 1)
+                d, s, e = doc[later], place[later], place[later] + count[later] + (length - 1)
                 by = np.argsort(d, kind="stable")
                 d, s, e = d[by], s[by], e[by]
                 cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
                 for x, y in zip(cut, np.append(cut[1:], len(d)), strict=True):
                     s2, e2 = _merged(s[x:y], e[x:y])
                     spans.append((np.full(len(s2), d[x]), s2, e2 - s2))
-            k, c, d, s, n = key[head], context[head], doc[head], start[head], count[head]
-            names = ["key", "context", "doc_id", "start", "count"]
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
+            names = ["key", "context", "doc_id", "place", "count"]
+            yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(context[head].view(np.int64)), pa.array(doc[head]), pa.array(place[head]), pa.array(count[head])], names=names)
             if spans:
                 d, s, n = (np.concatenate(p) for p in zip(*spans, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(mixed((d * 4099 + s).astype(np.uint64)).view(np.int64)), pa.nulls(len(d), pa.int64()), pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(mixed((d * 4099 + s).astype(np.uint64)).view(np.int64)), pa.nulls(len(d), pa.int64()), pa.array(d), pa.array(s), pa.array(n.astype(np.int32))], names=names)
 
-    return rows.mapInArrow(run, "key long, context long, doc_id long, start int, count int")
+    return rows.mapInArrow(run, "key long, context long, doc_id long, place long, count int")
 
 
 def _edges(rows: DataFrame, edges: DataFrame, length: int) -> DataFrame:
-    """The contexts of ``edges`` (doc_id, runs: key, start, count, crowded), cut from the texts; crowded ones as windows.
-
-    key, doc_id, start, body: a context, or where body is null a window whose digest is the key.
-    """
-    ids = edges.select("doc_id")
-    joined = may_hold(rows, "doc_id", ids).dropDuplicates(["doc_id"]).join(edges, "doc_id").select("doc_id", "text", "runs")
+    """key, part, parts, doc_id, place, body: the contexts of ``edges`` (doc_id, sub, runs: key, part, parts, place, count), cut from the texts."""
+    joined = may_hold(rows, "doc_id", edges.select("doc_id")).dropDuplicates(["doc_id", "sub"]).join(edges, ["doc_id", "sub"]).select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, doc, start, body = [], [], [], []
-            wkey, wdoc, wstart = [], [], []
+        for batch in sliced(batches, column=1, size=SLICE_BYTES):
+            out = []
             for d, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                b = np.frombuffer(text, np.uint8)
-                sums = None
                 for r in runs:
-                    if r["crowded"]:
-                        sums = _sums(b) if sums is None else sums
-                        at = np.arange(r["start"], r["start"] + r["count"])
-                        wkey.append(_digests(b, at, length, sums))
-                        wdoc.append(np.full(len(at), d))
-                        wstart.append(at)
-                    else:
-                        key.append(r["key"])
-                        doc.append(d)
-                        start.append(r["start"])
-                        body.append(text[r["start"] : r["start"] + r["count"] + length - 1])
-            names = ["key", "doc_id", "start", "body"]
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(body, pa.binary())], names=names)
-            if wkey:
-                k = np.concatenate(wkey).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate(wdoc)), pa.array(np.concatenate(wstart).astype(np.int32)), pa.nulls(len(k), pa.binary())], names=names)
-
-    return joined.mapInArrow(run, "key long, doc_id long, start int, body binary")
-
-
-def repeated_starts(bodies: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the windows of the contexts ``bodies`` that an earlier window among them equals."""
+                    start = r["place"] & _START
+                    out.append((r["key"], r["part"], r["parts"], d, r["place"], text[start : start + r["count"] + length - 1]))
+            if out:
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "part", "parts", "doc_id", "place", "body"])
+
+    return joined.mapInArrow(run, "key long, part int, parts int, doc_id long, place long, body binary")
+
+
+def ranked_windows(bodies: list[bytes], docs: np.ndarray, places: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(number of the context, offset in it, doc, place, whether it is the first of its kind) of all windows of ``bodies``.
+
+    Of equal windows the earliest in (doc, place) is the first; windows at the same doc and place are one.
+    """
     sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    s = np.zeros(int(sizes.sum()) + len(bodies) + 1, np.int64)
+    s = np.zeros(int(sizes.sum()) + len(bodies) + 1, np.int32)
     begins = np.cumsum(sizes + 1) - sizes - 1
-    joined = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int64) + 2
-    joined[begins + sizes] = 1
-    s[:-1] = joined
+    s[:-1] = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int32) + 2
+    s[begins + sizes] = 1
     sa = suffix_array(s, 258)
     shared = permuted_common_prefixes(s, sa, length)
     of = np.repeat(np.arange(len(bodies)), sizes + 1)
     offset = np.arange(len(of)) - begins[of]
     whole = np.append(offset + length <= sizes[of], False)
     ranked = sa[whole[sa]]
-    new = np.append(True, shared[ranked[1:]] < length)
-    doc, start = docs[of[ranked]], starts[of[ranked]] + offset[ranked]
-    group = np.cumsum(new) - 1
-    order = np.lexsort((start, doc, group))
-    doc, start, group = doc[order], start[order], group[order]
+    group = np.cumsum(np.append(True, shared[ranked[1:]] < length))
+    of, offset = of[ranked], offset[ranked]
+    doc, place = docs[of], places[of] + offset
+    order = np.lexsort((place, doc, group))
+    of, offset, doc, place, group = (x[order] for x in (of, offset, doc, place, group))
     head = np.append(True, group[1:] != group[:-1])
     lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-    later = (doc != doc[lead]) | (start != start[lead])
-    return doc[later], start[later]
+    return of, offset, doc, place, (doc == doc[lead]) & (place == place[lead])
 
 
 def _sorted_shards(contexts: DataFrame, length: int) -> DataFrame:
-    """doc_id, start, count (bytes) of what repeats among contexts of the same key; a shard never parts a key."""
+    """doc_id, place, count (bytes) of what repeats among contexts of the same key and part, with null key; and the first
+    windows of keys of several parts, with key and digest.  A shard never splits a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "digest", "doc_id", "place", "count"]
+
+        def sort_shard(shard: list[tuple]) -> Iterator[pa.RecordBatch]:
+            bodies = [x[5] for x in shard]
+            of, offset, doc, place, first = ranked_windows(bodies, np.array([x[3] for x in shard], np.int64), np.array([x[4] for x in shard], np.int64), length)
+            split = np.array([x[2] > 1 for x in shard])[of] & first
+            if split.any():
+                begins = np.cumsum([0, *map(len, bodies)])[:-1]
+                b = np.frombuffer(b"".join(bodies), np.uint8)
+                digest = _digests(b, begins[of[split]] + offset[split], length, _sums(b))
+                key = np.array([x[0] for x in shard], np.int64)[of[split]]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(digest.view(np.int64)), pa.array(doc[split]), pa.array(place[split]), pa.array(np.full(len(key), length, np.int32))], names=names)
+            doc, place = doc[~first], place[~first]
+            if len(doc):
+                order = np.lexsort((place, doc))
+                doc, place = doc[order], place[order]
+                begin = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + length)))
+                last = np.append(begin[1:], len(doc)) - 1
+                none = pa.nulls(len(begin), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(doc[begin]), pa.array(place[begin]), pa.array((place[last] - place[begin] + length).astype(np.int32))], names=names)
+
         held: list[tuple] = []
         size = 0
-
-        def settle_shard(shard: list[tuple]) -> Iterator[pa.RecordBatch]:
-            doc, start = repeated_starts([x[3] for x in shard], np.array([x[1] for x in shard], np.int64), np.array([x[2] for x in shard], np.int64), length)
-            if len(doc):
-                order = np.lexsort((start, doc))
-                doc, start = doc[order], start[order]
-                new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + length))
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(doc)) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first].astype(np.int32)), pa.array((start[last] - start[first] + length).astype(np.int32))], names=["doc_id", "start", "count"])
-
-        for batch in batches:
+        for batch in sliced(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > SHARD_BYTES and row[0] != held[-1][0]:
-                    yield from settle_shard(held)
+                if size > SHARD_BYTES and row[:2] != held[-1][:2]:
+                    yield from sort_shard(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[5])
         if held:
-            yield from settle_shard(held)
+            yield from sort_shard(held)
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, start int, count int")
+    dealt = contexts.repartition("key", "part").sortWithinPartitions("key", "part")
+    return dealt.mapInArrow(run, "key long, digest long, doc_id long, place long, count int")
 
 
-def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, start, count: bytes (from 0) of whole texts covered by strings of ``length`` bytes that start earlier; spans may overlap."""
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).where("doc_id is not null")
+def repeat_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, sub, start, count: bytes (from 0) of the texts of ``rows`` (doc_id, sub, text) covered by strings of
+    ``length`` bytes that start earlier; spans may overlap."""
     judged = _runs(rows, length).selectExpr(
         "*",
-        "rank() over (partition by key, context order by doc_id, start) as nth",
+        "rank() over (partition by key, context order by doc_id, place) as nth",
         "count(context) over (partition by key) as hits",
         "min(context) over (partition by key) <> max(context) over (partition by key) as differ",
     )
     judged = settle(
-        judged.where("context is null or hits > 1 and (nth > 1 or differ)").select("key", "context", "doc_id", "start", "count", F.expr("context is not null and nth = 1").alias("edge")).distinct()
+        judged.where("context is null or hits > 1 and (nth > 1 or differ)").select("key", "context", "doc_id", "place", "count", F.expr("context is not null and nth = 1").alias("edge")).distinct()
     )
-    spans = judged.where("not edge").select("doc_id", "start", F.expr(f"if(context is null, count, count + {length - 1})").alias("count"))
+    spans = judged.where("not edge").select("doc_id", "place", F.expr(f"if(context is null, count, count + {length - 1})").alias("count"))
     edge = judged.where("edge")
-    crowds = edge.groupBy("key").count().where(F.col("count") > CROWD).select("key", F.lit(True).alias("crowded"))
-    edge = edge.join(crowds, "key", "left").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "count", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("runs"))
-    cut = settle(_edges(rows, settle(edge), length))
-    found = _sorted_shards(cut.where("body is not null").select("key", "doc_id", "start", "body"), length)
-    # A window's digest may be very common: starts are ranked in salted parts of a digest first, and only the first of
-    # each part across its parts.
-    windows = cut.where("body is null").select("key", "doc_id", "start", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
-    nth = windows.selectExpr("*", "rank() over (partition by key, salt order by doc_id, start) as nth")
-    across = nth.where("nth = 1").selectExpr("key", "doc_id", "start", "rank() over (partition by key order by doc_id, start) as nth")
-    more = nth.drop("salt").unionByName(across).where("nth > 1").select("doc_id", "start", F.lit(length).alias("count"))
-    return spans.unionByName(found).unionByName(more)
+    full = max(SHARD_BYTES // (2 * length), 1)  # a context has less than twice ``length`` bytes
+    parts = edge.groupBy("key").count().where(F.col("count") > full).select("key", F.ceil(F.col("count") / full).cast("int").alias("parts"))
+    edge = edge.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("doc_id", "place"), F.col("parts")).cast("int"))
+    edge = edge.groupBy("doc_id", F.expr(f"cast(place >> {_START_BITS} as int)").alias("sub")).agg(F.collect_list(F.struct("key", "part", "parts", "place", "count")).alias("runs"))
+    found = settle(_sorted_shards(_edges(rows, settle(edge), length), length))
+    # A window stands at most once in each of a key's parts.
+    across = found.where("key is not null").selectExpr("doc_id", "place", "count", "rank() over (partition by key, digest order by doc_id, place) as nth")
+    spans = spans.unionByName(found.where("key is null").select("doc_id", "place", "count")).unionByName(across.where("nth > 1").drop("nth"))
+    return spans.selectExpr("doc_id", f"cast(place >> {_START_BITS} as int) as sub", f"place & {_START} as start", "count")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes left), kept_sha256 of every row."""
-    spans = settle(repeat_spans(docs, id_col, text_col, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("spans")))
-    rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    maybe = may_hold(rows, "doc_id", spans.select("doc_id"))
+    rows, several = _told_apart(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
+    rows = _with_sub(rows, several)
+    found = repeat_spans(rows.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")), length)
+    spans = settle(found.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("start", "count")).alias("spans")))
+    maybe = may_hold(rows, "doc_id", spans.select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, column=1, size=SLICE_BYTES):
             out = []
             for text, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if not cut:
@@ -264,6 +280,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     none = F.lit(None).cast(spans.schema["spans"].dataType)
-    clear = without(rows, "doc_id", spans.select("doc_id")).withColumn("spans", none)
-    return clear.mapInArrow(run, schema).union(maybe.join(spans, "doc_id", "left").mapInArrow(run, schema))
-
+    clear = without(rows, "doc_id", spans.select("doc_id")).select("doc_id", "text", none.alias("spans"))
+    return clear.mapInArrow(run, schema).union(maybe.join(spans, ["doc_id", "sub"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema))

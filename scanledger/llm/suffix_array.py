@@ -1,22 +1,24 @@
-"""Suffix arrays by induced sorting, vectorised over buckets, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, and permuted common prefixes, both in time linear in the text.
+
+Suffixes are classified as smaller or larger than their successors; leftmost-smaller substrings are sorted by one round of
+induction and named; where names repeat, the string of names is sorted by the same procedure; the order of the
+leftmost-smaller suffixes then induces all others.  The bytes of a shard have few symbols with many suffixes each, and
+their buckets are walked with arrays; strings of names have many symbols with few suffixes each, and are walked with lists.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Largest alphabet whose buckets are walked one by one; the reduced strings of larger ones are sorted by rank doubling.
-WALKED = 2048
-_BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Alphabets of more symbols than bytes and two separators are walked suffix by suffix.
+BYTES = 258
 
 
 def _is_small(s: np.ndarray) -> np.ndarray:
-    """Whether each suffix is smaller than the one after it (S-type); the last symbol is the unique smallest."""
-    n = len(s)
+    """Whether each suffix is smaller than the one after it; the last symbol is the unique smallest."""
     differs = np.flatnonzero(s[1:] != s[:-1])
-    rises = s[differs + 1] > s[differs]
-    small = np.ones(n, bool)
-    at = np.searchsorted(differs, np.arange(n - 1))
-    small[:-1] = rises[at]
+    small = np.ones(len(s), bool)
+    small[: differs[-1] + 1] = np.repeat(s[differs + 1] > s[differs], np.diff(differs, prepend=-1))
     return small
 
 
@@ -38,12 +40,12 @@ def _place(sa: np.ndarray, s: np.ndarray, j: np.ndarray, ends: np.ndarray, step:
         ends[symbols[first]] -= size
 
 
-def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """Suffix array induced from leftmost-smaller positions in the given order."""
+def _induce_bytes(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """Suffix array induced from leftmost-smaller positions in the given order, a bucket's suffixes at a time."""
     n = len(s)
     counts = np.bincount(s, minlength=sigma)
     begin, end = np.cumsum(counts) - counts, np.cumsum(counts)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     lms_symbols = s[lms]
     order = np.argsort(lms_symbols, kind="stable")
     by_symbol = lms[order]
@@ -58,15 +60,9 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
         chunk = by_symbol[cut[c] : cut[c + 1]]
         _place(sa, s, chunk[chunk > 0] - 1, tail, 1)
     head = end.copy()
-    last = n - 1
-    sa[0] = last  # the last symbol stands alone in the first bucket
-    for c in np.flatnonzero(counts)[::-1]:  # smaller suffixes, right to left
+    sa[0] = n - 1  # the last symbol stands alone in the first bucket, and a larger suffix before it
+    for c in np.flatnonzero(counts)[:0:-1]:  # smaller suffixes, right to left
         at = end[c]
-        if c == s[last]:
-            chunk = np.array([last])
-            j = chunk[chunk > 0] - 1
-            _place(sa, s, j[small[j]], head, -1)
-            continue
         while at > head[c]:
             chunk, at = sa[head[c] : at][::-1], head[c]
             j = chunk[chunk > 0] - 1
@@ -77,81 +73,91 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np
     return sa
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    rank, h, n = names.astype(np.int64), 1, len(names)
-    while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - h] = rank[h:] + 1
-        _, rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)
-        if rank.max() == n - 1 or h >= n:
-            return np.argsort(rank, kind="stable")
-        h *= 2
+def _induce_names(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The same, a suffix at a time; what is appended to a bucket is met later in the same walk."""
+    counts = np.bincount(s, minlength=sigma)
+    ends = np.cumsum(counts)
+    s, small, sa = s.tolist(), small.tolist(), [-1] * len(s)
+    tail = ends.tolist()
+    for p in lms[::-1].tolist():
+        tail[s[p]] -= 1
+        sa[tail[s[p]]] = p
+    head = (ends - counts).tolist()
+    for p in sa:  # larger suffixes
+        if p > 0 and not small[p - 1]:
+            c = s[p - 1]
+            sa[head[c]] = p - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for p in reversed(sa):  # smaller suffixes, each written before it is met
+        if p > 0 and small[p - 1]:
+            c = s[p - 1]
+            tail[c] -= 1
+            sa[tail[c]] = p - 1
+    return np.array(sa, np.int32)
+
+
+def _named(s: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of the substrings of ``s`` at ``starts``, which are in order; equal ones get the same."""
+    a, b, size = starts[:-1], starts[1:], sizes[1:]
+    same = sizes[:-1] == size
+    live, k = np.flatnonzero(same), 0
+    while len(live):
+        differ = s[a[live] + k] != s[b[live] + k]
+        same[live[differ]] = False
+        k += 1
+        live = live[~differ & (size[live] > k)]
+    return np.cumsum(np.append(False, ~same))
 
 
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     """Order of all suffixes of ``s``, whose last symbol occurs once and is the smallest."""
     n = len(s)
     if n < 3:
-        return np.argsort(s, kind="stable")
+        return np.argsort(s, kind="stable").astype(np.int32)
+    induce = _induce_bytes if sigma <= BYTES else _induce_names
     small = _is_small(s)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    sa = _induce(s, small, lms, sigma)
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
+    sa = induce(s, small, lms, sigma)
     ordered = sa[is_lms[sa]]
-    # Names: equal leftmost-smaller substrings (up to the next such position, included) share one.
-    sums = np.zeros(n + 1, np.uint64)
-    up = np.full(n, _BASE, np.uint64)
-    up[0] = 1
-    up = np.multiply.accumulate(up)
-    down = np.full(n, pow(int(_BASE), -1, 1 << 64), np.uint64)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    np.cumsum((s.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    stop = np.full(n, n, np.int64)
+    stop = np.zeros(n, np.int32)
     stop[lms] = np.append(lms[1:] + 1, n)
-    digest = (sums[stop[ordered]] - sums[ordered]) * down[ordered]
-    size = stop[ordered] - ordered
-    new = np.append(True, (digest[1:] != digest[:-1]) | (size[1:] != size[:-1]))
-    names = np.cumsum(new) - 1
+    names = _named(s, ordered, stop[ordered] - ordered)
     if names[-1] + 1 < len(lms):
-        name_at = np.zeros(n, np.int64)
+        name_at = np.zeros(n, np.int32)
         name_at[ordered] = names
-        reduced = name_at[lms]
-        sigma_r = int(names[-1]) + 1
-        order = suffix_array(reduced, sigma_r) if sigma_r <= WALKED else _by_doubling(reduced)
-        ordered = lms[order]
-    return _induce(s, small, ordered, sigma)
+        ordered = lms[suffix_array(name_at[lms], int(names[-1]) + 1)]
+    return induce(s, small, ordered, sigma)
+
+
+def _agreement(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols the suffixes at ``a`` and ``b`` share, compared four at a time; symbols are below 2^15."""
+    padded = np.append(s, [0, 0, 0]).astype(np.uint16)
+    words = np.ascontiguousarray(np.ndarray(len(s), np.uint64, padded, strides=(2,)))
+    out, live, k = np.zeros(len(a), np.int32), np.arange(len(a)), 0
+    while len(live):
+        x = words[a[live] + k] ^ words[b[live] + k]
+        out[live] = k + ((x & np.uint64(0xFFFF)) == 0) + ((x & np.uint64(0xFFFFFFFF)) == 0).astype(np.int32) + ((x & np.uint64(0xFFFFFFFFFFFF)) == 0)
+        k += 4
+        live = live[x == 0]
+    return out
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each position, how many symbols (at most ``most``) its suffix shares with the one before it in ``sa``.
 
-    Found by doubling steps downwards over prefix digests, for all positions at once.
+    Where the symbols before a suffix and before its neighbour are equal, it shares one symbol less than the suffix at the
+    place before does; only the others are compared.
     """
     n = len(s)
-    before = np.empty(n, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    before[sa[0]] = -1
-    up = np.full(n, _BASE, np.uint64)
-    up[0] = 1
-    up = np.multiply.accumulate(up)
-    down = np.full(n + 1, pow(int(_BASE), -1, 1 << 64), np.uint64)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((s.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    i = np.flatnonzero(before >= 0)
-    j = before[i]
-    found = np.zeros(len(i), np.int64)
-    step = 1 << (most.bit_length() - 1)
-    while step:
-        a, b = i + found, j + found
-        fits = (np.maximum(a, b) + step <= n) & (found + step <= most)
-        x, y = a[fits], b[fits]
-        same = (sums[x + step] - sums[x]) * down[x] == (sums[y + step] - sums[y]) * down[y]
-        found[np.flatnonzero(fits)[same]] += step
-        step >>= 1
-    out = np.zeros(n, np.int64)
-    out[i] = found
-    return out
+    follows = (before[1:] > 0) & (s[:-1] == s[np.maximum(before[1:], 1) - 1])
+    compared = np.flatnonzero(np.append(True, ~follows))
+    found = np.zeros(len(compared), np.int32)
+    real = before[compared] >= 0
+    found[real] = _agreement(s, compared[real], before[compared[real]])
+    run = np.diff(np.append(compared, n))
+    return np.minimum(np.repeat(found + compared, run) - np.arange(n), most)
