@@ -17,12 +17,11 @@ def disclosure_records(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The earliest notice on a private channel counts, the latest extension, any withdrawal.
     """
-    notices = ledger.where((F.col("kind") == "notice") & F.col("channel").isin(PRIVATE_CHANNELS)).select("server_id", F.explode("finding_ids").alias("finding_id"), "notified_at")
-    none = F.lit(None).cast("timestamp")
-    notices = notices.select(*PAIR, "notified_at", none.alias("extended_until"), F.lit(False).alias("withdrawn"))
-    extensions = ledger.where("kind = 'extension'").select(*PAIR, none.alias("notified_at"), F.col("until").alias("extended_until"), F.lit(False).alias("withdrawn"))
-    withdrawals = ledger.where("kind = 'withdrawal'").select(*PAIR, none.alias("notified_at"), none.alias("extended_until"), F.lit(True).alias("withdrawn"))
-    facts = _fold(notices.unionByName(extensions).unionByName(withdrawals))
+    private = (F.col("kind") == "notice") & F.col("channel").isin(PRIVATE_CHANNELS)
+    told = ledger.where(private | F.col("kind").isin("extension", "withdrawal"))
+    named = told.select("server_id", F.explode(F.when(F.col("kind") == "notice", F.col("finding_ids")).otherwise(F.array("finding_id"))).alias("finding_id"), "kind", "notified_at", "until")
+    at = lambda kind, stamp_: F.when(F.col("kind") == kind, F.col(stamp_))
+    facts = _fold(named.select(*PAIR, at("notice", "notified_at").alias("notified_at"), at("extension", "until").alias("extended_until"), (F.col("kind") == "withdrawal").alias("withdrawn")))
     return facts, ledger.where("kind = 'opt_out'").select("server_id").distinct()
 
 
@@ -40,9 +39,7 @@ def follow_moves(facts: DataFrame, history: DataFrame) -> DataFrame:
     return _fold(facts.unionByName(carried))
 
 
-def with_state(findings: DataFrame, facts: DataFrame, opted_out: DataFrame, now: Column) -> DataFrame:
-    """``findings`` with disclosure_state; the window's end is excluded (strictly later than it)."""
-    joined = findings.join(facts, PAIR, "left").join(F.broadcast(opted_out.withColumn("opted", F.lit(True))), "server_id", "left")
+def _stated(joined: DataFrame, columns: list[str], now: Column) -> DataFrame:
     closes = F.greatest(F.col("notified_at") + F.expr(WINDOW), F.col("extended_until"))
     state = (
         F.when(F.col("opted"), "opted_out")
@@ -52,7 +49,27 @@ def with_state(findings: DataFrame, facts: DataFrame, opted_out: DataFrame, now:
         .when(now > closes, "disclosed")
         .otherwise("withheld")
     )
-    return joined.withColumn("disclosure_state", state).select(*findings.columns, "disclosure_state")
+    return joined.withColumn("disclosure_state", state).select(*columns, "disclosure_state")
+
+
+def with_state(findings: DataFrame, facts: DataFrame, opted_out: DataFrame, now: Column) -> DataFrame:
+    """``findings`` with disclosure_state; the window's end is excluded (strictly later than it)."""
+    joined = findings.join(facts, PAIR, "left").join(opted_out.withColumn("opted", F.lit(True)), "server_id", "left")
+    return _stated(joined, findings.columns, now)
+
+
+def state_by_ledger(history: DataFrame, facts: DataFrame, opted_out: DataFrame, now: Column) -> DataFrame:
+    """The same as ``with_state`` of ``follow_moves``, with ``history`` read once.
+
+    A finding is looked up under its own id and all its earlier ones, and what is found is folded onto its one row.
+    """
+    names = history.columns
+    rows = history.select(F.struct(*names).alias("row"), "server_id", F.explode(F.concat(F.array("finding_id"), "previous_ids")).alias("finding_id"))
+    found = rows.join(facts, PAIR, "left").groupBy(F.col("row.finding_id").alias("id")).agg(
+        F.any_value("row").alias("row"), F.min("notified_at").alias("notified_at"), F.max("extended_until").alias("extended_until"), F.bool_or("withdrawn").alias("withdrawn")
+    )
+    flat = found.select("row.*", "notified_at", "extended_until", "withdrawn")
+    return _stated(flat.join(opted_out.withColumn("opted", F.lit(True)), "server_id", "left"), names, now)
 
 
 def state_counts(stated: DataFrame) -> DataFrame:
@@ -100,7 +117,7 @@ def select_findings(verified: DataFrame, history: DataFrame, facts: DataFrame, o
     """Verified findings by class: no longer produced, already notified, opted out, to draft (in that order)."""
     rows = history.select("finding_id", F.col("server_id"), "last_seen")
     joined = verified.select("finding_id").distinct().join(rows, "finding_id", "left").join(facts.select(*PAIR, "notified_at"), PAIR, "left")
-    joined = joined.join(F.broadcast(opted_out.withColumn("opted", F.lit(True))), "server_id", "left")
+    joined = joined.join(opted_out.withColumn("opted", F.lit(True)), "server_id", "left")
     kind = F.when(F.coalesce(F.col("last_seen") != tonight, F.lit(True)), "no longer produced").when(F.col("notified_at").isNotNull(), "already notified").when(F.col("opted"), "opted out").otherwise("to draft")
     return joined.select("finding_id", "server_id", kind.alias("class"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .golden import verdicts_differ
+from .sampling import numbered_by_hash
 
 FLOOR = 0.80
 BINS = 5
@@ -75,16 +76,16 @@ def sign_test(more: Column, less: Column) -> Column:
 def cluster_bootstrap_ci(rows: DataFrame, cluster: str, numerator: Column, replicates: int = REPLICATES, seed: int = 7) -> DataFrame:
     """low, high: 95% interval of a share when whole clusters are drawn with replacement.
 
-    Rows become one sum and one count per cluster first.  Draw ``slot`` of a replicate takes the cluster whose number is
-    a hash modulo the number of clusters.
+    Rows become one sum and one count per cluster first; clusters are numbered in the order of their names' hashes.  Draw
+    ``slot`` of a replicate takes the cluster whose number is a hash modulo the number of clusters.
     """
     sums = rows.groupBy(F.col(cluster).alias("c")).agg(F.sum(numerator.cast("long")).alias("a"), F.count("*").alias("n"))
-    sums = sums.withColumn("at", F.row_number().over(Window.orderBy("c")) - 1)
+    sums = numbered_by_hash(sums.withColumn("h", F.sha2(F.col("c").cast("string").cast("binary"), 256)), "h", ["c"], "at").withColumn("at", F.col("at") - 1)
     k = sums.agg(F.count("*").alias("k"))
     slots = rows.sparkSession.range(replicates).withColumnRenamed("id", "rep").crossJoin(F.broadcast(k)).where("k > 0")
     slots = slots.select("rep", "k", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("slot"))
     drawn = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "rep", "slot").cast("binary"), 256), 1, 8), 16, 10).cast("long") % F.col("k")
-    values = slots.withColumn("at", drawn).join(F.broadcast(sums.select("at", "a", "n")), "at").groupBy("rep").agg((F.sum("a") / F.sum("n")).alias("value"))
+    values = slots.withColumn("at", drawn).join(sums.select("at", "a", "n"), "at").groupBy("rep").agg((F.sum("a") / F.sum("n")).alias("value"))
     ranked = values.withColumn("rank", F.row_number().over(Window.orderBy("value", "rep")) - 1)
     low, high = math.floor(0.025 * replicates), min(math.ceil(0.975 * replicates) - 1, replicates - 1)
     return ranked.agg(F.max(F.when(F.col("rank") == low, F.col("value"))).alias("low"), F.max(F.when(F.col("rank") == high, F.col("value"))).alias("high"))
@@ -138,9 +139,10 @@ def window_errors(rows: DataFrame) -> DataFrame:
     return decided_by_human(paired(rows)).where(verdicts_differ() & wrong).withColumn("credulous", said)
 
 
-def credulous_report(errors: DataFrame) -> DataFrame:
-    """n, credulous, share, p_value over the window's errors."""
-    return errors.agg(F.count("*").alias("n"), F.count_if("credulous").alias("credulous")).select("n", "credulous", ratio(F.col("credulous"), F.col("n")).alias("share"), sign_test(F.col("credulous"), F.col("n") - F.col("credulous")).alias("p_value"))
+def credulous_report(errors: DataFrame, replicates: int = REPLICATES) -> DataFrame:
+    """n, credulous, share, p_value over the window's errors, and the share's interval (low, high) over servers."""
+    sums = errors.agg(F.count("*").alias("n"), F.count_if("credulous").alias("credulous")).select("n", "credulous", ratio(F.col("credulous"), F.col("n")).alias("share"), sign_test(F.col("credulous"), F.col("n") - F.col("credulous")).alias("p_value"))
+    return sums.crossJoin(cluster_bootstrap_ci(errors, "server_id", F.col("credulous").cast("int"), replicates))
 
 
 def flip_share(rows: DataFrame) -> DataFrame:
@@ -178,11 +180,12 @@ def resolved_by_context(wide: DataFrame) -> DataFrame:
 
 
 def decisiveness(rows: DataFrame) -> DataFrame:
-    """Per rule and over all (rule_id null): n, medians of |p - 0.5|, and how often the function was more, less or as decisive."""
+    """Per rule and over all (rule_id null): n, medians of |p - 0.5|, how often the function was more, less or as decisive, and the sign test of that."""
     w, f = F.abs(F.col("p_window") - 0.5), F.abs(F.col("p_function") - 0.5)
-    return paired(rows).withColumns({"w": w, "f": f}).rollup("rule_id").agg(
+    out = paired(rows).withColumns({"w": w, "f": f}).rollup("rule_id").agg(
         F.count("*").alias("n"), F.median("w").alias("median_window"), F.median("f").alias("median_function"), F.count_if(F.col("f") > F.col("w")).alias("more"), F.count_if(F.col("f") < F.col("w")).alias("less"), F.count_if(F.col("f") == F.col("w")).alias("tied")
     )
+    return out.withColumn("p_value", sign_test(F.col("more"), F.col("less")))
 
 
 def flip_sensitivity(rows: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -60,6 +60,24 @@ def merge_findings(previous: DataFrame, current: DataFrame, now: Column) -> Data
     )
 
 
+def merge_nights(rows: DataFrame, tonight: Column, now: Column, order: str = "event_id") -> DataFrame:
+    """The same fold from raw ``rows`` (findings with night) in one aggregation: ``tonight`` says which rows are new, the others
+    make the history, seen from their first to their last night; the row of the largest ``order`` counts on each side."""
+    fields = F.struct(*FIELDS[1:])
+    before = F.when(~tonight, F.col("night").cast("timestamp"))
+    sides = rows.groupBy("finding_id").agg(
+        F.max_by(fields, F.when(tonight, F.col(order))).alias("c"), F.max_by(fields, F.when(~tonight, F.col(order))).alias("p"), F.min(before).alias("first_seen"), F.max(before).alias("last_seen")
+    )
+    seen = F.col("c").isNotNull()
+    return sides.select(
+        "finding_id",
+        *[F.when(seen, F.col(f"c.{x}")).otherwise(F.col(f"p.{x}")).alias(x) for x in FIELDS[1:]],
+        F.coalesce("first_seen", now).alias("first_seen"),
+        F.when(seen, now).otherwise(F.col("last_seen")).alias("last_seen"),
+        F.array().cast("array<string>").alias("previous_ids"),
+    )
+
+
 def carry_moved(merged: DataFrame, now: Column) -> DataFrame:
     """Pair what vanished with what arrived under the same server, rule, file and evidence, in line order.
 

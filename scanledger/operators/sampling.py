@@ -39,3 +39,17 @@ def one_per_group(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
     """One row per group, by hashed draw."""
     order = Window.partitionBy(group).orderBy(draw_hash(seed, F.col(key)), key)
     return df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+
+
+def numbered_by_hash(rows: DataFrame, digest: str, ties: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``: their number, from 1, in the order of a hexadecimal digest (ties by other columns).
+
+    Rows are numbered within blocks of their first three digits; what comes together are the sizes of those 4096 blocks.
+    """
+    block = F.substring(digest, 1, 3)
+    sizes = rows.groupBy(block.alias("_block")).agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_block", before.alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_block").orderBy(digest, *ties))
+    placed = rows.withColumn("_block", block).withColumn("_nth", within).join(starts, "_block")
+    return placed.withColumn(name, (F.col("_nth") + F.col("_start")).cast("int")).drop("_block", "_nth", "_start")

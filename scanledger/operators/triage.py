@@ -29,7 +29,7 @@ def adjudicate(entries: DataFrame, cache: DataFrame, judge: Callable[[str], tupl
     """
     known = entries.join(cache.select("key", "probability"), "key", "left")
     asked = known.where("probability is null").groupBy("key").agg(F.min("entry_id").alias("first"), F.min("shown").alias("shown"))
-    asked = asked.withColumn("n", F.row_number().over(Window.orderBy("first", "key"))).where(F.col("n") <= most_calls)
+    asked = asked.orderBy("first", "key").limit(most_calls)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

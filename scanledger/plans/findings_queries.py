@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import canonical_url, linkable, stamp
 from ..operators import disclosure, history, intake, publish, sampling
 from ..schemas import rule_dimension
+from ..sources import io
+from ..streaming import merge_stream as stream
 from . import sql_views as sv
 from . import views as v
 
@@ -393,35 +396,112 @@ def big_merge(spark, d):
 # SARIF documents, files that are read back, and the incremental fold
 
 
-@query(None)
-def sarif_documents(spark, d):
-    from ..sources.io import sarif_documents as documents
+SARIF = "fr AS (SELECT rule_id, CAST(row_number() OVER (ORDER BY rule_id) - 1 AS INTEGER) AS rule_index FROM (SELECT DISTINCT rule_id FROM pub)), sr AS (SELECT server_id, finding_id, rule_id, rule_index, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, rule_id || ': ' || evidence AS message, file, line FROM pub JOIN fr USING (rule_id)), sn AS (SELECT server_id, CAST(ceil(count(*) / 5000) AS BIGINT) AS parts FROM sr GROUP BY 1), sd AS (SELECT sr.*, CAST('0x' || substr(finding_id, 1, 8) AS BIGINT) % parts AS part FROM sr JOIN sn USING (server_id))"
 
+
+@query(
+    f"WITH {sv.LEDGER}, {SARIF} SELECT server_id, part, '{{\"version\":\"2.1.0\",\"runs\":[{{\"tool\":{{\"driver\":{{\"name\":\"scanledger\",\"rules\":' || (SELECT to_json(list({{'id': rule_id, 'index': rule_index}} ORDER BY rule_id)) FROM fr) || '}}}},\"results\":' || to_json(list({{'finding_id': finding_id, 'rule_id': rule_id, 'rule_index': rule_index, 'level': level, 'message': message, 'file': file, 'line': line}} ORDER BY finding_id)) || '}}]}}' AS document FROM sd GROUP BY 1, 2"
+)
+def sarif_documents(spark, d):
     shown = v.published(spark, d)
     fired = publish.sarif_rules(shown, rule_dimension(spark))
-    return documents(publish.sarif_results(shown, fired), fired)
+    return io.sarif_documents(publish.sarif_results(shown, fired), fired)
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS name, url AS repo_url FROM pages")
 def registry_pages(spark, d):
-    from ..sources.io import parse_registry_pages
-
     server = F.struct(F.struct(F.col("page_id").cast("string").alias("name"), F.struct("url").alias("repository")).alias("server"))
     pages = v.table(spark, d, "pages").groupBy(F.floor(F.col("page_id") / 100).alias("p")).agg(F.collect_list(server).alias("servers"))
-    return parse_registry_pages(pages.select(F.to_json(F.struct("servers")).alias("value")))
+    return io.parse_registry_pages(pages.select(F.to_json(F.struct("servers")).alias("value")))
 
 
-@query(None)
-def merge_stream(spark, d):
-    import tempfile
-    import uuid
+def _place(spark) -> str:
+    """A folder of its own in the shared one."""
+    return f"{io.shared_folder(spark)}/{uuid.uuid4().hex}"
 
-    from ..streaming.merge_stream import merge_stream as run
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
-    base = f"{shared.rstrip('/')}/merge-{uuid.uuid4().hex}"
+@query(None)
+def merge_stream(spark, d):
+    base = _place(spark)
     rows = v.findings(spark, d).select(*history.FIELDS, "night")
     names = ["server_id", "commit_sha", "rule_id", "severity", "confidence", "file", "line", "evidence", "finding_id", "night"]
     rows.select(*names).repartitionByRange(4, "night").write.parquet(f"{base}/landing")
-    out = run(spark, f"{base}/landing", f"{base}/state", f"{base}/checkpoint", files_per_batch=2)
+    out = stream.merge_stream(spark, f"{base}/landing", f"{base}/state", f"{base}/checkpoint", files_per_batch=2)
     return stamped(out.select("finding_id", "server_id", "rule_id", "first_seen", "last_seen"), "first_seen", "last_seen")
+
+
+# Files that are written and read back
+
+
+@query(f"WITH {sv.ENTRIES} SELECT min(server_id) AS server_id, repo_url, 'registry' AS discovered_via FROM el GROUP BY repo_url")
+def index_file(spark, d):
+    path = _place(spark)
+    io.write_index(intake.collapse_to_index(intake.eligible_entries(v.entries(spark, d))), path)
+    return io.read_index(spark, path)
+
+
+@query(f"WITH {sv.HISTORY} SELECT {', '.join(ROW)}, {TS.format('first_seen')} AS first_seen, {TS.format('last_seen')} AS last_seen, previous_ids FROM h")
+def history_file(spark, d):
+    path = _place(spark)
+    place = F.struct("file", "line").alias("location")
+    h = v.folded(spark, d)
+    io.write_history(h.select(*[c for c in h.columns if c not in ("file", "line")], place), path)
+    back = io.read_history(spark, path).select("*", "location.file", "location.line").withColumn("previous_ids", F.array_join("previous_ids", ","))
+    return stamped(back.select(*ROW, "first_seen", "last_seen", "previous_ids"), "first_seen", "last_seen")
+
+
+@query("SELECT source AS server_id, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS line_feeds, count(*) FILTER (WHERE false) AS links FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def files_read(spark, d):
+    """Texts as files in a folder per server, a line feed behind each, read back as a table of files."""
+    path = _place(spark)
+    v.table(spark, d, "documents").where("text is not null").select(F.col("source").alias("server"), "text").write.partitionBy("server").text(path)
+    found = io.read_files(spark, path)
+    content = F.decode("content", "UTF-8")
+    feeds = F.length(content) - F.length(F.replace(content, F.lit("\n")))
+    server = F.regexp_replace("server_id", "^server=", "")
+    return found.groupBy(server.alias("server_id")).agg(F.sum("size").alias("bytes"), F.sum(feeds).cast("long").alias("line_feeds"), F.count_if("is_symlink").alias("links"))
+
+
+@query(
+    f"WITH {sv.LEDGER}, al AS (SELECT 'notice' AS kind, server_id, finding_id AS named, channel, {TS.format('notified_at')} AS at FROM notices UNION ALL SELECT 'withdrawal', server_id, finding_id, NULL, NULL FROM f WHERE event_id % 50 = 0 UNION ALL SELECT 'extension', server_id, finding_id, NULL, {TS.format('ts + INTERVAL 120 DAY')} FROM f WHERE event_id % 35 = 0 UNION ALL SELECT 'opt_out', 's9', NULL, NULL, NULL FROM f WHERE event_id % 100 = 7) SELECT * FROM al"
+)
+def ledger_file(spark, d):
+    path = _place(spark)
+    io.write_ledger(v.ledger(spark, d), path)
+    named = F.coalesce(F.get("finding_ids", F.lit(0)), F.col("finding_id"))
+    return io.read_ledger(spark, path).select("kind", "server_id", named.alias("named"), "channel", stamp(F.coalesce("notified_at", "until")).alias("at"))
+
+
+@query(f"WITH {sv.FINDINGS}, t AS (SELECT strftime(night, '%Y-%m-%dT00:00:00Z') AS scanned_at, rule_id, count(*) AS n FROM f GROUP BY 1, 2) SELECT scanned_at, CAST(sum(n) AS BIGINT) AS findings_found, string_agg(rule_id || '=' || n, ',' ORDER BY rule_id) AS by_rule FROM t GROUP BY 1")
+def trend_file(spark, d):
+    path = _place(spark)
+    points = _trend(spark, d).select(F.concat("night", F.lit("T00:00:00Z")).alias("scanned_at"), "findings_found", "findings_published", "withheld", "servers_affected", "by_rule")
+    io.write_lines(points, path)
+    rules = F.array_join(F.transform(F.array_sort(F.map_entries("by_rule")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return io.read_trend(spark, path).select("scanned_at", "findings_found", rules.alias("by_rule"))
+
+
+@query(f"WITH {sv.GOLDEN} SELECT CAST(entry_id AS VARCHAR) AS entry_id, label, reason, annotator, seq FROM an")
+def annotations_file(spark, d):
+    path = _place(spark)
+    io.write_lines(v.annotations(spark, d), path)
+    return io.read_annotations(spark, path)
+
+
+@query("SELECT sha256(CAST(event_id AS VARCHAR)) AS key, (event_id % 101) / 100.0 AS probability, (event_id % 7) / 1000.0 AS cost_usd FROM events")
+def cache_file(spark, d):
+    path = _place(spark)
+    e = F.col("event_id")
+    answers = v.table(spark, d, "events").select(F.sha2(e.cast("string").cast("binary"), 256).alias("key"), ((e % 101) / 100.0).alias("probability"), ((e % 7) / 1000.0).alias("cost_usd"), F.lit(1.0).alias("latency_ms"))
+    io.write_lines(answers, path)
+    return io.read_cache(spark, path).select("key", "probability", "cost_usd")
+
+
+@query(f"WITH {sv.ENTRIES}, c AS (SELECT repo_url, count(DISTINCT server_id) AS claims FROM el GROUP BY 1), i AS (SELECT min(server_id) AS server_id, repo_url FROM el GROUP BY repo_url), s AS (SELECT repo_url FROM i ORDER BY sha256('7:' || server_id), server_id, repo_url LIMIT 20) SELECT repo_url, claims, repo_url IN (SELECT repo_url FROM s) AS sampled FROM c")
+def corpus_files(spark, d):
+    path = _place(spark)
+    records = intake.eligible_entries(v.entries(spark, d))
+    io.write_corpus(intake.build_corpus(records), sampling.sample_index(intake.collapse_to_index(records), 20, 7), path)
+    corpus, sample = spark.read.parquet(f"{path}/corpus"), spark.read.parquet(f"{path}/sample")
+    marked = corpus.join(sample.select("repo_url", F.lit(True).alias("sampled")), "repo_url", "left")
+    return marked.select("repo_url", F.col("claim_count").alias("claims"), F.coalesce("sampled", F.lit(False)).alias("sampled"))

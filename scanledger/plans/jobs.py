@@ -22,7 +22,7 @@ def job_nightly(previous: DataFrame, current: DataFrame, ledger: DataFrame, now:
     valid, rejected = history.validate_findings(current)
     folded = history.nightly_fold(previous, history.with_identity(valid), now)
     facts, opted = disclosure.disclosure_records(ledger)
-    stated = disclosure.with_state(folded, disclosure.follow_moves(facts, folded), opted, gate_clock)
+    stated = disclosure.state_by_ledger(folded, facts, opted, gate_clock)
     shown = disclosure.publish_findings(stated, now)
     return {"history": folded, "rejected": rejected, "states": disclosure.state_counts(stated), "published": shown}
 

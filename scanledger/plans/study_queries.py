@@ -45,6 +45,15 @@ def skip_report(spark, d):
     return fi.skipped_files(v.files(spark, d))
 
 
+@query("SELECT doc_id, 'src/' || substr(text, 1, 1) || CASE WHEN doc_id % 2 = 0 THEN chr(65533) ELSE '' END || '/' || doc_id AS path FROM documents")
+def safe_paths(spark, d):
+    """Paths as bytes, every second one with a byte that is no UTF-8."""
+    whole = lambda c: F.encode(c, "UTF-8")
+    bad = F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+    raw = F.concat(whole(F.lit("src/")), whole(F.substring("text", 1, 1)), bad, whole(F.concat(F.lit("/"), F.col("doc_id").cast("string"))))
+    return v.table(spark, d, "documents").select("doc_id", fi.safe_path(raw).alias("path"))
+
+
 @query(f"WITH {sv.FILES} SELECT CASE regexp_extract(path, '(\\.[a-z]+)$', 1) WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' ELSE 'other' END AS language, count(*) AS files, CAST(sum(length(CASE WHEN starts_with(source, chr(65279)) THEN substr(source, 2) ELSE source END)) AS BIGINT) AS characters FROM ok GROUP BY 1")
 def language_mix(spark, d):
     rows = fi.decoded(v.files(spark, d))
@@ -137,9 +146,10 @@ def rule_hook(spark, d):
     return ru.apply_rules(fi.decoded(v.files(spark, d)), [_Shouting()]).select("server_id", "path", "line", "rule_id", "evidence", "error")
 
 
-@query(f"WITH {sv.FILES}, {HOOK}, x AS (SELECT server_id, 'ValueError: odd marks' AS message FROM hk WHERE bad UNION SELECT server_id, NULL FROM hu WHERE contains(t, '!!')) SELECT server_id, CASE WHEN min(message) IS NULL THEN 'scanned' ELSE 'failed' END AS status, min(message) AS message FROM x GROUP BY 1")
+@query(f"WITH {sv.FILES}, {HOOK}, x AS (SELECT server_id, 'ValueError: odd marks' AS message FROM hk WHERE bad UNION SELECT server_id, NULL FROM ok) SELECT server_id, CASE WHEN min(message) IS NULL THEN 'scanned' ELSE 'failed' END AS status, min(message) AS message FROM x GROUP BY 1")
 def isolated_failures(spark, d):
-    return ru.isolate_failures(ru.apply_rules(fi.decoded(v.files(spark, d)), [_Shouting()]))
+    files = fi.decoded(v.files(spark, d))
+    return ru.isolate_failures(ru.apply_rules(files, [_Shouting()]), files)
 
 
 # Golden set
@@ -186,10 +196,18 @@ def suspect_functions(spark, d):
     return rounded(go.suspect_functions(v.entries_golden(spark, d)).select("entry_id", "share"), "share")
 
 
-@query(None)
+PRESENTED = """pl AS (SELECT entry_id, least(greatest(line, 1) - 1, 12) AS o, CASE WHEN context = '' THEN [] WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS l FROM (SELECT *, string_split_regex(context, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]') AS ls FROM g)),
+pm AS (SELECT entry_id, least(o, len(l) - 1) AS m, list_transform(l, lambda x, i: (CASE WHEN i = o + 1 THEN '> ' ELSE '  ' END) || (CASE WHEN length(x) <= 200 THEN x ELSE substr(x, 1, 200) || ' [truncated]' END)) AS s FROM pl),
+pg AS (SELECT entry_id, 0 AS d, length(s[m + 1]) AS size, '' AS above, '' AS below, true AS open FROM pm WHERE len(s) > 0
+  UNION ALL SELECT entry_id, d, CASE WHEN df THEN size2 + length(dn) + 1 ELSE size2 END, CASE WHEN uf THEN up || chr(10) || above ELSE above END, CASE WHEN df THEN below || chr(10) || dn ELSE below END, uf OR df
+  FROM (SELECT *, coalesce(size2 + length(dn) + 1 <= 8000, false) AS df FROM (SELECT *, CASE WHEN uf THEN size + length(up) + 1 ELSE size END AS size2 FROM (SELECT *, coalesce(size + length(up) + 1 <= 8000, false) AS uf FROM (
+    SELECT pg.entry_id, pg.d + 1 AS d, size, above, below, CASE WHEN m - pg.d - 1 >= 0 THEN s[m - pg.d] END AS up, CASE WHEN m + pg.d + 1 < len(s) THEN s[m + pg.d + 2] END AS dn FROM pg JOIN pm USING (entry_id) WHERE open)))))"""
+
+
+@query(f"WITH RECURSIVE {sv.GOLDEN}, {PRESENTED} SELECT pm.entry_id, sha256(coalesce(above || s[m + 1] || below, '')) AS shown FROM pm LEFT JOIN (SELECT * FROM pg QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY d DESC) = 1) USING (entry_id)")
 def presented(spark, d):
-    rows = v.entries_golden(spark, d)
-    return rows.select("entry_id", F.sha2(go.present(F.col("context"), go.flagged_offset(F.greatest("line", F.lit(1)))).cast("binary"), 256).alias("shown"))
+    rows = v.entries_golden(spark, d).withColumn("flagged_offset", go.flagged_offset(F.greatest("line", F.lit(1))))
+    return go.present(rows.select("entry_id", "context", "flagged_offset")).select("entry_id", F.sha2(F.encode("presented", "UTF-8"), 256).alias("shown"))
 
 
 @query(f"WITH {sv.GOLDEN} SELECT entry_id, context_function AS shown FROM g")
@@ -282,11 +300,21 @@ def blind_queue(spark, d):
     return go.blind_queue(_queue(spark, d), v.entries_golden(spark, d), ["entry_id", "rule_id", "context_function"])
 
 
-@query(f"WITH {sv.GOLDEN}, r AS (SELECT entry_id, sha256('{{\"entry_id\":' || entry_id || ',\"rule_id\":\"' || rule_id || '\",\"label\":\"' || label || '\"}}') AS h FROM g) SELECT sha256(unhex(string_agg(h, '' ORDER BY entry_id))) AS digest, count(*) AS entries FROM r")
+@query(f"WITH {sv.GOLDEN}, r AS (SELECT entry_id, sha256('{{\"entry_id\":' || entry_id || ',\"rule_id\":\"' || rule_id || '\",\"label\":\"' || label || '\"}}') AS h, substr(sha256(CAST(entry_id AS VARCHAR)), 1, 3) AS b FROM g), bl AS (SELECT b, sha256(unhex(string_agg(h, '' ORDER BY entry_id))) AS h, count(*) AS n FROM r GROUP BY 1) SELECT sha256(unhex(string_agg(h, '' ORDER BY b))) AS digest, CAST(sum(n) AS BIGINT) AS entries FROM bl")
 def snapshot_digest(spark, d):
     return go.snapshot_digest(v.entries_golden(spark, d), ["entry_id", "rule_id", "label"])
 
 
+@query("SELECT 'as registered' AS study, true AS frozen UNION ALL SELECT 'one entry changed', false")
+def frozen_study(spark, d):
+    rows, fields = v.entries_golden(spark, d), ["entry_id", "rule_id", "label"]
+    manifest = go.snapshot_digest(rows, fields)
+    least = rows.agg(F.min("entry_id").alias("least"))
+    changed = rows.crossJoin(F.broadcast(least)).withColumn("label", F.when(F.col("entry_id") == F.col("least"), "changed").otherwise(F.col("label")))
+    same, other = (go.check_frozen(x, manifest, fields).select(F.lit(name).alias("study"), "frozen") for x, name in ((rows, "as registered"), (changed, "one entry changed")))
+    return same.union(other)
+
+
 @query(
     f"WITH {sv.GOLDEN}, {QUEUE}, lb AS (SELECT DISTINCT entry_id FROM g WHERE labelled_by = 'human'), dp AS (SELECT entry_id FROM la GROUP BY 1 HAVING count(DISTINCT label) > 1), ad AS (SELECT DISTINCT entry_id FROM g WHERE entry_id % 2 = 0) SELECT 'labelled outside the queue' AS \"check\", count(*) AS broken FROM lb WHERE entry_id NOT IN (SELECT entry_id FROM qq) UNION ALL SELECT 'queued without a label', count(*) FROM qq WHERE entry_id NOT IN (SELECT entry_id FROM lb) UNION ALL SELECT 'settled without a dispute', count(*) FROM ad WHERE entry_id NOT IN (SELECT entry_id FROM dp) UNION ALL SELECT 'open conflict', count(*) FROM dp WHERE entry_id NOT IN (SELECT entry_id FROM ad)"
 )
@@ -359,6 +387,13 @@ def failure_reasons(spark, d):
     return tr.failure_reasons(_calls(spark, d))
 
 
+@query(f"WITH {sv.GOLDEN} SELECT entry_id, 1.0 AS probability, 'judge' AS source FROM g")
+def rules_only(spark, d):
+    rows = v.entries_golden(spark, d).select("entry_id", cache_key(F.lit("window"), F.col("rule_id"), F.lit("python"), F.col("context")).alias("key"), F.col("context").alias("shown"))
+    empty = spark.createDataFrame([], "key string, probability double")
+    return tr.adjudicate(rows, empty, tr.rules_only, 1 << 30)[0].select("entry_id", "probability", "source")
+
+
 @query(f"WITH {CALLS} SELECT count(*) AS calls, round(sum(cost_usd), 4) AS cost_usd FROM ca")
 def run_totals(spark, d):
     return rounded(tr.run_totals(_calls(spark, d)), "cost_usd", digits=4)
@@ -475,18 +510,28 @@ def window_errors(spark, d):
     return ev.window_errors(v.entries_golden(spark, d)).select("entry_id", "credulous")
 
 
-@query(None)
-def credulous_report(spark, d):
-    return ev.credulous_report(ev.window_errors(v.entries_golden(spark, d)))
+def binomial(a: str, b: str) -> str:
+    """SQL of the two-sided sign test of two counts."""
+    return f"CASE WHEN {a} + {b} = 0 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, CAST(least({a}, {b}) + 1 AS BIGINT)), lambda i: exp(lgamma({a} + {b} + 1) - lgamma(i + 1) - lgamma({a} + {b} - i + 1) - ({a} + {b} - 1) * ln(2))))) END"
 
 
-@query(None)
+@query(f"WITH {sv.GOLDEN}, x AS (SELECT rule_id, count(*) FILTER (WHERE p_function > p_window) AS more, count(*) FILTER (WHERE p_function < p_window) AS less FROM gp GROUP BY 1) SELECT rule_id, more, less, round({binomial('more', 'less')}, 6) AS p_value FROM x")
 def sign_tests(spark, d):
     rows = ev.paired(v.entries_golden(spark, d)).groupBy("rule_id").agg(F.count_if(F.col("p_function") > F.col("p_window")).alias("more"), F.count_if(F.col("p_function") < F.col("p_window")).alias("less"))
-    return rows.withColumn("p_value", ev.sign_test(F.col("more"), F.col("less")))
+    return rounded(rows.withColumn("p_value", ev.sign_test(F.col("more"), F.col("less"))), "p_value")
+
+
+def bootstrap(rows: str, hit: str) -> str:
+    """SQL of the cluster bootstrap over servers with 200 replicates; its last table br has a value and a rank per replicate."""
+    return f"bs AS (SELECT server_id AS c, count(*) FILTER (WHERE {hit}) AS a, count(*) AS n FROM {rows} GROUP BY 1), bn AS (SELECT *, row_number() OVER (ORDER BY sha256(c), c) - 1 AS i FROM bs), bk AS (SELECT count(*) AS k FROM bs), bd AS (SELECT rep, CAST('0x' || substr(sha256('7:' || rep || ':' || slot), 1, 8) AS BIGINT) % k AS i FROM bk, range(200) r(rep), range(1, 1000) s(slot) WHERE slot <= k), bv AS (SELECT rep, sum(a) / sum(n) AS v FROM bd JOIN bn USING (i) GROUP BY 1), br AS (SELECT v, row_number() OVER (ORDER BY v, rep) - 1 AS rk FROM bv)"
 
 
-BOOT = "bs AS (SELECT server_id AS c, count(*) FILTER (WHERE (p_window >= 0.5) <> (p_function >= 0.5)) AS a, count(*) AS n FROM gp GROUP BY 1), bn AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS i FROM bs), bk AS (SELECT count(*) AS k FROM bs), bd AS (SELECT rep, CAST('0x' || substr(sha256('7:' || rep || ':' || slot), 1, 8) AS BIGINT) % k AS i FROM bk, range(200) r(rep), range(1, 1000) s(slot) WHERE slot <= k), bv AS (SELECT rep, sum(a) / sum(n) AS v FROM bd JOIN bn USING (i) GROUP BY 1), br AS (SELECT v, row_number() OVER (ORDER BY v, rep) - 1 AS rk FROM bv)"
+BOOT = bootstrap("gp", "(p_window >= 0.5) <> (p_function >= 0.5)")
+
+
+@query(f"WITH {sv.GOLDEN}, {ERRORS}, {bootstrap('we', 'credulous')}, x AS (SELECT count(*) AS n, count(*) FILTER (WHERE credulous) AS credulous FROM we) SELECT n, credulous, round(credulous / greatest(n, 1), 6) AS share, round({binomial('credulous', '(n - credulous)')}, 6) AS p_value, (SELECT round(max(v) FILTER (WHERE rk = 5), 6) FROM br) AS low, (SELECT round(max(v) FILTER (WHERE rk = 194), 6) FROM br) AS high FROM x")
+def credulous_report(spark, d):
+    return rounded(ev.credulous_report(ev.window_errors(v.entries_golden(spark, d)), 200), "share", "p_value", "low", "high")
 
 
 @query(f"WITH {sv.GOLDEN}, {BOOT} SELECT round(max(v) FILTER (WHERE rk = 5), 6) AS low, round(max(v) FILTER (WHERE rk = 194), 6) AS high FROM br")
@@ -546,9 +591,9 @@ def resolved_by_context(spark, d):
     return rounded(ev.resolved_by_context(rows.select(narrow.alias("narrow"), wide.alias("wide"))), "share")
 
 
-@query(f"WITH {sv.GOLDEN}, x AS (SELECT rule_id, abs(p_window - 0.5) AS w, abs(p_function - 0.5) AS f FROM gp) SELECT rule_id, count(*) AS n, round(median(w), 6) AS median_window, round(median(f), 6) AS median_function, count(*) FILTER (WHERE f > w) AS more, count(*) FILTER (WHERE f < w) AS less, count(*) FILTER (WHERE f = w) AS tied FROM x GROUP BY ROLLUP (rule_id)")
+@query(f"WITH {sv.GOLDEN}, x AS (SELECT rule_id, abs(p_window - 0.5) AS w, abs(p_function - 0.5) AS f FROM gp) SELECT rule_id, count(*) AS n, round(median(w), 6) AS median_window, round(median(f), 6) AS median_function, count(*) FILTER (WHERE f > w) AS more, count(*) FILTER (WHERE f < w) AS less, count(*) FILTER (WHERE f = w) AS tied, round({binomial('count(*) FILTER (WHERE f > w)', 'count(*) FILTER (WHERE f < w)')}, 6) AS p_value FROM x GROUP BY ROLLUP (rule_id)")
 def decisiveness(spark, d):
-    return rounded(ev.decisiveness(v.entries_golden(spark, d)), "median_window", "median_function")
+    return rounded(ev.decisiveness(v.entries_golden(spark, d)), "median_window", "median_function", "p_value")
 
 
 @query(f"WITH {sv.GOLDEN}, x AS (SELECT t, server_id, count(*) AS n, count(*) FILTER (WHERE (p_window >= t) <> (p_function >= t)) AS fl FROM gp, (VALUES (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE)) v(t) GROUP BY 1, 2) SELECT t AS threshold, CAST(sum(fl) AS BIGINT) AS flips, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (WHERE fl > 0) AS servers, max(fl) AS largest, round(CASE WHEN sum(fl) > 0 THEN max(fl) / sum(fl) ELSE 0.0 END, 6) AS largest_share FROM x GROUP BY 1")

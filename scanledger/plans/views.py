@@ -82,32 +82,33 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.nightly_fold(previous(spark, sf_dir), current(spark, sf_dir), now())
+    """``previous`` with ``current`` folded in, and moves carried, in one pass over the events."""
+    return history.carry_moved(history.merge_nights(findings(spark, sf_dir), F.col("night") >= "2024-01-25", now()), now())
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notices, withdrawals, extensions and opt-outs drawn from events by their ids."""
-    rows = findings(spark, sf_dir)
     e, ts = F.col("event_id"), F.col("ts")
-    none_ts, none = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
+    none_ts, none, day = F.lit(None).cast("timestamp"), F.lit(None).cast("string"), F.expr("interval 1 day")
     channel = F.when(e % 3 == 0, "advisory").when(e % 3 == 1, "email").otherwise("contact_request")
-    day = F.expr("interval 1 day")
-    notice = rows.where(e % 5 == 0).select(
-        F.lit("notice").alias("kind"), "server_id", F.array("finding_id").alias("finding_ids"), none.alias("finding_id"), channel.alias("channel"), ts.alias("notified_at"), none_ts.alias("until"),
-        F.when(e % 10 == 0, ts + day).alias("acknowledged_at"), F.when(e % 25 == 0, ts + day).alias("fixed_at"),
-    )
-    one = lambda kind, keep, until: rows.where(keep).select(F.lit(kind).alias("kind"), "server_id", F.lit(None).cast("array<string>").alias("finding_ids"), "finding_id", none.alias("channel"), none_ts.alias("notified_at"), until.alias("until"), none_ts.alias("acknowledged_at"), none_ts.alias("fixed_at"))
-    withdrawal = one("withdrawal", e % 50 == 0, none_ts)
-    extension = one("extension", e % 35 == 0, ts + F.expr("interval 120 days"))
-    opt_out = one("opt_out", (e % 100 == 7), none_ts).withColumn("server_id", F.lit("s9")).withColumn("finding_id", none)
-    return notice.unionByName(withdrawal).unionByName(extension).unionByName(opt_out)
+
+    def entry(kind: str, keep, **values):
+        fields = {"server_id": F.col("server_id"), "finding_ids": F.lit(None).cast("array<string>"), "finding_id": F.col("finding_id"), "channel": none, "notified_at": none_ts, "until": none_ts, "acknowledged_at": none_ts, "fixed_at": none_ts}
+        return F.when(keep, F.struct(F.lit(kind).alias("kind"), *[c.alias(n) for n, c in (fields | values).items()]))
+
+    drawn = F.array(
+        entry("notice", e % 5 == 0, finding_ids=F.array("finding_id"), finding_id=none, channel=channel, notified_at=ts, acknowledged_at=F.when(e % 10 == 0, ts + day), fixed_at=F.when(e % 25 == 0, ts + day)),
+        entry("withdrawal", e % 50 == 0),
+        entry("extension", e % 35 == 0, until=ts + F.expr("interval 120 days")),
+        entry("opt_out", e % 100 == 7, server_id=F.lit("s9"), finding_id=none),
+    )
+    return findings(spark, sf_dir).select(F.explode(F.array_compact(drawn)).alias("x")).select("x.*")
 
 
 def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folded history with the state of each finding at the gate's clock."""
-    h = folded(spark, sf_dir)
     facts, opted = disclosure.disclosure_records(ledger(spark, sf_dir))
-    return disclosure.with_state(h, disclosure.follow_moves(facts, h), opted, gate_clock())
+    return disclosure.state_by_ledger(folded(spark, sf_dir), facts, opted, gate_clock())
 
 
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from urllib.parse import unquote
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,12 @@ def refuse_any(bad: DataFrame, what: str) -> None:
         raise Refused(f"{what}: {row[0].asDict()}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or where it is unset a place in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
@@ -66,6 +76,11 @@ def write_history(history: DataFrame, path: str) -> None:
     history.repartitionByRange("finding_id").sortWithinPartitions("finding_id").write.mode("overwrite").json(path)
 
 
+def _is_link(paths: pd.Series) -> pd.Series:
+    """Whether a path of the local file system names a symbolic link; stores without links have none."""
+    return paths.map(lambda p: p.startswith("file:") and os.path.islink(unquote(p.removeprefix("file:"))))
+
+
 def read_files(spark: SparkSession, path: str, server_depth: int = 1) -> DataFrame:
     """Checkouts below ``path`` (one folder per server) as a table of files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -73,7 +88,7 @@ def read_files(spark: SparkSession, path: str, server_depth: int = 1) -> DataFra
     tail = F.regexp_replace(F.col("path"), rf"^[a-z0-9]+:/*{root}/", "")
     parts = F.split(tail, "/")
     server = F.array_join(F.slice(parts, 1, server_depth), "/")
-    return found.select(server.alias("server_id"), F.lit(None).cast("string").alias("commit_sha"), F.array_join(F.slice(parts, F.lit(server_depth + 1), F.greatest(F.size(parts) - server_depth, F.lit(0))), "/").alias("path"), "content", F.col("length").alias("size"), F.lit(False).alias("is_symlink"))
+    return found.select(server.alias("server_id"), F.lit(None).cast("string").alias("commit_sha"), F.array_join(F.slice(parts, F.lit(server_depth + 1), F.greatest(F.size(parts) - server_depth, F.lit(0))), "/").alias("path"), "content", F.col("length").alias("size"), F.pandas_udf(_is_link, "boolean")("path").alias("is_symlink"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -107,12 +122,27 @@ def write_corpus(corpus: DataFrame, sample: DataFrame, path: str) -> None:
     sample.write.mode("overwrite").parquet(f"{path}/sample")
 
 
-def sarif_documents(results: DataFrame, rules: DataFrame, tool: str = "scanledger") -> DataFrame:
-    """One SARIF 2.1.0 document per server as JSON text: server_id, document."""
+def write_lines(df: DataFrame, path: str) -> None:
+    """Annotations, trend points or cached answers, one JSON object a line."""
+    df.write.mode("append").json(path)
+
+
+#: Results of one document at most, by a wide margin.
+DOCUMENT_RESULTS = 5000
+
+
+def sarif_documents(results: DataFrame, rules: DataFrame, tool: str = "scanledger", most: int = DOCUMENT_RESULTS) -> DataFrame:
+    """SARIF 2.1.0 documents as JSON text: server_id, part, document.
+
+    A server's results are dealt to as many parts as hold about ``most`` each, by the first digits of their ids.
+    """
     descriptors = rules.agg(F.array_sort(F.collect_list(F.struct(F.col("rule_id").alias("id"), F.col("rule_index").alias("index")))).alias("rules"))
     body = F.struct(
         F.lit("2.1.0").alias("version"),
         F.array(F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))).alias("runs"),
     )
-    grouped = results.groupBy("server_id").agg(F.array_sort(F.collect_list(F.struct("finding_id", "rule_id", "rule_index", "level", "message", "file", "line"))).alias("results"))
-    return grouped.crossJoin(F.broadcast(descriptors)).select("server_id", F.to_json(body).alias("document"))
+    parts = results.groupBy("server_id").agg(F.ceil(F.count("*") / most).alias("parts"))
+    part = F.conv(F.substring("finding_id", 1, 8), 16, 10).cast("long") % F.col("parts")
+    dealt = results.join(parts, "server_id").withColumn("part", part)
+    grouped = dealt.groupBy("server_id", "part").agg(F.array_sort(F.collect_list(F.struct("finding_id", "rule_id", "rule_index", "level", "message", "file", "line"))).alias("results"))
+    return grouped.crossJoin(F.broadcast(descriptors)).select("server_id", "part", F.to_json(body).alias("document"))  # the rules that fired, one row

@@ -163,6 +163,35 @@ def test_jaccard_components(docs, none):
     assert ngram_join.jaccard_components(df.union(df)).count() == 2 * len(rows)
 
 
+def components_of(rows):
+    sets = {d: shingles(t) for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    return {d: (len(sets[d]), c) for d, c in union_find(sets, links).items()}
+
+
+@pytest.mark.parametrize("kept", [1, 1 << 16])
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_members_of_a_prefix_group_meet(spark, monkeypatch, partitions, kept):
+    monkeypatch.setattr(ngram_join, "KEPT_GROUPS", kept)
+    rng, rows = random.Random(11), []
+    for k in range(60):
+        w = [f"t{k}w{rng.randrange(10**6)}" for _ in range(30)]
+        rows += [(5 * k, " ".join(w[:24])), (5 * k + 1, " ".join(w[:22] + ["x1", "x2"])), (5 * k + 2, " ".join(w[:22] + ["x1", "y2"])), (5 * k + 3, " ".join(["z", *w[1:24]]))]
+    for k in range(60):  # the leader shares 10 words with the others, those share 12
+        w = [f"u{k}v{rng.randrange(10**6)}" for _ in range(20)]
+        rows += [(1000 + 3 * k, " ".join(w[:10] + [f"a{k}", f"b{k}", f"c{k}"])), (1001 + 3 * k, " ".join([*w[:10], "d", "e", "f"])), (1002 + 3 * k, " ".join([*w[:10], "d", "e", "g"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions, "doc_id").sortWithinPartitions("doc_id")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()} == components_of(rows)
+
+
+def test_jaccard_rows_that_share_an_id_or_have_none(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "ein zwei drei vier fuenf sechs")
+    rows = [(1, a), (1, b), (2, b), (3, a), (4, c), (4, None), (None, a), (None, "nobody has this text at all here"), (5, "")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in got if r.doc_id) == [(1, 2, 1), (1, 2, 1), (2, 3, 2), (3, 2, 1), (4, 0, 4), (4, 0, 4), (5, 0, 5)]
+    assert sorted((r.n_shingles, r.component_id or -1) for r in got if r.doc_id is None) == [(2, 1), (3, -1)]
+
+
 def edits(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -242,11 +271,23 @@ def test_repeats(docs, none):
     got = repeats.remove_repeats(df).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want and len(got) == len(rows)
     assert repeats.remove_repeats(none).count() == 0
-    crowd, repeats.CROWD = repeats.CROWD, 1
-    try:
-        assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(df).collect()} == {d: w[1] for d, w in want.items()}
-    finally:
-        repeats.CROWD = crowd
+
+
+@pytest.mark.parametrize("shard", [1, 2000])
+def test_repeats_of_anchors_that_fill_several_shards(docs, monkeypatch, shard):
+    df, rows = docs
+    want = {r.doc_id: tuple(r) for r in repeats.remove_repeats(df).collect()}
+    monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
+    assert {r.doc_id: tuple(r) for r in repeats.remove_repeats(df.repartition(2)).collect()} == want
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = say(260), say(269), say(120)
+    rows = [(1, a), (1, a), (1, b), (2, "x" + c + b[50:200]), (3, c), (None, a), (4, None), (4, "")]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in got) == [(0, 260, 0), (1, 260, 0), (1, 260, 0), (1, 269, 0), (2, 271, 150), (3, 120, 120), (4, 0, 0), (4, 0, 0)]
 
 
 def test_packing_round_trip(docs, none):
