@@ -2,13 +2,17 @@
 
 Each micro-batch may hold rows of several nights; they are folded night by night.  A partial night updates what it
 covers and deletes nothing.  A night that arrives late keeps later stamps: it only lowers first_seen and fills gaps.
-State is the history table, written as a new version per batch; the batch id names the version, so a batch that is run
-again after a failure overwrites its own version and reads the one before it.
+
+State is the history table in ``BUCKETS`` buckets by server, rule, file and evidence, which an identity and the moves of a
+finding never leave.  A batch reads and rewrites only the buckets that its rows touch, under its own id as the version; a
+manifest per batch names each bucket's newest version and the newest stamp.  A batch that is run again after a failure
+reads the manifest before it and overwrites its own version.  What neither the last nor the last but one manifest names
+is removed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history
@@ -17,14 +21,26 @@ from ..sources.io import exists
 
 NIGHT_ROWS = FINDING.replace("location struct<file: string, line: int>", "file string, line int") + ", finding_id string, night date"
 STATE = FINDING.replace("location struct<file: string, line: int>", "file string, line int") + ", finding_id string, first_seen timestamp, last_seen timestamp, previous_ids array<string>"
+NAMES = [f.split()[0] for f in STATE.split(", ")]
+MANIFEST = "bucket int, version long, newest timestamp"
+BUCKETS = 64
+
+
+def bucket_of() -> Column:
+    return F.pmod(F.xxhash64(*history.MOVE_KEY), F.lit(BUCKETS)).cast("int")
+
 
+def fold_night(state: DataFrame, rows: DataFrame, night: str, newest: str | None = None) -> DataFrame:
+    """The history after one night; for one before the ``newest`` day of the whole history, stamps are only widened and nothing is moved.
 
-def fold_night(state: DataFrame, rows: DataFrame, night: str) -> DataFrame:
-    """The history after one night; for a night before the newest one, stamps are only widened and nothing is moved."""
+    Unless given, the newest day is that of ``state``; it is empty where there is no history.
+    """
     now = F.lit(night).cast("timestamp")
-    newest = state.agg(F.max("last_seen")).first()[0]
+    if newest is None:
+        last = state.agg(F.max("last_seen")).first()[0]
+        newest = str(last.date()) if last else ""
     current = history.last_of_each(rows.withColumn("_at", F.xxhash64(*[c for c in rows.columns])), ["finding_id"], "_at").drop("_at")
-    if newest is None or str(newest.date()) <= night:
+    if newest <= night:
         return history.nightly_fold(state, current, now)
     merged = history.merge_findings(state, current, now)
     seen = state.select("finding_id", F.col("first_seen").alias("s_first"), F.col("last_seen").alias("s_last"))
@@ -35,31 +51,73 @@ def fold_night(state: DataFrame, rows: DataFrame, night: str) -> DataFrame:
     )
 
 
-def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    """The newest version up to ``version``, or an empty history."""
+def read_manifest(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """bucket, version, newest of the newest manifest up to ``version``; empty where there is none."""
     for v in range(version, -1, -1):
-        if exists(spark, f"{folder}/version={v}/_SUCCESS"):
-            return spark.read.schema(STATE).parquet(f"{folder}/version={v}")
-    return spark.createDataFrame([], STATE)
+        if exists(spark, f"{folder}/manifest/version={v}/_SUCCESS"):
+            return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest/version={v}")
+    return spark.createDataFrame([], MANIFEST)
+
+
+def _read(spark: SparkSession, folder: str, versions: dict[int, int]) -> DataFrame:
+    """The buckets (at most ``BUCKETS``) of ``versions``, bucket to version."""
+    paths = [f"{folder}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
+
+
+def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """The newest history up to ``version``, or an empty one."""
+    return _read(spark, folder, {r["bucket"]: r["version"] for r in read_manifest(spark, folder, version).collect()})
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fold_batch(df: DataFrame, folder: str, batch_id: int) -> None:
+    """Fold the rows of one batch into the buckets that they touch."""
+    spark = df.sparkSession
+    before = read_manifest(spark, folder, batch_id - 1).collect()  # a row per bucket
+    versions = {r["bucket"]: r["version"] for r in before}
+    newest = max((str(r["newest"].date()) for r in before if r["newest"]), default="")
+    told = df.groupBy(bucket_of().alias("bucket"), "night").count().select("bucket", "night").collect()  # buckets times nights
+    touched, nights = sorted({r["bucket"] for r in told}), sorted({str(r["night"]) for r in told})
+    if not touched:
+        return
+    state = _read(spark, folder, {b: v for b, v in versions.items() if b in touched})
+    for n, night in enumerate(nights):
+        state = fold_night(state, df.where(F.col("night") == night).drop("night"), night, newest).select(*NAMES)
+        newest = max(newest, night)
+        if n + 1 < len(nights):  # each night is written, so that plans don't pile up
+            state.write.mode("overwrite").parquet(f"{folder}/step={batch_id}-{n}")
+            state = spark.read.schema(STATE).parquet(f"{folder}/step={batch_id}-{n}")
+    state.withColumn("bucket", bucket_of()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/version={batch_id}")
+    now = versions | dict.fromkeys(touched, batch_id)
+    rows = spark.createDataFrame([(b, v, newest) for b, v in now.items()], "bucket int, version long, newest string")
+    rows.select("bucket", "version", F.col("newest").cast("timestamp").alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/version={batch_id}")
+    for n in range(len(nights) - 1):
+        _remove(spark, f"{folder}/step={batch_id}-{n}")
+    # What the manifest before the last one named and both later ones don't.
+    oldest = read_manifest(spark, folder, batch_id - 2).collect()
+    for r in oldest:
+        if versions.get(r["bucket"]) != r["version"]:
+            _remove(spark, f"{folder}/data/version={r['version']}/bucket={r['bucket']}")
+    if batch_id >= 2:
+        _remove(spark, f"{folder}/manifest/version={batch_id - 2}")
 
 
 def merge_stream(spark: SparkSession, landing: str, folder: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
     """Fold everything that has landed below ``landing`` and return the history."""
     rows = spark.readStream.schema(NIGHT_ROWS).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
-    last = {"version": -1}
-    names = [f.name for f in spark.createDataFrame([], STATE).schema]
+    last = {"version": 0}
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        state = read_version(spark, folder, batch_id - 1)
-        nights = [str(r[0]) for r in df.select("night").distinct().orderBy("night").collect()]
-        for night in nights:
-            state = fold_night(state, df.where(F.col("night") == night).drop("night"), night).select(*names)
-            if night != nights[-1]:  # each night is written, so that plans don't pile up
-                state.write.mode("overwrite").parquet(f"{folder}/step={batch_id}-{night}")
-                state = spark.read.schema(STATE).parquet(f"{folder}/step={batch_id}-{night}")
-        state.select(*names).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        df.persist()  # read once for its nights and once for each of them
+        fold_batch(df, folder, batch_id)
+        df.unpersist()
         last["version"] = batch_id
 
     stream = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
-    return read_version(spark, folder, max(last["version"], 0))
+    return read_version(spark, folder, last["version"])

@@ -12,3 +12,51 @@ def test_history_holds_all_nights(spark, tmp_path):
     assert {r.evidence for r in views.current(spark, d).collect()} == {"v4", "v5"}
     got = registry.QUERIES["merge_stream"](spark, d).collect()
     assert sorted(day(r.first_seen) for r in got) == ["2024-01-01", "2024-01-12", "2024-01-22", "2024-01-27", "2024-01-30"]
+
+
+def by_hand(rows):
+    """The history after all nights, in order: id to (first, last, earlier ids)."""
+    state = {}
+    for night in sorted({r["night"] for r in rows}):
+        tonight = {r["finding_id"]: r for r in rows if r["night"] == night}
+        for i, r in tonight.items():
+            first, earlier = (state[i][1], state[i][3]) if i in state else (night, ())
+            state[i] = (r, first, night, earlier)
+        keys = {(r["server_id"], r["rule_id"], r["file"], r["evidence"]) for r in tonight.values()}
+        for key in keys:
+            of = sorted(((r["line"], i) for i, (r, *_) in state.items() if (r["server_id"], r["rule_id"], r["file"], r["evidence"]) == key))
+            gone = [i for _, i in of if state[i][2] != night]
+            came = [i for _, i in of if state[i][1] == state[i][2] == night]
+            if len(gone) == len(came):
+                for old, new in zip(gone, came, strict=True):
+                    _, first, _, earlier = state.pop(old)
+                    state[new] = (state[new][0], first, night, (*earlier, old))
+    return {i: (first, last, earlier) for i, (_, first, last, earlier) in state.items()}
+
+
+def test_the_stream_folds_as_by_hand(spark, tmp_path, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from scanledger.operators import history
+    from scanledger.streaming import merge_stream as ms
+
+    rng = random.Random(4)
+    found = {(n, s, f, line) for n in range(1, 9) for s in "ab" for f in "xyz" for line in rng.sample(range(6), rng.randint(0, 2))}
+    data = [(f"2024-01-{n:02d}", s, "a" * 40, "r", "high", "low", f, line, "e") for n, s, f, line in sorted(found)]
+    df = history.with_identity(spark.createDataFrame(data, "night string, server_id string, commit_sha string, rule_id string, severity string, confidence string, file string, line int, evidence string"))
+    names = ["server_id", "commit_sha", "rule_id", "severity", "confidence", "file", "line", "evidence", "finding_id"]
+    for night in sorted({r[0] for r in data}):  # a file a night, in order
+        df.where(F.col("night") == night).select(*names, F.col("night").cast("date").alias("night")).coalesce(1).write.parquet(f"file://{tmp_path}/land/{night}")
+    want = by_hand([r.asDict() for r in df.collect()])
+    day = lambda t: str(t)[:10]
+    for k, each in enumerate((1, 3, 100)):
+        out = ms.merge_stream(spark, f"file://{tmp_path}/land/*", f"file://{tmp_path}/state{k}", f"file://{tmp_path}/cp{k}", files_per_batch=each)
+        assert {r.finding_id: (day(r.first_seen), day(r.last_seen), tuple(r.previous_ids)) for r in out.collect()} == want, each
+    kept = {p.name for p in (tmp_path / "state0" / "manifest").iterdir()}
+    assert kept == {"version=6", "version=7"} and not list((tmp_path / "state0").glob("step=*"))
+    named = {(r.bucket, r.version) for v in (6, 7) for r in spark.read.parquet(f"file://{tmp_path}/state0/manifest/version={v}").collect()}
+    assert {(int(p.name[7:]), int(p.parent.name[8:])) for p in (tmp_path / "state0" / "data").glob("version=*/bucket=*")} == named
+    ms.fold_batch(df.where("night = '2024-01-08'").select(*names, F.col("night").cast("date").alias("night")), f"file://{tmp_path}/state0", 7)  # again, as after a failure
+    assert {r.finding_id: (day(r.first_seen), day(r.last_seen), tuple(r.previous_ids)) for r in ms.read_version(spark, f"file://{tmp_path}/state0", 7).collect()} == want
