@@ -14,8 +14,9 @@
     most (1 - t) / (1 + t) of the sum of their sizes.
 
 Defined results: a null or wordless text has an empty set and stays alone; a text with fewer words than a shingle has
-the whole sequence as its one shingle; repeated rows are copies; ties do not arise (ids decide); an empty table gives
-no rows; further columns are ignored.
+the whole sequence as its one shingle; repeated rows are copies; rows with the same doc_id are one document, whose text is
+the smallest of theirs by bytes; rows without a doc_id have the component of the documents with the same set, null where there are none; ties do not arise (ids decide);
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, may_hold, pick, settle, sliced
+from .common import components, may_hold, pick, settle, sliced, without
 from .words import SHINGLE, shingle_set
 
 BINS = 1 << 18
 PERCENT = 80
 PARITY = 1024
+#: Groups that a task keeps in mind at once.
+KEPT_GROUPS = 1 << 16
 
 
 def _classes(rows: DataFrame, n: int) -> DataFrame:
@@ -104,6 +107,9 @@ def _prefixes(rows: DataFrame, crowded: np.ndarray, n: int, percent: int) -> Dat
                 if group in leaders:
                     members.append((leaders[group], ids[i].as_py(), len(found)))
                     continue
+                if len(leaders) >= KEPT_GROUPS:  # what comes after forms groups of its own
+                    leaders.clear()
+                    seen.clear()
                 leaders[group] = ids[i].as_py()
                 at.append((i, len(found), len(keys)))
                 tokens.append(keys)
@@ -161,9 +167,20 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFr
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _one_text_each(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with the smallest of its texts for every doc_id that has several."""
+    hashed = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("hash")).groupBy("doc_id").agg(F.min("hash").alias("a"), F.max("hash").alias("z"))
+    several = settle(hashed.where("a <> z").select("doc_id"))
+    if not several.limit(1).count():
+        return rows
+    held = may_hold(rows, "doc_id", several)
+    chosen = held.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(b""))).alias("chosen"))
+    return without(rows, "doc_id", several).unionByName(held.join(chosen, "doc_id", "left").select("doc_id", F.coalesce("chosen", "text").alias("text")))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; component_id is the smallest doc_id reachable by links."""
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.encode("text", "UTF-8"))
+    rows = _one_text_each(pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.encode("text", "UTF-8")))
     first = settle(_classes(rows, n))
     crowded = crowded_bins(first.where("bin is not null"))
     known = first.where("bin is null").select("doc_id", "n_shingles", "sig")
@@ -173,13 +190,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Buckets of one document are dropped at once; what is left is small.  Rows of members (token null) stay apart: their
     # leader spreads them over the buckets' partitions.
-    sent = _prefixes(rows, crowded, n, percent).withColumn("bucket", F.coalesce("token", F.xxhash64("member")))
+    sent = _prefixes(rows.where("doc_id is not null"), crowded, n, percent).withColumn("bucket", F.coalesce("token", F.xxhash64("member")))
     shared = F.expr("count(token) over (partition by bucket) > 1 or token is null")
     renamed = copies.select(F.col("doc_id").alias("member"), F.col("rep").alias("member_rep"))
     sent = sent.withColumn("shared", shared).where("shared").join(copies, "doc_id", "left").join(renamed, "member", "left")
     sent = settle(sent.select("token", F.coalesce("rep", "doc_id").alias("doc_id"), "n", "pos", F.coalesce("member_rep", "member").alias("member")).distinct())
     buckets = sent.where("token is not null").drop("member")
-    members = sent.where("token is null and member <> doc_id").select("doc_id", "member").distinct()
+    members = sent.where("token is null and member <> doc_id").select("doc_id", "member", "n").distinct()
 
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     binned = buckets.withColumn("bin", size_class)
@@ -191,8 +208,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = settle(_verified(stars, rows, n, percent))
     labels = components(links)
 
-    # A group's members stand in all buckets of its leader.
-    expanded = buckets.union(buckets.join(members, "doc_id").select("token", F.col("member").alias("doc_id"), "n", "pos")).distinct()
+    # A group's members stand in all buckets of its leader that others share, and with it in a bucket of their own (below 0).
+    own = F.xxhash64("doc_id").bitwiseOR(F.lit(-(1 << 63)))
+    grouped = members.select(own.alias("token"), F.explode(F.array("doc_id", "member")).alias("doc_id"), "n", F.lit(0).alias("pos"))
+    expanded = buckets.union(buckets.join(members.drop("n"), "doc_id").select("token", F.col("member").alias("doc_id"), "n", "pos")).union(grouped).distinct()
     marked = expanded.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     marked = settle(marked.join(mixed, "token", "left_semi"))
