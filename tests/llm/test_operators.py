@@ -96,6 +96,51 @@ def test_mix_meets_targets(docs, none):
     assert twice.count() == 2 * len(rows)
 
 
+def test_pareto_sample_by_brute_force(spark, docs):
+    df, rows = docs
+    odd = [(1000 + k, "w " * (k % 40 + 1) + str(k), "en", "big" if k % 3 else "c", 0) for k in range(400)] + [(None, "no id at all", "en", "big", 0)] * 2 + [(7, "again", "en", "c", 0)] * 3
+    sized = mixing.sized_documents(df.select("doc_id", "text", "source").union(spark.createDataFrame(odd, DOCS).select("doc_id", "text", "source")))
+    targets = mixing.source_targets(sized)
+    ranked = mixing.ranked_documents(sized, targets).collect()
+    got = {(r.doc_id, r.source, r["size"], r.copy_no): r.copies for r in mixing.pareto_mix(sized, targets).collect()}
+    assert len(got) == len(ranked) == len(rows) + len(odd) and any(k[0] is None for k in got)
+    unequal = 0
+    for source in {r.source for r in ranked}:
+        mine = [r for r in ranked if r.source == source]
+        target = mine[0].target
+        expected = sum(r["size"] * (r.whole + r.p) for r in mine)
+        assert abs(expected - target) < 1e-6 * max(target, 1) and all(0 <= r.p < 1 and 0 < r.u < 1 and r.whole + r.p <= mixing.MOST_COPIES + 1e-9 for r in mine)
+        unequal += len({round(r.whole + r.p, 9) for r in mine}) > 1
+        want = {(r.doc_id, source, r["size"], r.copy_no): r.whole for r in mine}
+        room = target - sum(r["size"] * r.whole for r in mine)
+        open_ = sorted((r for r in mine if r.p > 0 and r["size"]), key=lambda r: (r.u / (1 - r.u)) / (r.p / (1 - r.p)))
+        for n, r in enumerate(open_):
+            if r["size"] > room:
+                fits = [x for x in open_[n:] if x["size"] <= room]
+                if fits:
+                    r = max(fits, key=lambda x: (x["size"], -x.rank))
+                    want[r.doc_id, source, r["size"], r.copy_no] += 1
+                break
+            room -= r["size"]
+            want[r.doc_id, source, r["size"], r.copy_no] += 1
+        assert {k: v for k, v in got.items() if k[1] == source} == want
+    assert unequal >= 2
+
+
+def test_mix_of_given_weights_and_of_sources_without_words(spark):
+    empty = spark.createDataFrame([(1, "", "en", "y", 0), (2, None, "en", "y", 0)], DOCS)
+    assert sorted((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in mixing.mix_documents(empty).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+    both = empty.union(spark.createDataFrame([(3, "a b c", "en", "x", 0)], DOCS))
+    assert sorted((r.doc_id, r.taken) for r in mixing.mix_documents(both).collect()) == [(1, 0), (2, 0), (3, 3)]
+    sized = spark.createDataFrame([(k, "s", 10, 0, [0.0, 1.0, 4.0, None][k % 4]) for k in range(400)], "doc_id long, source string, size long, copy_no int, weight double")
+    targets = spark.createDataFrame([("s", 4000, 2000.0)], "source string, source_size long, target double")
+    got = collections.defaultdict(list)
+    for r in mixing.ranked_documents(sized, targets).collect():
+        got[r.doc_id % 4].append(r.whole + r.p)
+    assert set(got[0]) == set(got[3]) == {0.0} and {round(x, 6) for x in got[1]} == {0.4} and {round(x, 6) for x in got[2]} == {1.6}
+    assert sum(r.copies * 10 for r in mixing.pareto_mix(sized, targets).collect()) == 2000
+
+
 def test_html_blocks():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>x";</script></head><body><nav><ul><li>menu</li></ul></nav>
     <header class="top">Head</header><div class="cookie-notice">We use cookies</div><aside>side</aside><article><h1>Big  &amp; bold</h1><p>One<b> two</b>&nbsp;three<p>Short</p>
