@@ -13,6 +13,7 @@ no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections import deque
@@ -33,10 +34,12 @@ WINDOW = 4096
 END = 2
 LANE_BYTES = 24 << 20
 GROUP_LANES = 64
+#: Most queues that a lane keeps.
+MOST_SOURCES = 4096
 LOOK_AHEAD = 96 * WINDOW
 #: Most chunks and most parts of chunks that a worker keeps.
-CACHED_CHUNKS = 200_000
-CACHED_PARTS = 300_000
+CACHED_CHUNKS = 320_000
+CACHED_PARTS = 400_000
 PIECES = "doc_id {id}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, credit double"
 
 
@@ -46,6 +49,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Fixed value: how a tokenizer splits words whose ids may be put together from parts.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_like_words(tokenizer) -> bool:
+    """Whether a tokenizer drops white space, ignores case and parts letters from marks, so that ``ChunkEncoder`` may cut texts."""
+    told = json.loads(tokenizer.to_str())
+    steps = [x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])]
+    split = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and bool(split.get("invert")) and split.get("pattern") == {"Regex": _WORD_SPLIT}
+
+
+#: Key of the end token; no chunk holds a blank.
+_END_KEY = "\0 end"
+
+
 class _Places(dict):
     """Numbers of strings; one that isn't there gets the next and is noted as new."""
 
@@ -109,21 +128,25 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_chunks = splits_like_words(self.tokenizer)
         self.chunks, self.parts = _Places(), _Places()
         self.chunk_ids, self.part_ids = _Ids(), _Ids()
-        self.end = self.chunks["\0 end"]
+        self.end = self.chunks[_END_KEY]
         self.chunks.new.clear()
         self.chunk_ids.add(np.array([end], np.uint32), np.array([1]))
 
     def _encode_new(self) -> None:
-        new, halves = self.chunks.new, []
+        new, parts, halves = self.chunks.new, self.parts, []
+        put, bare, normal = halves.append, self.parts[""], unicodedata.is_normalized
         for chunk in new:
             low = chunk.lower()
             core = low.rstrip(_MARKS)
-            if core.isalpha() and "\u03a3" not in chunk and unicodedata.is_normalized("NFC", chunk):
-                halves += (self.parts[core], self.parts[low[len(core) :]])
+            if core.isalpha() and (chunk.isascii() or "\u03a3" not in chunk and normal("NFC", chunk)):
+                put(parts[core])
+                put(parts[low[len(core) :]] if len(core) < len(low) else bare)
             else:
-                halves += (self.parts[chunk], self.parts[""])
+                put(parts[chunk])
+                put(bare)
         if self.parts.new:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(self.parts.new, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -140,15 +163,18 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, closed by the end token."""
-        find, at, lengths = self.chunks.__getitem__, [], []
+        if not self.by_chunks:
+            last = self.chunk_ids.flat[:1]
+            return [np.append(np.array(e.ids, np.uint32), last) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        find, at = self.chunks.__getitem__, []
         for t in texts:
             chunks = t.replace("\n", " ").split(" ")
-            at += map(find, chunks)
-            at.append(self.end)
-            lengths.append(len(chunks) + 1)
+            chunks.append(_END_KEY)
+            at.append(np.fromiter(map(find, chunks), np.int64, len(chunks)))
         if self.chunks.new:
             self._encode_new()
-        flat, ends = self.chunk_ids.gather(np.array(at, np.int64))
+        flat, ends = self.chunk_ids.gather(np.concatenate(at) if at else np.zeros(0, np.int64))
+        lengths = np.fromiter(map(len, at), np.int64, len(at))
         self._forget(self.parts, self.part_ids, CACHED_PARTS)
         self._forget(self.chunks, self.chunk_ids, CACHED_CHUNKS)
         return np.split(flat, ends[np.cumsum(lengths) - 1])[:-1]
@@ -228,8 +254,15 @@ class WindowFiller:
         return [(d, s, start, len(ids), None, whole, None, None, ids.tobytes(), self.credit[s]) for s, q in self.queues.items() for d, ids, start, whole in q]
 
 
+def bounded_sources(rows: DataFrame) -> DataFrame:
+    """``rows`` with their sources, or with ``MOST_SOURCES`` groups of sources by hash where there are more of them than that."""
+    if rows.select("source").distinct().limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+        return rows
+    return rows.withColumn("source", F.pmod(F.xxhash64("source"), F.lit(MOST_SOURCES)).cast("string"))
+
+
 def source_shares(rows: DataFrame) -> dict:
-    """Each source's share of all UTF-8 bytes (plus one per text), by name, null last: one entry per source."""
+    """Each source's share of all UTF-8 bytes (plus one per text), by name, null last: at most ``MOST_SOURCES`` and one entries."""
     sums = rows.groupBy("source").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")).collect()
     total = sum(r["size"] for r in sums)
     return {r["source"]: r["size"] / total for r in sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))}
@@ -238,12 +271,17 @@ def source_shares(rows: DataFrame) -> dict:
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None, window: int = WINDOW, shares: dict | None = None) -> DataFrame:
     """Pieces of all documents: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``shares`` are the target proportions by source; unless given, those of the corpus.
+    ``shares`` are the target proportions by source; unless given, those of the corpus.  ``tokenizer`` is the path of a file
+    whose normaliser and splitting rules are those of the default one (``splits_like_words``); with any other, whole texts
+    are encoded.
     """
     path = tokenizer or default_tokenizer()
     rows = pick(docs, doc_id=id_col, source=source_col, text=text_col).withColumn("source", F.col("source").cast("string"))
     sized = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
-    targets = shares or source_shares(rows)
+    if shares is None:
+        rows = bounded_sources(rows)
+        shares = source_shares(rows)
+    targets = shares
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = PIECES.format(id=kind)
 
@@ -276,9 +314,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             filler.credit[s if isinstance(s, str) else None] += c
         return pd.DataFrame(filler.fill_while(0) + filler.fill_rest(), columns=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "credit"])
 
-    lanes = rows.repartition(blocks_for(sized, LANE_BYTES), F.xxhash64("doc_id"))
+    count = blocks_for(sized, LANE_BYTES)
+    lanes = rows.repartition(count, F.xxhash64("doc_id"))
     first = settle(lanes.mapInArrow(lane, schema).withColumn("lane", F.spark_partition_id()))
-    left = first.where("ids is not null").withColumn("group", (F.col("lane") / GROUP_LANES).cast("int"))
+    groups = blocks_for(count, GROUP_LANES)
+    left = first.where("ids is not null").withColumn("group", F.col("lane") % groups)
     second = left.groupBy("group").applyInPandas(round_two, schema)
     columns = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return first.where("ids is null").select(*columns).unionByName(second.select(*columns))
