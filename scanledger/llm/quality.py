@@ -7,7 +7,7 @@ by gradient steps on its conditional log-likelihood, each line of a labelled doc
 
 Defined results: a null or empty text is one empty line and gets the score of that; a line without characters weighs 1;
 without any labelled row every score is 0.5; repeated rows get equal scores; labels that disagree on a document are
-averaged down to the smaller one; an empty table gives no rows; further columns are ignored.
+averaged down to the smaller one; a row without a doc_id is scored like any other and has a null held_out; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, sliced
@@ -25,6 +25,8 @@ from .words import word_hashes
 
 #: Most labelled rows that the field is fitted on: those with the smallest hash of their id.
 FIT_ROWS = 4000
+#: Most bytes of text among them: what of them comes behind in that order is left out.
+FIT_BYTES = 64 << 20
 STEPS = 250
 THRESHOLD = 0.3
 CHUNK = 1 << 20
@@ -175,11 +177,17 @@ def in_test(doc_id: str) -> Column:
     return F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5 == 0
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> LineField:
-    """The field fitted on at most ``rows`` labelled rows that are not held out; their features come to the driver."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> LineField:
+    """The field fitted on at most ``rows`` labelled rows of ``size`` bytes together that are not held out; their features come to the driver.
+
+    Of rows with the same doc_id, the smallest text is taken.
+    """
     known = pick(labels, doc_id=id_col, label=label_col).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     drawn = known.where(~in_test("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.encode("text", "UTF-8").alias("text")).join(F.broadcast(drawn), "doc_id").select("label", "text")
+    texts = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.encode("text", "UTF-8").alias("text")).join(F.broadcast(drawn), "doc_id")  # ``rows`` rows at most
+    texts = texts.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text"))
+    so_far = F.sum(F.octet_length("text") + 1).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    texts = texts.withColumn("so_far", so_far).where(F.col("so_far") <= size).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -200,37 +208,36 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return fit_field(x, np.array([len(p) for p in parts]), np.array([k for k, _ in got]))
 
 
+def document_scores(field: LineField, texts: list[bytes]) -> np.ndarray:
+    """The length-weighted mean of the marginals of each text's lines."""
+    scores = [np.zeros(0)]
+    for x, length, lines in documents_features(texts):
+        good, _, _ = field.marginals(x, lines)
+        weight = np.maximum(length, 1)
+        of_doc = np.repeat(np.arange(len(lines)), lines)
+        scores.append(np.bincount(of_doc, good * weight) / np.bincount(of_doc, weight))
+    return np.clip(np.concatenate(scores), 0, 1)
+
+
 def score_quality(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of every row: the length-weighted mean of its lines' marginals."""
+    """doc_id, score of every row."""
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.encode("text", "UTF-8").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            scores = [np.zeros(0)]
-            for x, length, lines in documents_features([t or b"" for t in batch.column(1).to_pylist()]):
-                good, _, _ = field.marginals(x, lines)
-                weight = np.maximum(length, 1)
-                of_doc = np.repeat(np.arange(len(lines)), lines)
-                scores.append(np.bincount(of_doc, good * weight) / np.bincount(of_doc, weight))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(np.concatenate(scores), 0, 1))], names=["doc_id", "score"])
+            scores = document_scores(field, [t or b"" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_good(docs: DataFrame, field: LineField, text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score at least ``least``."""
-    names = docs.columns
-    at = names.index(text_col)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            scores = [np.zeros(0)]
-            for x, length, lines in documents_features([(t or "").encode() for t in batch.column(at).to_pylist()]):
-                good, _, _ = field.marginals(x, lines)
-                weight = np.maximum(length, 1)
-                of_doc = np.repeat(np.arange(len(lines)), lines)
-                scores.append(np.bincount(of_doc, good * weight) / np.bincount(of_doc, weight))
-            yield batch.filter(pa.array(np.concatenate(scores) >= least))
+            yield batch.filter(pa.array(document_scores(field, [(t or "").encode() for t in batch.column(at).to_pylist()]) >= least))
 
     return docs.mapInArrow(run, docs.schema)
 
