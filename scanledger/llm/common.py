@@ -34,15 +34,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled"
 
 
+def _files_at(spark: SparkSession, path: str):
+    """(file system, path) of a folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: its lineage ends there, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _files_at(spark, path)
+    files.deleteOnExit(place)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._settled_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what ``settle`` wrote, once nothing reads it any more."""
+    files, place = _files_at(df.sparkSession, df._settled_at)
+    files.delete(place, True)
 
 
 def blocks_for(n: int, each: int) -> int:
@@ -50,7 +63,7 @@ def blocks_for(n: int, each: int) -> int:
     return max(1, -(-int(n) // each))
 
 
-#: Words of the bitmap of ``may_hold``: 2^16 longs, 2^22 bits, at any size of the data.
+#: Words of the bitmap of ``may_hold``: 2^16 longs, 2^22 bits (512 kB), at any size of the data.
 BITMAP_WORDS = 1 << 16
 
 
@@ -105,13 +118,16 @@ def components(edges: DataFrame) -> DataFrame:
     round is settled, and only the number of changed labels comes to the driver.
     """
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a"))
-    labels = settle(both.groupBy("id").agg(F.least("id", F.min("other")).alias("label")))
+    before = labels = settle(both.groupBy("id").agg(F.least("id", F.min("other")).alias("label")))
     both = settle(both)
     while True:
         near = both.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         step = settle(step.join(jump, "label", "left").select("id", F.coalesce("further", "label").alias("label"), "was"))
-        labels = step.select("id", "label")
-        if not step.where("label <> was").limit(1).count():
+        done = not step.where("label <> was").limit(1).count()
+        discard(before)
+        before, labels = step, step.select("id", "label")
+        if done:
+            discard(both)
             return labels

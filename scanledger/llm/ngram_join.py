@@ -36,6 +36,8 @@ from .words import SHINGLE, shingle_set
 BINS = 1 << 18
 PERCENT = 80
 PARITY = 1024
+#: Bytes of texts that are cut into shingles together.
+SLICE_BYTES = 2 << 20
 #: Groups that a task keeps in mind at once.
 KEPT_GROUPS = 1 << 16
 
@@ -47,7 +49,7 @@ def _classes(rows: DataFrame, n: int) -> DataFrame:
         counts = np.zeros(BINS, np.int64)
         names = ["doc_id", "n_shingles", "sig", "parity", "bin", "hits"]
         kind = None
-        for batch in sliced(batches):
+        for batch in sliced(batches, column=1, size=SLICE_BYTES):
             kind = batch.column(0).type
             sizes, sigs, places, parity = [], [], [np.zeros(0, np.uint64)], []
             for text in batch.column(1).to_pylist():
@@ -90,7 +92,7 @@ def _prefixes(rows: DataFrame, crowded: np.ndarray, n: int, percent: int) -> Dat
         full = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(np.uint64) << np.uint64(63)
         seen: set[bytes] = set()
         leaders: dict[bytes, object] = {}
-        for batch in sliced(batches):
+        for batch in sliced(batches, column=1, size=SLICE_BYTES):
             at, tokens, members = [], [], []
             ids = batch.column(0)
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -154,8 +156,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFr
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = lru_cache(256)(lambda text: shingle_set(text, n=n))
-        for batch in sliced(batches):
+        cached = lru_cache(128)(lambda text: shingle_set(text, n=n))
+        for batch in sliced(batches, rows=256):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = cached(x or b""), cached(y or b"")
