@@ -46,11 +46,14 @@ def weighted_precision(scores: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def sweep_thresholds(labelled: DataFrame, steps: int = 100) -> DataFrame:
-    """Scores at every k / steps: rows are first summed by distinct probability, then met with the thresholds."""
-    true = F.col("label") == "true_positive"
-    counts = labelled.where("label <> 'unsure' and probability is not null").groupBy("probability").agg(F.count_if(true).alias("t"), F.count_if(~true).alias("f"))
-    marks = labelled.sparkSession.range(steps + 1).select((F.col("id") / float(steps)).alias("threshold"))
-    said = F.col("probability") >= F.col("threshold")
+    """Scores at every k / steps: rows are first summed by the last threshold that they reach, then met with the thresholds."""
+    true, p = F.col("label") == "true_positive", F.col("probability")
+    near = F.floor(p * steps)
+    reached = F.when(F.isnan(p), steps).when((near + 1) / F.lit(float(steps)) <= p, near + 1).when(near / F.lit(float(steps)) > p, near - 1).otherwise(near)
+    bins = labelled.where("label <> 'unsure' and probability is not null").groupBy(F.least(F.greatest(reached, F.lit(-1)), F.lit(steps)).alias("reached"))
+    counts = bins.agg(F.count_if(true).alias("t"), F.count_if(~true).alias("f"))  # ``steps`` and two rows at most
+    marks = labelled.sparkSession.range(steps + 1).select("id", (F.col("id") / float(steps)).alias("threshold"))
+    said = F.col("reached") >= F.col("id")
     sums = counts.crossJoin(F.broadcast(marks)).groupBy("threshold").agg(F.sum(F.when(said, F.col("t")).otherwise(0)).alias("tp"), F.sum(F.when(said, F.col("f")).otherwise(0)).alias("fp"), F.sum(F.when(~said, F.col("t")).otherwise(0)).alias("fn"))
     return sums.select("threshold", *_scores(F.col("tp"), F.col("fp"), F.col("fn")))
 
