@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -415,14 +414,9 @@ def registry_pages(spark, d):
     return io.parse_registry_pages(pages.select(F.to_json(F.struct("servers")).alias("value")))
 
 
-def _place(spark) -> str:
-    """A folder of its own in the shared one."""
-    return f"{io.shared_folder(spark)}/{uuid.uuid4().hex}"
-
-
 @query(None)
 def merge_stream(spark, d):
-    base = _place(spark)
+    base = io.scratch(spark)
     rows = v.findings(spark, d).select(*history.FIELDS, "night")
     names = ["server_id", "commit_sha", "rule_id", "severity", "confidence", "file", "line", "evidence", "finding_id", "night"]
     rows.select(*names).repartitionByRange(4, "night").write.parquet(f"{base}/landing")
@@ -435,14 +429,14 @@ def merge_stream(spark, d):
 
 @query(f"WITH {sv.ENTRIES} SELECT min(server_id) AS server_id, repo_url, 'registry' AS discovered_via FROM el GROUP BY repo_url")
 def index_file(spark, d):
-    path = _place(spark)
+    path = io.scratch(spark)
     io.write_index(intake.collapse_to_index(intake.eligible_entries(v.entries(spark, d))), path)
     return io.read_index(spark, path)
 
 
 @query(f"WITH {sv.HISTORY} SELECT {', '.join(ROW)}, {TS.format('first_seen')} AS first_seen, {TS.format('last_seen')} AS last_seen, previous_ids FROM h")
 def history_file(spark, d):
-    path = _place(spark)
+    path = io.scratch(spark)
     place = F.struct("file", "line").alias("location")
     h = v.folded(spark, d)
     io.write_history(h.select(*[c for c in h.columns if c not in ("file", "line")], place), path)
@@ -453,7 +447,7 @@ def history_file(spark, d):
 @query("SELECT source AS server_id, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS line_feeds, count(*) FILTER (WHERE false) AS links FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def files_read(spark, d):
     """Texts as files in a folder per server, a line feed behind each, read back as a table of files."""
-    path = _place(spark)
+    path = io.scratch(spark)
     v.table(spark, d, "documents").where("text is not null").select(F.col("source").alias("server"), "text").write.partitionBy("server").text(path)
     found = io.read_files(spark, path)
     content = F.decode("content", "UTF-8")
@@ -466,7 +460,7 @@ def files_read(spark, d):
     f"WITH {sv.LEDGER}, al AS (SELECT 'notice' AS kind, server_id, finding_id AS named, channel, {TS.format('notified_at')} AS at FROM notices UNION ALL SELECT 'withdrawal', server_id, finding_id, NULL, NULL FROM f WHERE event_id % 50 = 0 UNION ALL SELECT 'extension', server_id, finding_id, NULL, {TS.format('ts + INTERVAL 120 DAY')} FROM f WHERE event_id % 35 = 0 UNION ALL SELECT 'opt_out', 's9', NULL, NULL, NULL FROM f WHERE event_id % 100 = 7) SELECT * FROM al"
 )
 def ledger_file(spark, d):
-    path = _place(spark)
+    path = io.scratch(spark)
     io.write_ledger(v.ledger(spark, d), path)
     named = F.coalesce(F.get("finding_ids", F.lit(0)), F.col("finding_id"))
     return io.read_ledger(spark, path).select("kind", "server_id", named.alias("named"), "channel", stamp(F.coalesce("notified_at", "until")).alias("at"))
@@ -474,7 +468,7 @@ def ledger_file(spark, d):
 
 @query(f"WITH {sv.FINDINGS}, t AS (SELECT strftime(night, '%Y-%m-%dT00:00:00Z') AS scanned_at, rule_id, count(*) AS n FROM f GROUP BY 1, 2) SELECT scanned_at, CAST(sum(n) AS BIGINT) AS findings_found, string_agg(rule_id || '=' || n, ',' ORDER BY rule_id) AS by_rule FROM t GROUP BY 1")
 def trend_file(spark, d):
-    path = _place(spark)
+    path = io.scratch(spark)
     points = _trend(spark, d).select(F.concat("night", F.lit("T00:00:00Z")).alias("scanned_at"), "findings_found", "findings_published", "withheld", "servers_affected", "by_rule")
     io.write_lines(points, path)
     rules = F.array_join(F.transform(F.array_sort(F.map_entries("by_rule")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
@@ -483,14 +477,14 @@ def trend_file(spark, d):
 
 @query(f"WITH {sv.GOLDEN} SELECT CAST(entry_id AS VARCHAR) AS entry_id, label, reason, annotator, seq FROM an")
 def annotations_file(spark, d):
-    path = _place(spark)
+    path = io.scratch(spark)
     io.write_lines(v.annotations(spark, d), path)
     return io.read_annotations(spark, path)
 
 
 @query("SELECT sha256(CAST(event_id AS VARCHAR)) AS key, (event_id % 101) / 100.0 AS probability, (event_id % 7) / 1000.0 AS cost_usd FROM events")
 def cache_file(spark, d):
-    path = _place(spark)
+    path = io.scratch(spark)
     e = F.col("event_id")
     answers = v.table(spark, d, "events").select(F.sha2(e.cast("string").cast("binary"), 256).alias("key"), ((e % 101) / 100.0).alias("probability"), ((e % 7) / 1000.0).alias("cost_usd"), F.lit(1.0).alias("latency_ms"))
     io.write_lines(answers, path)
@@ -499,7 +493,7 @@ def cache_file(spark, d):
 
 @query(f"WITH {sv.ENTRIES}, c AS (SELECT repo_url, count(DISTINCT server_id) AS claims FROM el GROUP BY 1), i AS (SELECT min(server_id) AS server_id, repo_url FROM el GROUP BY repo_url), s AS (SELECT repo_url FROM i ORDER BY sha256('7:' || server_id), server_id, repo_url LIMIT 20) SELECT repo_url, claims, repo_url IN (SELECT repo_url FROM s) AS sampled FROM c")
 def corpus_files(spark, d):
-    path = _place(spark)
+    path = io.scratch(spark)
     records = intake.eligible_entries(v.entries(spark, d))
     io.write_corpus(intake.build_corpus(records), sampling.sample_index(intake.collapse_to_index(records), 20, 7), path)
     corpus, sample = spark.read.parquet(f"{path}/corpus"), spark.read.parquet(f"{path}/sample")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from urllib.parse import unquote
 
 import pandas as pd
@@ -29,6 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, removed when the session ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)  # only what exists can be marked
+    files.deleteOnExit(place)
+    return f"{path}/data"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
