@@ -63,8 +63,8 @@ def blocks_for(n: int, each: int) -> int:
     return max(1, -(-int(n) // each))
 
 
-#: Words of the bitmap of ``may_hold``: 2^16 longs, 2^22 bits (512 kB), at any size of the data.
-BITMAP_WORDS = 1 << 16
+#: Most words of the bitmap of ``may_hold``: 2^18 longs, 2^24 bits (2 MB), at any size of the data; unused words take no room.
+BITMAP_WORDS = 1 << 18
 
 
 def _bit_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def _bit_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 def may_hold(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """``df`` without most rows whose ``key`` is not in ``ids`` (a column of the same name); none that is there is lost.
 
-    The ids are folded into a bitmap of fixed size, which is small enough to be broadcast however many ids there are; as
+    The ids are folded into a bitmap of bounded size, which is small enough to be broadcast however many ids there are; as
     it fills up it lets more rows through.  It spares a shuffle of large rows before the exact join.
     """
     return _bit_of(df, key, ids).where("getbit(_bits, _at) = 1").select(*df.columns)

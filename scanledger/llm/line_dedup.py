@@ -5,14 +5,16 @@ split into ``EDITS`` + 1 segments of even length; within that distance one segme
 in the longer, at a place that the two lengths confine.  Segments are indexed by number and content, and substrings of
 each line are probed at those places only, each once for all lengths of a partner that it serves.  Candidates must agree in a parity sketch of their character
 pairs (an edit changes at most four pairs) and are verified by banded bit-parallel edit distance: one bit per diagonal,
-one word per number of edits.  Linked lines form classes; of each class the first line (by doc_id, line) stays.
+one word per number of edits.  A line is verified with one pivot of each bucket first, and after that only with lines of
+other classes than those it belongs to so far.  Linked lines form classes; of each class the first line (by doc_id, line) stays.
 
 Lines of ``least`` to ``SHORTEST`` - 1 characters, where a caller names ``least``, take part by equality alone: two edits
 make almost any short line of another.
 
 Defined results: lines shorter than ``least`` characters (``SHORTEST`` where it isn't named) and blank lines under ``SHORTEST``
 characters stay; a null text has no lines and stays null; an empty text
-has one empty line; rows with the same doc_id share their decisions; ties do not arise (places are distinct); an empty
+has one empty line; rows with the same doc_id share their decisions; rows without a doc_id keep all their lines and cost
+others nothing; ties do not arise (places are distinct); an empty
 table gives no rows; further columns are ignored.
 """
 
@@ -136,13 +138,28 @@ def line_links(rows: DataFrame, firsts: DataFrame, edits: int = EDITS, shortest:
     texts = texts.select("id", F.split("line", "").alias("letters"))
     texts = settle(texts.select("id", "letters", pair_parity("letters").alias("parity")))
 
-    known = shared.join(texts.select("id", "parity"), "id")
-    x = known.where("not probe").select("hash", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("parity_a"))
-    y = known.select("hash", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"), "probe")
-    close = F.expr(f"a <> b and (probe or n_a < n_b or a < b) and n_b - n_a between 0 and {edits} and bit_count(parity_a ^ parity_b) <= {4 * edits}")
-    pairs = settle(x.join(y, "hash").where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    known = settle(shared.join(texts.select("id", "parity"), "id"))
     text_of = lambda s: texts.select(F.col("id").alias(s), F.col("letters").alias(f"letters_{s}"))
-    return within(pairs.join(text_of("a"), "a").join(text_of("b"), "b"), "letters_a", "letters_b", edits).select("a", "b")
+    verified = lambda pairs: settle(within(pairs.join(text_of("a"), "a").join(text_of("b"), "b"), "letters_a", "letters_b", edits).select("a", "b"))
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    fits = f"bit_count(parity_a ^ parity_b) <= {4 * edits}"
+
+    # Every line meets the first indexed one of each of its hashes; what links so is joined to classes.
+    pivots = known.where("not probe").groupBy("hash").agg(F.min(F.struct("id", "n", "parity")).alias("pivot")).select("hash", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("n_a"), F.col("pivot.parity").alias("parity_a"))
+    stars = known.select("hash", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b")).join(pivots, "hash")
+    stars = settle(stars.where(f"a <> b and abs(n_a - n_b) <= {edits} and {fits}").select(*pair).distinct())
+    links = verified(stars)
+    labels = components(links)
+
+    # Only lines of different classes are paired, so a large group of lines that are alike costs no pair per pair of them.
+    marked = known.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = marked.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hash")
+    marked = settle(marked.join(mixed, "hash", "left_semi"))
+    x = marked.where("not probe").select("hash", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("parity_a"), F.col("label").alias("label_a"))
+    y = marked.select("hash", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"), F.col("label").alias("label_b"), "probe")
+    close = F.expr(f"label_a <> label_b and (probe or n_a < n_b or a < b) and n_b - n_a between 0 and {edits} and {fits}")
+    rest = x.join(y, "hash").where(close).select(*pair).distinct().join(stars, ["a", "b"], "left_anti")
+    return links.union(verified(rest))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, shortest: int = SHORTEST, least: int | None = None) -> DataFrame:
