@@ -6,8 +6,8 @@ queue allow, and keeps the difference as a deficit or surplus for the windows to
 sources with the largest deficits.  What a lane can't fill (less than a window) goes with its deficits to a second
 round over groups of lanes.  The rest of that is cut into runs whose lengths are powers of two, which need no padding.
 
-Defined results: a null or empty text is the end token alone; a null source is a source of its own; repeated rows are
-packed as often as they occur; ties between deficits go to the source that comes first by name; an empty table gives
+Defined results: a null or empty text is the end token alone; a null source is a source of its own; repeated rows and
+rows without a doc_id are packed as often as they occur; ties between deficits go to the source that comes first by name; an empty table gives
 no rows; further columns are ignored.
 """
 

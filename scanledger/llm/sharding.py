@@ -6,7 +6,7 @@ smaller sums of the other), which leaves one partial partition of ``shards`` sum
 ``FAN_IN`` at a time, until one is left.  A group's shard is its part in the block carried through the permutations
 of the levels above.  No task sees more than one block's groups, and rows are numbered in salted pieces of a shard.
 
-Defined results: a null text counts as empty (size 1, crc32 0) and shares the group of empty texts; repeated rows stay
+Defined results: a null text counts as empty (size 1, crc32 0) and shares the group of empty texts; repeated rows and rows without a doc_id stay
 separate rows of one group; an empty table gives no rows; further columns are ignored.
 """
 

@@ -3,7 +3,7 @@
 A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, so sketches of texts of any lengths
 can be merged (union) and compared: the share of one sketch found in another estimates containment, intersection over
 union likeness.  Where no hash of a text with words falls below the threshold, its smallest hash is kept, so that only
-texts without words have an empty sketch.
+texts without words have an empty sketch; ``merged`` drops it again where the other sketch has any below the threshold.
 
 Defined results: a null text counts as empty; texts with fewer words than a shingle have their whole sequence as the one
 shingle; two empty sketches have likeness and containment 1, an empty and another one 0; rows with the same doc_id count
@@ -45,6 +45,13 @@ def kept(shingles: str, scale: int = SCALE) -> Column:
     return F.when(F.size(low) > 0, low).when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(low)
 
 
+def merged(a: str, b: str, scale: int = SCALE) -> Column:
+    """The sketch of two texts' shingles together, from their sketches alone."""
+    below = F.lit(-(1 << 63) + (1 << 64) // scale)
+    both = F.array_sort(F.array_union(a, b))
+    return F.when(F.exists(both, lambda h: h < below), F.filter(both, lambda h: h < below)).otherwise(F.slice(both, 1, 1))
+
+
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with the sketch of the column ``text`` as column ``name``."""
     out = [F.col(c) for c in df.columns]
