@@ -323,6 +323,7 @@ def test_repeats_of_anchors_that_fill_several_shards(docs, monkeypatch, shard):
     df, rows = docs
     want = {r.doc_id: tuple(r) for r in repeats.remove_repeats(df).collect()}
     monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
+    monkeypatch.setattr(repeats, "SLICE_BYTES", 1000)  # contexts are met again in later slices
     assert {r.doc_id: tuple(r) for r in repeats.remove_repeats(df.repartition(2)).collect()} == want
 
 

@@ -93,14 +93,14 @@ def test_sketches_against_exact_sets(spark):
     kept = {r.id: r.sketch for r in df.collect()}
     for k, s in hashed.items():
         assert kept[k] == (sorted(h for h in s if h < below) or sorted(s)[:1])
-    pairs = df.alias("a").crossJoin(df.alias("b").withColumnsRenamed({"sketch": "other", "id": "to"})).select("a.id", "to", sketches.likeness("sketch", "other").alias("j"), sketches.containment("sketch", "other").alias("c"))
+    pairs = df.alias("a").crossJoin(df.alias("b").withColumnsRenamed({"sketch": "other", "id": "to"})).select("a.id", "to", sketches.likeness("sketch", "other").alias("j"), sketches.containment("sketch", "other").alias("c"), sketches.merged("sketch", "other").alias("m"))
     for r in pairs.collect():
+        union = hashed[r.id] | hashed[r.to]
+        assert r.m == (sorted(h for h in union if h < below) or sorted(union)[:1])
         x, y = hashed[r.id], hashed[r.to]
         exact, inside = (len(x & y) / len(x | y), len(x & y) / len(x) if x else 0.0) if x and y else (float(x == y), float(x == y))
         if min(len(x), len(y)) > 100 or not (x and y):
             assert abs(r.j - exact) < 0.08 and abs(r.c - inside) < 0.15, r
-    # Sketches of parts merge to that of the whole.
-    assert set(kept[0]) | set(kept[1]) == {h for h in hashed[0] | hashed[1] if h < below}
 
 
 def test_op5_links_by_brute_force(spark, folder):
@@ -132,6 +132,25 @@ def test_op6_lines_by_brute_force(spark, folder):
     assert counted(got, "doc_id", "n_lines", "n_removed", "kept_sha256") == want
 
 
+def test_op6_links_classes_that_no_pivot_joins(spark):
+    """Chains of lines of which neighbours alone are near, and many lines that share a segment."""
+    rng = random.Random(17)
+    head, lines = "a heading that all of them share: ", []
+    for _ in range(12):
+        x = "".join(rng.choice("abcdefgh") for _ in range(30))
+        for _ in range(5):
+            lines.append(head + x)
+            k = rng.randrange(len(x))
+            x = x[:k] + rng.choice("xyz") + x[k + 1 :]
+            x = x[: k // 2] + rng.choice(["", "q"]) + x[k // 2 :]
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string").repartition(3)
+    root = union_find(range(len(lines)), [(i, j) for i in range(len(lines)) for j in range(i) if edits(lines[i], lines[j]) <= 2])
+    from scanledger.llm import line_dedup
+
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs).collect()} == {i for i in root if root[i] != i}
+
+
 def test_op7_by_brute_force(spark, folder):
     apart = collections.defaultdict(set)
     for d, t, *_ in awkward():
