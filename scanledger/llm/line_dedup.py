@@ -3,19 +3,19 @@
 Two lines link when at most ``EDITS`` insertions, deletions and substitutions turn one into the other.  Every line is
 split into ``EDITS`` + 1 segments of even length; within that distance one segment of the shorter line stands unchanged
 in the longer, at a place that the two lengths confine.  Segments are indexed by number and content, and substrings of
-each line are probed at those places only, each once for all lengths of a partner that it serves.  Candidates must agree in a parity sketch of their character
-pairs (an edit changes at most four pairs) and are verified by banded bit-parallel edit distance: one bit per diagonal,
-one word per number of edits.  A line is verified with one pivot of each bucket first, and after that only with lines of
-other classes than those it belongs to so far.  Linked lines form classes; of each class the first line (by doc_id, line) stays.
+each line are probed at those places only, each once for all lengths of a partner that it serves.  Candidates must agree
+in a parity sketch of their character pairs (an edit changes at most four pairs) and are verified by banded bit-parallel
+edit distance: one bit per diagonal, one word per number of edits.  A line is verified with one pivot of each bucket
+first, and after that only with lines of other classes than the one it belongs to so far.  Linked lines form classes; of
+each class the first line (by doc_id, line) stays.
 
 Lines of ``least`` to ``SHORTEST`` - 1 characters, where a caller names ``least``, take part by equality alone: two edits
 make almost any short line of another.
 
-Defined results: lines shorter than ``least`` characters (``SHORTEST`` where it isn't named) and blank lines under ``SHORTEST``
-characters stay; a null text has no lines and stays null; an empty text
-has one empty line; rows with the same doc_id share their decisions; rows without a doc_id keep all their lines and cost
-others nothing; ties do not arise (places are distinct); an empty
-table gives no rows; further columns are ignored.
+Defined results: lines shorter than ``least`` characters (``SHORTEST`` where it isn't named) and blank lines under
+``SHORTEST`` characters stay; a null text has no lines and stays null; an empty text has one empty line; rows with the same
+doc_id share their decisions; rows without a doc_id keep all their lines and cost others nothing; ties do not arise (places
+are distinct); an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
