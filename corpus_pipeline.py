@@ -72,7 +72,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     twice = settle(mixed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     taken = mixed.where("copies > 0").select("doc_id", F.col("source").alias("_source"), F.col("size").alias("_size_m"), "copy_no", "copies")
     # Ids of one row are joined as they are; a bitmap parts them from most others, and the copies of those are numbered.
-    alone = without(docs, "doc_id", twice).where("doc_id is not null").join(taken.select("doc_id", "copies"), "doc_id").select(*docs.columns, "copies")
+    alone = without(docs, "doc_id", twice).where("doc_id is not null").join(taken.select("doc_id", "copies").hint("merge"), "doc_id").select(*docs.columns, "copies")
     rest = may_hold(docs, "doc_id", twice).unionByName(docs.where("doc_id is null"))
     among = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
     rest = rest.withColumn("_size", mixing.word_count(F.col("text"))).withColumn("_no", F.row_number().over(among) - 1)
