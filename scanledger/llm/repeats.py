@@ -3,7 +3,8 @@
 1.  Every window of ``LENGTH`` bytes is assigned to its anchor, the k-gram in it with the smallest hash, which depends on
     the window's bytes alone: equal windows have equal anchors.  Neighbouring windows of one anchor form a run.
 2.  Runs are gathered by anchor.  Runs of anchors that occur once are done.  Runs with equal contexts (all their windows)
-    collapse to the first, the others repeat it as they stand; within a slice of documents this is settled before the shuffle.
+    collapse to the first, the others repeat it as they stand; within a slice of documents, and for contexts that are frequent
+    within a task, this is settled before the shuffle.
 3.  The different contexts of an anchor are dealt to shards of about ``SHARD_BYTES`` by anchor; a shard sorts its suffixes
     by induced sorting, takes permuted common prefixes, and in every stretch of suffixes that share ``LENGTH`` bytes keeps
     the earliest start.  An anchor whose contexts fill more than one shard is dealt to several; of each stretch in one of
@@ -33,6 +34,8 @@ from .words import _powers, mixed
 LENGTH = 100
 GRAM = 24
 SHARD_BYTES = 1 << 18
+#: Contexts that a task keeps in mind.
+KEPT_CONTEXTS = 1 << 16
 #: Bytes of texts whose runs are found together.
 SLICE_BYTES = 4 << 20
 _SEGMENT = 1 << 19
@@ -106,11 +109,41 @@ def _with_sub(rows: DataFrame, several: DataFrame) -> DataFrame:
     return without(rows, "doc_id", held).withColumn("sub", F.lit(0)).unionByName(told.drop("hash"))
 
 
+class _Often:
+    """Contexts that occurred more than once in a slice, with their earliest run so far: at most ``KEPT_CONTEXTS`` of a task."""
+
+    def __init__(self) -> None:
+        self.code = self.key = self.context = np.zeros(0, np.uint64)
+        self.doc = self.place = np.zeros(0, np.int64)
+
+    def repeats(self, key: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which of a slice's first runs repeat an earlier one of a former slice; ``size`` is how many runs of its context the slice has."""
+        code = mixed(key + context * np.uint64(3))
+        at = np.minimum(np.searchsorted(self.code, code), max(len(self.code) - 1, 0))
+        known = np.zeros(len(code), bool)
+        if len(self.code):
+            known = (self.code[at] == code) & (self.key[at] == key) & (self.context[at] == context)
+        later = known.copy()
+        at = at[known]
+        later[known] = (doc[known] > self.doc[at]) | (doc[known] == self.doc[at]) & (place[known] > self.place[at])
+        sooner = known & ~later
+        at = np.searchsorted(self.code, code[sooner])
+        self.doc[at], self.place[at] = doc[sooner], place[sooner]
+        new = np.flatnonzero(~known & (size > 1))[: max(KEPT_CONTEXTS - len(self.code), 0)]
+        if len(new):
+            code = np.append(self.code, code[new])
+            order = np.argsort(code, kind="stable")
+            self.code = code[order]
+            self.key, self.context, self.doc, self.place = (np.append(a, b[new])[order] for a, b in ((self.key, key), (self.context, context), (self.doc, doc), (self.place, place)))
+        return later
+
+
 def _runs(rows: DataFrame, length: int) -> DataFrame:
     """key, context, doc_id, place, count: the first run of each context in its slice, and with null context the spans
-    (place, count in bytes) of those that are repeats of one in the slice."""
+    (place, count in bytes) of those that are repeats of one in the slice, or of one that a former slice of the task had often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = _Often()
         for batch in sliced(batches, column=1, size=SLICE_BYTES):
             docs, subs, parts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_pylist(), []
             for d, text, sub in zip(docs, batch.column(1), subs, strict=True):
@@ -126,6 +159,9 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
             head = np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1]))
             lead = np.flatnonzero(head)[np.cumsum(head) - 1]
             later = ~head & ((doc != doc[lead]) | (place != place[lead]))
+            first = np.flatnonzero(head)
+            again = first[often.repeats(key[first], context[first], doc[first], place[first], np.diff(np.append(first, len(head))))]
+            later[again], head[again] = True, False
             spans = []
             if later.any():
                 d, s, e = doc[later], place[later], place[later] + count[later] + (length - 1)
