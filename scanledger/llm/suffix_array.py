@@ -77,23 +77,30 @@ def _induce_names(s: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int)
     """The same, a suffix at a time; what is appended to a bucket is met later in the same walk."""
     counts = np.bincount(s, minlength=sigma)
     ends = np.cumsum(counts)
-    s, small, sa = s.tolist(), small.tolist(), [-1] * len(s)
-    tail = ends.tolist()
-    for p in lms[::-1].tolist():
-        tail[s[p]] -= 1
-        sa[tail[s[p]]] = p
-    head = (ends - counts).tolist()
-    for p in sa:  # larger suffixes
-        if p > 0 and not small[p - 1]:
-            c = s[p - 1]
-            sa[head[c]] = p - 1
-            head[c] += 1
-    tail = ends.tolist()
-    for p in reversed(sa):  # smaller suffixes, each written before it is met
-        if p > 0 and small[p - 1]:
-            c = s[p - 1]
-            tail[c] -= 1
-            sa[tail[c]] = p - 1
+    symbols = s[lms]
+    order = np.argsort(symbols, kind="stable")
+    symbols = symbols[order]
+    last = np.searchsorted(symbols, symbols, side="right")
+    start = np.full(len(s), -1, np.int64)
+    start[ends[symbols] - last + np.arange(len(lms))] = lms[order]
+    # The bucket that the suffix before each one goes to in either walk; -1 for none, and for places not yet written (-1).
+    larger, smaller = np.full(len(s) + 1, -1, np.int64), np.full(len(s) + 1, -1, np.int64)
+    larger[1:-1] = np.where(small[:-1], -1, s[:-1])
+    smaller[1:-1] = np.where(small[:-1], s[:-1], -1)
+    sa, to, place = start.tolist(), larger.tolist(), (ends - counts).tolist()
+    for p in sa:
+        c = to[p]
+        if c >= 0:
+            at = place[c]
+            sa[at] = p - 1
+            place[c] = at + 1
+    to, place = smaller.tolist(), ends.tolist()
+    for p in reversed(sa):  # each is written before it is met
+        c = to[p]
+        if c >= 0:
+            at = place[c] - 1
+            sa[at] = p - 1
+            place[c] = at
     return np.array(sa, np.int32)
 
 
