@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_dedup, media, mixing, ngram_join, packing, quality, repeats, sharding, sketches
+from . import divergence, html_text, line_dedup, manifest, media, mixing, ngram_join, oracles, packing, quality, repeats, sharding, sketches, spelling
 from .common import pick, table
 
 
@@ -66,6 +66,18 @@ def op10_quality_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge_divergence(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_mix_sources": op2_mix_sources,
@@ -77,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_shards": op9_shards,
     "op10_quality_field": op10_quality_field,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_divergence": op13_divergence,
 }
 
 #: Upper and lower case of the letters that op5 folds.
@@ -106,4 +121,7 @@ x AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, span
 y AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM x),
 u AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM y JOIN t USING (doc_id) GROUP BY 1)
 SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM t LEFT JOIN u USING (doc_id)""",
+    "op11_merkle_manifest": oracles.OP11,
+    "op12_spelling_variants": oracles.OP12,
+    "op13_divergence": oracles.OP13,
 }
