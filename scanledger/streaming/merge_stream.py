@@ -1,13 +1,17 @@
-"""The nightly fold as an incremental job over arriving files.
-
-Each micro-batch may hold rows of several nights; they are folded night by night.  A partial night updates what it
-covers and deletes nothing.  A night that arrives late keeps later stamps: it only lowers first_seen and fills gaps.
-
-State is the history table in ``BUCKETS`` buckets by server, rule, file and evidence, which an identity and the moves of a
-finding never leave.  A batch reads and rewrites only the buckets that its rows touch, under its own id as the version; a
-manifest per batch names each bucket's newest version and the newest stamp.  A batch that is run again after a failure
-reads the manifest before it and overwrites its own version.  What neither the last nor the last but one manifest names
-is removed.
+"""The nightly fold as an incremental job over arriving files: the history and the trend, committed together.
+
+Each micro-batch may hold rows of several nights, and a night may come in several batches.  The history is folded night by
+night.  A partial night updates what it covers and deletes nothing.  A night that arrives late keeps later stamps: it only
+lowers first_seen and fills gaps.  The trend has a point for each day, made from all rows that have come for that day; a
+point replaces that of its day only, so late nights land on theirs.
+
+State is three tables.  The history is in ``BUCKETS`` buckets by server, rule, file and evidence, which an identity and the
+moves of a finding never leave; a batch reads and rewrites only the buckets that its rows touch.  Sightings, what a batch saw
+of a night, are only ever added to.  The trend is rewritten for the days that a batch touches, from their sightings.  A batch
+writes under its own id as the version, and its manifest, written last, names the versions of every part of all three
+tables: until it stands, readers see the state before the batch, of the history as of the trend.  A batch that failed anywhere before is run again
+from the manifest before it and overwrites what it left; one whose manifest stands is done.  What neither the last nor the
+last but one manifest names is removed.
 """
 
 from __future__ import annotations
@@ -16,13 +20,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history
-from ..schemas import FINDING
+from ..schemas import FINDING, GATED
 from ..sources.io import exists
 
 NIGHT_ROWS = FINDING.replace("location struct<file: string, line: int>", "file string, line int") + ", finding_id string, night date"
 STATE = FINDING.replace("location struct<file: string, line: int>", "file string, line int") + ", finding_id string, first_seen timestamp, last_seen timestamp, previous_ids array<string>"
 NAMES = [f.split()[0] for f in STATE.split(", ")]
-MANIFEST = "bucket int, version long, newest timestamp"
+SIGHTING = "finding_id string, server_id string, rule_id string, severity string, mark long"
+POINT = "scanned_at string, findings_found long, findings_published long, withheld long, servers_affected long, by_rule map<string, long>"
+#: A row per part: a bucket of the history, a batch's sightings of a day, a day of the trend.
+MANIFEST = "kind string, part string, version long, newest timestamp"
+HISTORY, SEEN, TREND = "history", "seen", "trend"
 BUCKETS = 64
 
 
@@ -52,40 +60,52 @@ def fold_night(state: DataFrame, rows: DataFrame, night: str, newest: str | None
 
 
 def read_manifest(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    """bucket, version, newest of the newest manifest up to ``version``; empty where there is none."""
+    """kind, part, version, newest of the newest manifest up to ``version``; empty where there is none."""
     for v in range(version, -1, -1):
-        if exists(spark, f"{folder}/manifest/version={v}/_SUCCESS"):
+        if committed(spark, folder, v):
             return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest/version={v}")
     return spark.createDataFrame([], MANIFEST)
 
 
-def _read(spark: SparkSession, folder: str, versions: dict[int, int]) -> DataFrame:
-    """The buckets (at most ``BUCKETS``) of ``versions``, bucket to version."""
-    paths = [f"{folder}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
-    return spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
+def committed(spark: SparkSession, folder: str, version: int) -> bool:
+    return exists(spark, f"{folder}/manifest/version={version}/_SUCCESS")
+
+
+def place(folder: str, kind: str, part: str, version: int) -> str:
+    table, name = {HISTORY: ("data", "bucket"), SEEN: ("seen", "day"), TREND: ("trend", "day")}[kind]
+    return f"{folder}/{table}/version={version}/{name}={part}"
+
+
+def _read(spark: SparkSession, folder: str, parts: list[tuple[str, str, int]], schema: str) -> DataFrame:
+    """The parts (kind, part, version) as one table."""
+    paths = [place(folder, *p) for p in sorted(parts)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _parts(manifest: list, *kinds: str) -> list[tuple[str, str, int]]:
+    return [(r["kind"], r["part"], r["version"]) for r in manifest if r["kind"] in kinds]
 
 
 def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
     """The newest history up to ``version``, or an empty one."""
-    return _read(spark, folder, {r["bucket"]: r["version"] for r in read_manifest(spark, folder, version).collect()})
+    return _read(spark, folder, _parts(read_manifest(spark, folder, version).collect(), HISTORY), STATE)
+
+
+def read_trend(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    """The trend up to ``version``, a point per day, in the order of days; or an empty one."""
+    return _read(spark, folder, _parts(read_manifest(spark, folder, version).collect(), TREND), POINT).orderBy("scanned_at")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def fold_batch(df: DataFrame, folder: str, batch_id: int) -> None:
-    """Fold the rows of one batch into the buckets that they touch."""
+def fold_history(df: DataFrame, folder: str, batch_id: int, before: list, touched: list[int], nights: list[str]) -> str:
+    """Write the buckets that ``df`` touches, folded night by night; returns the newest day."""
     spark = df.sparkSession
-    before = read_manifest(spark, folder, batch_id - 1).collect()  # a row per bucket
-    versions = {r["bucket"]: r["version"] for r in before}
     newest = max((str(r["newest"].date()) for r in before if r["newest"]), default="")
-    told = df.groupBy(bucket_of().alias("bucket"), "night").count().select("bucket", "night").collect()  # buckets times nights
-    touched, nights = sorted({r["bucket"] for r in told}), sorted({str(r["night"]) for r in told})
-    if not touched:
-        return
-    state = _read(spark, folder, {b: v for b, v in versions.items() if b in touched})
+    state = _read(spark, folder, [p for p in _parts(before, HISTORY) if int(p[1]) in touched], STATE)
     for n, night in enumerate(nights):
         state = fold_night(state, df.where(F.col("night") == night).drop("night"), night, newest).select(*NAMES)
         newest = max(newest, night)
@@ -93,31 +113,82 @@ def fold_batch(df: DataFrame, folder: str, batch_id: int) -> None:
             state.write.mode("overwrite").parquet(f"{folder}/step={batch_id}-{n}")
             state = spark.read.schema(STATE).parquet(f"{folder}/step={batch_id}-{n}")
     state.withColumn("bucket", bucket_of()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/version={batch_id}")
-    now = versions | dict.fromkeys(touched, batch_id)
-    rows = spark.createDataFrame([(b, v, newest) for b, v in now.items()], "bucket int, version long, newest string")
-    rows.select("bucket", "version", F.col("newest").cast("timestamp").alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/version={batch_id}")
     for n in range(len(nights) - 1):
         _remove(spark, f"{folder}/step={batch_id}-{n}")
+    return newest
+
+
+def write_sightings(df: DataFrame, folder: str, batch_id: int) -> None:
+    """What the batch saw of each day: each finding once, by the row that ``fold_night`` takes of it."""
+    names = [f.split()[0] for f in SIGHTING.split(", ")]
+    rows = df.withColumn("mark", F.xxhash64(*[c for c in df.columns if c != "night"])).withColumn("day", F.date_format("night", "yyyy-MM-dd"))
+    _once(rows.select("day", *names)).write.mode("overwrite").partitionBy("day").parquet(f"{folder}/seen/version={batch_id}")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """The row of the largest mark of every finding of a day."""
+    rest = [c for c in rows.columns if c not in ("day", "finding_id")]
+    return rows.groupBy("day", "finding_id").agg(F.max_by(F.struct(*rest), "mark").alias("r")).select("day", "finding_id", "r.*")
+
+
+def write_points(spark: SparkSession, folder: str, batch_id: int, seen: list[tuple[str, str, int]], shown: Column) -> None:
+    """The points of the days of the sightings ``seen``: all that any batch saw of a day counts, each finding once."""
+    rows = None
+    for day in sorted({p[1] for p in seen}):  # days of one batch
+        of_day = _read(spark, folder, [p for p in seen if p[1] == day], SIGHTING).withColumn("day", F.lit(day))
+        rows = of_day if rows is None else rows.unionByName(of_day)
+    rows = _once(rows).withColumn("night", F.col("day"))
+    points = history.trend_points(rows, rows.where(shown))
+    points = points.select(F.col("night").alias("scanned_at"), "findings_found", "findings_published", "withheld", "servers_affected", "by_rule", F.col("night").alias("day"))
+    points.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/trend/version={batch_id}")
+
+
+def not_gated() -> Column:
+    return ~F.col("severity").isin(GATED)
+
+
+def fold_batch(df: DataFrame, folder: str, batch_id: int, shown: Column | None = None) -> None:
+    """Fold the rows of one batch into the history and the trend; ``shown`` says which findings the trend counts as published."""
+    spark = df.sparkSession
+    if committed(spark, folder, batch_id):  # done before, and only its acknowledgement was lost
+        return
+    before = read_manifest(spark, folder, batch_id - 1).collect()  # a row per part
+    told = df.groupBy(bucket_of().alias("bucket"), "night").count().select("bucket", "night").collect()  # buckets times nights
+    touched, nights = sorted({r["bucket"] for r in told}), sorted({str(r["night"]) for r in told})
+    if not touched:
+        return
+    newest = fold_history(df, folder, batch_id, before, touched, nights)
+    write_sightings(df, folder, batch_id)
+    seen = [p for p in _parts(before, SEEN) if p[1] in nights] + [(SEEN, night, batch_id) for night in nights]
+    write_points(spark, folder, batch_id, seen, not_gated() if shown is None else shown)
+    new = [(HISTORY, str(b)) for b in touched] + [(TREND, night) for night in nights]
+    kept = [p for p in _parts(before, HISTORY, SEEN, TREND) if (p[0], p[1]) not in new]
+    now = kept + [(*k, batch_id) for k in new] + [(SEEN, night, batch_id) for night in nights]
+    rows = spark.createDataFrame([(*p, newest) for p in now], "kind string, part string, version long, newest string")
+    rows.withColumn("newest", F.col("newest").cast("timestamp")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/version={batch_id}")
     # What the manifest before the last one named and both later ones don't.
-    oldest = read_manifest(spark, folder, batch_id - 2).collect()
-    for r in oldest:
-        if versions.get(r["bucket"]) != r["version"]:
-            _remove(spark, f"{folder}/data/version={r['version']}/bucket={r['bucket']}")
+    for p in set(_parts(read_manifest(spark, folder, batch_id - 2).collect(), HISTORY, TREND)) - set(_parts(before, HISTORY, TREND)):
+        _remove(spark, place(folder, *p))
     if batch_id >= 2:
         _remove(spark, f"{folder}/manifest/version={batch_id - 2}")
 
 
-def merge_stream(spark: SparkSession, landing: str, folder: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
-    """Fold everything that has landed below ``landing`` and return the history."""
+def fold_stream(spark: SparkSession, landing: str, folder: str, checkpoint: str, files_per_batch: int = 1, shown: Column | None = None) -> int:
+    """Fold everything that has landed below ``landing``; returns the version that ``read_version`` and ``read_trend`` take."""
     rows = spark.readStream.schema(NIGHT_ROWS).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
     last = {"version": 0}
 
     def batch(df: DataFrame, batch_id: int) -> None:
         df.persist()  # read once for its nights and once for each of them
-        fold_batch(df, folder, batch_id)
+        fold_batch(df, folder, batch_id, shown)
         df.unpersist()
         last["version"] = batch_id
 
     stream = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
-    return read_version(spark, folder, last["version"])
+    return last["version"]
+
+
+def merge_stream(spark: SparkSession, landing: str, folder: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
+    """Fold everything that has landed below ``landing`` and return the history."""
+    return read_version(spark, folder, fold_stream(spark, landing, folder, checkpoint, files_per_batch))

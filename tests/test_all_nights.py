@@ -56,7 +56,81 @@ def test_the_stream_folds_as_by_hand(spark, tmp_path, monkeypatch):
         assert {r.finding_id: (day(r.first_seen), day(r.last_seen), tuple(r.previous_ids)) for r in out.collect()} == want, each
     kept = {p.name for p in (tmp_path / "state0" / "manifest").iterdir()}
     assert kept == {"version=6", "version=7"} and not list((tmp_path / "state0").glob("step=*"))
-    named = {(r.bucket, r.version) for v in (6, 7) for r in spark.read.parquet(f"file://{tmp_path}/state0/manifest/version={v}").collect()}
+    named = {(int(r.part), r.version) for v in (6, 7) for r in spark.read.parquet(f"file://{tmp_path}/state0/manifest/version={v}").where("kind = 'history'").collect()}
     assert {(int(p.name[7:]), int(p.parent.name[8:])) for p in (tmp_path / "state0" / "data").glob("version=*/bucket=*")} == named
     ms.fold_batch(df.where("night = '2024-01-08'").select(*names, F.col("night").cast("date").alias("night")), f"file://{tmp_path}/state0", 7)  # again, as after a failure
     assert {r.finding_id: (day(r.first_seen), day(r.last_seen), tuple(r.previous_ids)) for r in ms.read_version(spark, f"file://{tmp_path}/state0", 7).collect()} == want
+
+
+def pieces(spark):
+    """Findings of four nights: the second in two pieces, the first late; one finding comes in both pieces."""
+    from pyspark.sql import functions as F
+
+    from scanledger.operators import history
+
+    rows = [("2024-01-02", "a", "r1", "low", 1), ("2024-01-02", "a", "r2", "high", 2), ("2024-01-03", "b", "r1", "low", 3)]
+    more = [("2024-01-02", "a", "r1", "low", 1), ("2024-01-02", "c", "r1", "info", 4)]
+    late = [("2024-01-01", "a", "r3", "low", 5), ("2024-01-04", "a", "r1", "critical", 1)]
+    out = []
+    for part in (rows, more, late):
+        df = spark.createDataFrame([(n, s, "a" * 40, r, sev, "low", "f", line, "e") for n, s, r, sev, line in part], "night string, server_id string, commit_sha string, rule_id string, severity string, confidence string, file string, line int, evidence string")
+        names = ["server_id", "commit_sha", "rule_id", "severity", "confidence", "file", "line", "evidence", "finding_id"]
+        out.append(history.with_identity(df).select(*names, F.col("night").cast("date").alias("night")))
+    return out
+
+
+def points(df):
+    return [(r.scanned_at, r.findings_found, r.findings_published, r.withheld, r.servers_affected, r.by_rule) for r in df.collect()]
+
+
+AFTER = [
+    [("2024-01-02", 2, 1, 1, 1, {"r1": 1, "r2": 1}), ("2024-01-03", 1, 1, 0, 1, {"r1": 1})],
+    [("2024-01-02", 3, 2, 1, 2, {"r1": 2, "r2": 1}), ("2024-01-03", 1, 1, 0, 1, {"r1": 1})],
+    [("2024-01-01", 1, 1, 0, 1, {"r3": 1}), ("2024-01-02", 3, 2, 1, 2, {"r1": 2, "r2": 1}), ("2024-01-03", 1, 1, 0, 1, {"r1": 1}), ("2024-01-04", 1, 0, 1, 1, {"r1": 1})],
+]
+
+
+def test_the_trend_of_the_stream_is_upserted_by_day(spark, tmp_path):
+    from scanledger.streaming import merge_stream as ms
+
+    for i, df in enumerate(pieces(spark)):
+        ms.fold_batch(df, f"file://{tmp_path}/state", i)
+        assert points(ms.read_trend(spark, f"file://{tmp_path}/state", i)) == AFTER[i]
+    assert ms.read_trend(spark, f"file://{tmp_path}/none", 5).collect() == []
+    ms.fold_batch(pieces(spark)[0].limit(0), f"file://{tmp_path}/state", 3)  # nothing came
+    assert points(ms.read_trend(spark, f"file://{tmp_path}/state", 3)) == AFTER[2]
+    ms.fold_batch(pieces(spark)[0], f"file://{tmp_path}/other", 0, shown=ms.F.lit(True))
+    assert [p[2] for p in points(ms.read_trend(spark, f"file://{tmp_path}/other", 0))] == [2, 1]
+
+
+def test_a_batch_killed_between_the_tables_is_run_again_whole(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from scanledger.streaming import merge_stream as ms
+
+    parts = pieces(spark)
+    for where in ("write_sightings", "write_points", "_remove"):  # after the history, after the sightings, after the manifest
+        folder = f"file://{tmp_path}/{where}"
+        ms.fold_batch(parts[0], folder, 0)
+        history = {tuple(map(str, r)) for r in ms.read_version(spark, folder, 1).collect()}
+
+        def dies(*_):
+            raise RuntimeError("killed")
+
+        with monkeypatch.context() as m:
+            m.setattr(ms, where, dies)
+            if where == "_remove":
+                ms.fold_batch(parts[1], folder, 1)  # one night leaves nothing to remove
+            else:
+                with pytest.raises(RuntimeError):
+                    ms.fold_batch(parts[1], folder, 1)
+                assert {tuple(map(str, r)) for r in ms.read_version(spark, folder, 1).collect()} == history  # neither table shows the batch
+                assert points(ms.read_trend(spark, folder, 1)) == AFTER[0]
+        ms.fold_batch(parts[1], folder, 1)
+        ms.fold_batch(parts[1], folder, 1)  # its acknowledgement was lost
+        ms.fold_batch(parts[2], folder, 2)
+        assert points(ms.read_trend(spark, folder, 2)) == AFTER[2]
+        whole = f"file://{tmp_path}/{where}-whole"
+        for i, df in enumerate(parts):
+            ms.fold_batch(df, whole, i)
+        assert {tuple(map(str, r)) for r in ms.read_version(spark, folder, 2).collect()} == {tuple(map(str, r)) for r in ms.read_version(spark, whole, 2).collect()}
