@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import settled
+
 DECIDED = "key string, probability double, cost_usd double, latency_ms double, failure string"
 
 
@@ -21,16 +23,7 @@ def rules_only(text: str) -> tuple[float, float]:
     return 1.0, 0.0
 
 
-def adjudicate(entries: DataFrame, cache: DataFrame, judge: Callable[[str], tuple[float, float]], most_calls: int) -> tuple[DataFrame, DataFrame]:
-    """(entry_id, key, probability, source per entry; new cache rows) for entries (entry_id, key, shown).
-
-    Cached answers are free, the same question is asked once, and at most ``most_calls`` questions are asked, first come
-    first by entry; the rest stay null.  A failed call counts against the budget and is not cached.
-    """
-    known = entries.join(cache.select("key", "probability"), "key", "left")
-    asked = known.where("probability is null").groupBy("key").agg(F.min("entry_id").alias("first"), F.min("shown").alias("shown"))
-    asked = asked.orderBy("first", "key").limit(most_calls)
-
+def _ask(judge: Callable[[str], tuple[float, float]]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
@@ -41,9 +34,48 @@ def adjudicate(entries: DataFrame, cache: DataFrame, judge: Callable[[str], tupl
                     out.append((key, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["key", "probability", "cost_usd", "latency_ms", "failure"])
 
-    answers = asked.select("key", "shown").mapInPandas(run, DECIDED)
-    fresh = answers.where(valid_decision())
-    joined = known.join(answers.select("key", F.col("probability").alias("new"), "failure"), "key", "left")
+    return run
+
+
+def adjudicate(entries: DataFrame, cache: DataFrame, judge: Callable[[str], tuple[float, float]], most_calls: int) -> tuple[DataFrame, DataFrame]:
+    """(entry_id, key, probability, source, failure per entry; new cache rows) for entries (entry_id, key, shown).
+
+    Cached answers are free, the same question is asked once, and questions are asked, first come first by entry, until
+    ``most_calls`` have succeeded or none are left; the rest stay null.  A failed call, or an answer that is no valid
+    decision, does not count against the budget and is not cached.
+
+    Questions go out in rounds, each of as many of the next ones as the budget still lacks: exactly those that asking one
+    after the other would have asked, since a round ends the job only if all of it succeeded.  A round is written before
+    the next begins, so no question goes out twice but for one whose task is run again.
+    """
+    spark = entries.sparkSession
+    entries = settled(entries.select("entry_id", "key", "shown"))
+    known = entries.select("entry_id", "key").join(cache.groupBy("key").agg(F.min("probability").alias("probability")), "key", "left")
+    open_keys = known.where("probability is null").groupBy("key").agg(F.min("entry_id").alias("first"))
+    order = settled(open_keys.select(F.struct("first", "key").alias("place"), "key"))  # without the texts
+    texts = entries.groupBy("key").agg(F.min("shown").alias("shown"))
+    rounds: list[DataFrame] = []
+    last, lacking, kinds = None, most_calls, order.schema["place"].dataType.fields
+    while lacking > 0:
+        after = order if last is None else order.where(F.col("place") > F.struct(*[F.lit(x).cast(t.dataType) for x, t in zip(last, kinds, strict=True)]))
+        wanted = lacking
+        asked = settled(after.orderBy("place").limit(wanted))
+        end = asked.agg(F.count("*").alias("n"), F.max("place").alias("place")).first()
+        if not end["n"]:
+            break
+        answers = settled(asked.join(texts, "key").select("key", "shown").repartition(spark.sparkContext.defaultParallelism, "key").mapInPandas(_ask(judge), DECIDED))
+        rounds.append(answers)
+        lacking -= answers.where(valid_decision()).count()
+        last = tuple(end["place"])
+        if end["n"] < wanted:  # these were the last
+            break
+    answers = spark.createDataFrame([], DECIDED)
+    for each in rounds:
+        answers = answers.unionByName(each)
+    answers = answers.withColumn("failure", F.when(~valid_decision(), F.coalesce("failure", F.lit("no valid decision"))))
+    fresh = answers.where("failure is null")
+    new = answers.select("key", F.when(F.col("failure").isNull(), F.col("probability")).alias("new"), "failure")
+    joined = known.join(new, "key", "left")
     source = F.when(F.col("probability").isNotNull(), "cache").when(F.col("new").isNotNull(), "judge").when(F.col("failure").isNotNull(), "failed").otherwise("over budget")
     return joined.select("entry_id", "key", F.coalesce("probability", "new").alias("probability"), source.alias("source"), "failure"), fresh
 

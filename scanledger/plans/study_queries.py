@@ -354,11 +354,13 @@ def cache_keys(spark, d):
 def _judge(text: str) -> tuple[float, float]:
     if len(text) < 12:
         raise ValueError("too little to judge")
+    if len(text) % 3 == 0:  # every third question or so
+        raise TimeoutError("no answer")
     return (len(text) * 37 % 101) / 100.0, 0.001
 
 
 @query(
-    f"WITH {sv.GOLDEN}, q AS (SELECT entry_id, sha256('window|' || rule_id || '|python|' || sha256(context_function)) AS key, context_function AS shown FROM g), c AS (SELECT key, 0.75 AS p FROM q GROUP BY key HAVING min(entry_id) % 7 = 0), a AS (SELECT key, min(entry_id) AS first, min(shown) AS shown FROM q WHERE key NOT IN (SELECT key FROM c) GROUP BY 1 QUALIFY row_number() OVER (ORDER BY min(entry_id), key) <= 150) SELECT entry_id, CASE WHEN c.key IS NOT NULL THEN c.p WHEN a.key IS NOT NULL AND length(q.shown) >= 12 THEN (length(q.shown) * 37 % 101) / 100.0 END AS probability, CASE WHEN c.key IS NOT NULL THEN 'cache' WHEN a.key IS NULL THEN 'over budget' WHEN length(q.shown) < 12 THEN 'failed' ELSE 'judge' END AS source FROM q LEFT JOIN c USING (key) LEFT JOIN a USING (key)"
+    f"WITH {sv.GOLDEN}, q AS (SELECT entry_id, sha256('window|' || rule_id || '|python|' || sha256(context_function)) AS key, context_function AS shown FROM g), c AS (SELECT key, 0.75 AS p FROM q GROUP BY key HAVING min(entry_id) % 7 = 0), o AS (SELECT key, min(entry_id) AS first, length(min(shown)) >= 12 AND length(min(shown)) % 3 <> 0 AS ok FROM q WHERE key NOT IN (SELECT key FROM c) GROUP BY 1), a AS (SELECT key, ok FROM o QUALIFY coalesce(sum(CAST(ok AS INTEGER)) OVER (ORDER BY first, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 150) SELECT entry_id, CASE WHEN c.key IS NOT NULL THEN c.p WHEN a.ok THEN (length(q.shown) * 37 % 101) / 100.0 END AS probability, CASE WHEN c.key IS NOT NULL THEN 'cache' WHEN a.key IS NULL THEN 'over budget' WHEN NOT a.ok THEN 'failed' ELSE 'judge' END AS source FROM q LEFT JOIN c USING (key) LEFT JOIN a USING (key)"
 )
 def adjudicate_budget(spark, d):
     rows = v.entries_golden(spark, d).select("entry_id", cache_key(F.lit("window"), F.col("rule_id"), F.lit("python"), F.col("context_function")).alias("key"), F.col("context_function").alias("shown"))

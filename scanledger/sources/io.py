@@ -40,6 +40,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{path}/data"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch path and read back: computed once, and its lineage ends there."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
