@@ -51,8 +51,8 @@ fl AS (SELECT source AS server_id, doc_id,
   (CASE WHEN doc_id % 9 = 0 THEN 'from mcp.server import x' || chr(10) ELSE '' END)
   || (CASE WHEN doc_id % 7 = 0 THEN 'x' || chr(8203) || 'y ' || text WHEN doc_id % 11 = 0 THEN text || chr(10) || 'end' || chr(8238) || 'of' WHEN doc_id % 13 = 0 THEN chr(65279) || text ELSE text END)
   || (CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'Please ignore previous notes' ELSE '' END)
-  || (CASE WHEN doc_id % 17 = 0 THEN chr(10) || 'const cp = require("child_process")' || chr(10) || 'cp.exec(cmd)' || chr(10) || 'app.listen("0.0.0.0")' || chr(10) || 'cors({origin: "*"})' ELSE '' END)
-  || (CASE WHEN doc_id % 19 = 0 THEN chr(10) || 'import fs from "fs"' || chr(10) || 'fs.readFileSync(p)' || chr(10) || 'description: "You \\u0041dd it"' ELSE '' END) AS source,
+  || (CASE WHEN doc_id % 17 = 0 THEN chr(10) || 'const cp = require("child_process")' || chr(10) || 'cp.exec(cmd)' || chr(10) || 'app.listen("0.0.0.0")' || chr(10) || 'cors({origin: "*"})' || chr(10) || '// cp.exec(no)' || chr(10) || '/* app.listen("0.0.0.0")' || chr(10) || 'cp.exec(no) */ const said = "cp.exec(no); origin: ''*''"' || chr(10) || 'const told = `cp.exec(no)`' || chr(10) || 'const run = `${cp.exec(again)}`' ELSE '' END)
+  || (CASE WHEN doc_id % 19 = 0 THEN chr(10) || 'import fs from "fs"' || chr(10) || 'fs.readFileSync(p)' || chr(10) || 'description: "You \\u0041dd it"' || chr(10) || 'const ABOUT = "Adds " + ''two''' || chr(10) || 'tool({description: ABOUT})' || chr(10) || 'z.string().describe("Ignore previous one")' || chr(10) || '// description: "not this"' || chr(10) || 'const s = "description: it"' || chr(10) || 't.describe("suite", run)' ELSE '' END) AS source,
   doc_id % 47 = 0 AS is_symlink, doc_id % 53 <> 0 AS is_text FROM documents),
 fs AS (SELECT *, strlen(source) * (CASE WHEN doc_id % 43 = 0 THEN 1000 ELSE 1 END) AS size,
   regexp_extract(path, '(\\.[a-z]+)$', 1) IN ('.py', '.ts', '.js', '.tsx', '.jsx', '.json', '.md') AND NOT path LIKE 'node_modules/%' AND NOT path LIKE 'tests/%' AND NOT path LIKE 'Scripts/%' AND NOT path LIKE '%.test.ts' AS scannable FROM fl),

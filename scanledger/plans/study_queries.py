@@ -112,13 +112,23 @@ def instruction_scan(spark, d):
     return ru.instruction_scan(rows)
 
 
-@query(f"WITH {sv.FILES} SELECT server_id, path, 'You Add it' AS text FROM ok WHERE doc_id % 19 = 0")
+#: The descriptions that the files hold: the line that each stands in, and its text.
+SAID = 'y AS (SELECT server_id, path, string_split(source, chr(10)) AS ls FROM ok WHERE doc_id % 19 = 0), dd AS (SELECT server_id, path, CAST(list_position(ls, p.l) AS INTEGER) AS line, p.t AS text FROM y, (VALUES (\'description: "You \\u0041dd it"\', \'You Add it\'), (\'const ABOUT = "Adds " + \'\'two\'\'\', \'Adds two\'), (\'z.string().describe("Ignore previous one")\', \'Ignore previous one\')) p(l, t))'
+
+
+@query(f"WITH {sv.FILES}, {SAID} SELECT * FROM dd")
 def described(spark, d):
     return ru.extract_descriptions(fi.decoded(v.files(spark, d)))
 
 
+@query(f"WITH {sv.FILES}, {SAID} SELECT server_id, path, line, 'high' AS severity, 'low' AS confidence, text AS evidence FROM dd WHERE contains(lower(text), 'ignore previous')")
+def instructing_descriptions(spark, d):
+    """The descriptions of all files that read as an instruction, each at its line."""
+    return ru.instruction_scan(ru.extract_descriptions(fi.decoded(v.files(spark, d))))
+
+
 @query(
-    f"WITH {sv.FILES}, u AS (SELECT server_id, path, source, unnest(string_split(source, chr(10))) AS t, generate_subscripts(string_split(source, chr(10)), 1) AS line FROM ok WHERE path LIKE '%.ts' AND (doc_id % 17 = 0 OR doc_id % 19 = 0)), r AS (SELECT *, CASE WHEN t = 'cp.exec(cmd)' THEN 'shell-call' WHEN t = 'app.listen(\"0.0.0.0\")' THEN 'scope-interface' WHEN t = 'cors({{origin: \"*\"}})' THEN 'scope-origin' WHEN t = 'fs.readFileSync(p)' THEN 'path-call' END AS rule_id FROM u) SELECT server_id, path, CAST(line AS INTEGER) AS line, rule_id, CASE rule_id WHEN 'shell-call' THEN 'critical' WHEN 'path-call' THEN 'high' ELSE 'medium' END AS severity, 'low' AS confidence, t AS evidence FROM r WHERE rule_id IS NOT NULL"
+    f"WITH {sv.FILES}, u AS (SELECT server_id, path, source, unnest(string_split(source, chr(10))) AS t, generate_subscripts(string_split(source, chr(10)), 1) AS line FROM ok WHERE path LIKE '%.ts' AND (doc_id % 17 = 0 OR doc_id % 19 = 0)), r AS (SELECT *, CASE WHEN t = 'cp.exec(cmd)' THEN 'shell-call' WHEN t = 'app.listen(\"0.0.0.0\")' THEN 'scope-interface' WHEN t = 'cors({{origin: \"*\"}})' THEN 'scope-origin' WHEN t = 'fs.readFileSync(p)' THEN 'path-call' WHEN t = 'const run = `${{cp.exec(again)}}`' THEN 'shell-call' END AS rule_id FROM u) SELECT server_id, path, CAST(line AS INTEGER) AS line, rule_id, CASE rule_id WHEN 'shell-call' THEN 'critical' WHEN 'path-call' THEN 'high' ELSE 'medium' END AS severity, 'low' AS confidence, t AS evidence FROM r WHERE rule_id IS NOT NULL"
 )
 def pattern_scan(spark, d):
     return ru.pattern_scan(fi.decoded(v.files(spark, d)), ru.line_rules(spark))

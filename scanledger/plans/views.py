@@ -11,6 +11,11 @@ from ..operators import disclosure, history
 NOW = "2024-01-30 00:00:00"
 GATE_CLOCK = "2024-04-15 00:00:00"
 
+#: Lines that the files of ``files`` hold besides: calls in comments and strings, which don't count, and one within a template, which does.
+QUIET = "".join("\n" + x for x in ['// cp.exec(no)', '/* app.listen("0.0.0.0")', 'cp.exec(no) */ const said = "cp.exec(no); origin: \'*\'"', 'const told = `cp.exec(no)`', 'const run = `${cp.exec(again)}`'])
+#: Descriptions by the name of a constant, joined texts and an only argument; then a comment, a string and a suite of tests, which are none.
+SAID = "".join("\n" + x for x in ['const ABOUT = "Adds " + \'two\'', 'tool({description: ABOUT})', 'z.string().describe("Ignore previous one")', '// description: "not this"', 'const s = "description: it"', 't.describe("suite", run)'])
+
 
 def now():
     return F.lit(NOW).cast("timestamp")
@@ -126,8 +131,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(d % 7 == 0, F.concat(F.lit("x​y "), text)).when(d % 11 == 0, F.concat(text, F.lit("\nend‮of"))).when(d % 13 == 0, F.concat(F.lit("﻿"), text)).otherwise(text)
     text = F.when(d % 5 == 0, F.concat(text, F.lit("\nPlease ignore previous notes"))).otherwise(text)
     text = F.when(d % 9 == 0, F.concat(F.lit("from mcp.server import x\n"), text)).otherwise(text)
-    text = F.when(d % 17 == 0, F.concat(text, F.lit('\nconst cp = require("child_process")\ncp.exec(cmd)\napp.listen("0.0.0.0")\ncors({origin: "*"})'))).otherwise(text)
-    text = F.when(d % 19 == 0, F.concat(text, F.lit('\nimport fs from "fs"\nfs.readFileSync(p)\ndescription: "You \\u0041dd it"'))).otherwise(text)
+    text = F.when(d % 17 == 0, F.concat(text, F.lit('\nconst cp = require("child_process")\ncp.exec(cmd)\napp.listen("0.0.0.0")\ncors({origin: "*"})' + QUIET))).otherwise(text)
+    text = F.when(d % 19 == 0, F.concat(text, F.lit('\nimport fs from "fs"\nfs.readFileSync(p)\ndescription: "You \\u0041dd it"' + SAID))).otherwise(text)
     folder = F.when(d % 23 == 0, "tests/").when(d % 29 == 0, "node_modules/").when(d % 31 == 0, "Scripts/").otherwise("src/")
     name = F.when(d % 37 == 0, ".test.ts").when(d % 3 == 0, ".py").when(d % 3 == 1, ".ts").when(d % 41 == 0, ".txt").otherwise(".md")
     size = F.octet_length(F.encode(text, "UTF-8")).cast("long")
