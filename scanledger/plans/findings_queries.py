@@ -402,11 +402,32 @@ SARIF = "fr AS (SELECT rule_id, CAST(row_number() OVER (ORDER BY rule_id) - 1 AS
     f"WITH {sv.LEDGER}, {SARIF} SELECT server_id, part, '{{\"version\":\"2.1.0\",\"runs\":[{{\"tool\":{{\"driver\":{{\"name\":\"scanledger\",\"rules\":' || (SELECT to_json(list({{'id': rule_id, 'index': rule_index}} ORDER BY rule_id)) FROM fr) || '}}}},\"results\":' || to_json(list({{'finding_id': finding_id, 'rule_id': rule_id, 'rule_index': rule_index, 'level': level, 'message': message, 'file': file, 'line': line}} ORDER BY finding_id)) || '}}]}}' AS document FROM sd GROUP BY 1, 2"
 )
 def sarif_documents(spark, d):
-    shown = v.published(spark, d)
+    shown = io.settled(v.published(spark, d))
     fired = publish.sarif_rules(shown, rule_dimension(spark))
     return io.sarif_documents(publish.sarif_results(shown, fired), fired)
 
 
+def _scanned(spark, d):
+    """The servers of findings, and suppliers as servers that were scanned without any."""
+    quiet = v.table(spark, d, "supplier").select(F.concat(F.lit("io.x/Ü y."), F.col("s_suppkey").cast("string")).alias("server_id"))
+    return v.findings(spark, d).select("server_id").union(quiet).distinct()
+
+
+@query(
+    f"WITH {sv.LEDGER}, {SARIF}, sc AS (SELECT server_id FROM f UNION SELECT 'io.x/Ü y.' || s_suppkey FROM supplier), sp AS (SELECT server_id, part, count(*) AS n_results, sha256(string_agg(finding_id, ',' ORDER BY finding_id)) AS digest FROM sd GROUP BY 1, 2) SELECT sc.server_id, coalesce(part, 0) AS part, coalesce(n_results, 0) AS n_results, coalesce(digest, sha256('')) AS digest, (SELECT count(*) FROM fr) AS n_rules FROM sc LEFT JOIN sp USING (server_id)"
+)
+def sarif_files(spark, d):
+    """The documents of all servers that were scanned, written as files and read back: results and rules of each."""
+    shown = io.settled(v.published(spark, d))
+    fired = publish.sarif_rules(shown, rule_dimension(spark))
+    path = io.scratch(spark)
+    io.write_sarif(io.sarif_documents(publish.sarif_results(shown, fired), fired, servers=_scanned(spark, d)), path)
+    run = F.from_json("document", "runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string>>>>, results: array<struct<finding_id: string>>>>")["runs"][0]
+    read = io.read_sarif(spark, path).select("server_id", "part", run.alias("run"))
+    ids = F.array_join(F.array_sort(F.transform("run.results", lambda r: r["finding_id"])), ",")
+    return read.select("server_id", "part", F.size("run.results").cast("long").alias("n_results"), F.sha2(ids.cast("binary"), 256).alias("digest"), F.size("run.tool.driver.rules").cast("long").alias("n_rules"))
+
+
 @query("SELECT CAST(page_id AS VARCHAR) AS name, url AS repo_url FROM pages")
 def registry_pages(spark, d):
     server = F.struct(F.struct(F.col("page_id").cast("string").alias("name"), F.struct("url").alias("repository")).alias("server"))

@@ -534,21 +534,21 @@ def sign_tests(spark, d):
 
 
 def bootstrap(rows: str, hit: str) -> str:
-    """SQL of the cluster bootstrap over servers with 200 replicates; its last table br has a value and a rank per replicate."""
-    return f"bs AS (SELECT server_id AS c, count(*) FILTER (WHERE {hit}) AS a, count(*) AS n FROM {rows} GROUP BY 1), bn AS (SELECT *, row_number() OVER (ORDER BY sha256(c), c) - 1 AS i FROM bs), bk AS (SELECT count(*) AS k FROM bs), bd AS (SELECT rep, CAST('0x' || substr(sha256('7:' || rep || ':' || slot), 1, 8) AS BIGINT) % k AS i FROM bk, range(200) r(rep), range(1, 1000) s(slot) WHERE slot <= k), bv AS (SELECT rep, sum(a) / sum(n) AS v FROM bd JOIN bn USING (i) GROUP BY 1), br AS (SELECT v, row_number() OVER (ORDER BY v, rep) - 1 AS rk FROM bv)"
+    """SQL of the cluster bootstrap over servers with 2000 replicates; its last table br has a value and a rank per replicate."""
+    return f"bs AS (SELECT server_id AS c, count(*) FILTER (WHERE {hit}) AS a, count(*) AS n FROM {rows} GROUP BY 1), bn AS (SELECT *, row_number() OVER (ORDER BY sha256(c), c) - 1 AS i FROM bs), bk AS (SELECT count(*) AS k FROM bs), bd AS (SELECT rep, CAST('0x' || substr(sha256('7:' || rep || ':' || slot), 1, 8) AS BIGINT) % k AS i FROM bk, range(2000) r(rep), range(1, 1000) s(slot) WHERE slot <= k), bv AS (SELECT rep, sum(a) / sum(n) AS v FROM bd JOIN bn USING (i) GROUP BY 1), br AS (SELECT v, row_number() OVER (ORDER BY v, rep) - 1 AS rk FROM bv)"
 
 
 BOOT = bootstrap("gp", "(p_window >= 0.5) <> (p_function >= 0.5)")
 
 
-@query(f"WITH {sv.GOLDEN}, {ERRORS}, {bootstrap('we', 'credulous')}, x AS (SELECT count(*) AS n, count(*) FILTER (WHERE credulous) AS credulous FROM we) SELECT n, credulous, round(credulous / greatest(n, 1), 6) AS share, round({binomial('credulous', '(n - credulous)')}, 6) AS p_value, (SELECT round(max(v) FILTER (WHERE rk = 5), 6) FROM br) AS low, (SELECT round(max(v) FILTER (WHERE rk = 194), 6) FROM br) AS high FROM x")
+@query(f"WITH {sv.GOLDEN}, {ERRORS}, {bootstrap('we', 'credulous')}, x AS (SELECT count(*) AS n, count(*) FILTER (WHERE credulous) AS credulous FROM we) SELECT n, credulous, round(credulous / greatest(n, 1), 6) AS share, round({binomial('credulous', '(n - credulous)')}, 6) AS p_value, (SELECT round(max(v) FILTER (WHERE rk = 50), 6) FROM br) AS low, (SELECT round(max(v) FILTER (WHERE rk = 1949), 6) FROM br) AS high FROM x")
 def credulous_report(spark, d):
-    return rounded(ev.credulous_report(ev.window_errors(v.entries_golden(spark, d)), 200), "share", "p_value", "low", "high")
+    return rounded(ev.credulous_report(ev.window_errors(v.entries_golden(spark, d))), "share", "p_value", "low", "high")
 
 
-@query(f"WITH {sv.GOLDEN}, {BOOT} SELECT round(max(v) FILTER (WHERE rk = 5), 6) AS low, round(max(v) FILTER (WHERE rk = 194), 6) AS high FROM br")
+@query(f"WITH {sv.GOLDEN}, {BOOT} SELECT round(max(v) FILTER (WHERE rk = 50), 6) AS low, round(max(v) FILTER (WHERE rk = 1949), 6) AS high FROM br")
 def flip_ci(spark, d):
-    return rounded(ev.cluster_bootstrap_ci(ev.paired(v.entries_golden(spark, d)), "server_id", go.verdicts_differ().cast("int"), 200), "low", "high")
+    return rounded(ev.cluster_bootstrap_ci(ev.paired(v.entries_golden(spark, d)), "server_id", go.verdicts_differ().cast("int")), "low", "high")
 
 
 FLIP = "count(*) AS n, count(*) FILTER (WHERE (p_window >= 0.5) <> (p_function >= 0.5)) AS flips, round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE (p_window >= 0.5) <> (p_function >= 0.5)) / count(*) ELSE 0.0 END, 6) AS share"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import permits_cloning
+from . import sarif_sink
 
 
 class Refused(ValueError):
@@ -149,10 +150,11 @@ def write_lines(df: DataFrame, path: str) -> None:
 DOCUMENT_RESULTS = 5000
 
 
-def sarif_documents(results: DataFrame, rules: DataFrame, tool: str = "scanledger", most: int = DOCUMENT_RESULTS) -> DataFrame:
+def sarif_documents(results: DataFrame, rules: DataFrame, tool: str = "scanledger", most: int = DOCUMENT_RESULTS, servers: DataFrame | None = None) -> DataFrame:
     """SARIF 2.1.0 documents as JSON text: server_id, part, document.
 
-    A server's results are dealt to as many parts as hold about ``most`` each, by the first digits of their ids.
+    A server's results are dealt to as many parts as hold about ``most`` each, by the first digits of their ids.  With
+    ``servers`` (server_id), those without results have a document too, of part 0 without results.
     """
     descriptors = rules.agg(F.array_sort(F.collect_list(F.struct(F.col("rule_id").alias("id"), F.col("rule_index").alias("index")))).alias("rules"))
     body = F.struct(
@@ -163,4 +165,19 @@ def sarif_documents(results: DataFrame, rules: DataFrame, tool: str = "scanledge
     part = F.conv(F.substring("finding_id", 1, 8), 16, 10).cast("long") % F.col("parts")
     dealt = results.join(parts, "server_id").withColumn("part", part)
     grouped = dealt.groupBy("server_id", "part").agg(F.array_sort(F.collect_list(F.struct("finding_id", "rule_id", "rule_index", "level", "message", "file", "line"))).alias("results"))
+    if servers is not None:
+        silent = servers.select("server_id").where("server_id is not null").distinct().join(parts, "server_id", "left_anti")
+        grouped = grouped.unionByName(silent.select("server_id", F.lit(0).cast("long").alias("part"), F.array().cast(grouped.schema["results"].dataType).alias("results")))
     return grouped.crossJoin(F.broadcast(descriptors)).select("server_id", "part", F.to_json(body).alias("document"))  # the rules that fired, one row
+
+
+def write_sarif(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One file per server and part, all of them or none (see ``sarif_sink``)."""
+    sarif_sink.register(documents.sparkSession)
+    documents.select("server_id", F.col("part").cast("long").alias("part"), "document").write.format("sarif").mode(mode).save(path)
+
+
+def read_sarif(spark: SparkSession, path: str) -> DataFrame:
+    """server_id, part, document of what ``write_sarif`` wrote."""
+    sarif_sink.register(spark)
+    return spark.read.format("sarif").load(path)
