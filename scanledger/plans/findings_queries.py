@@ -490,7 +490,7 @@ def files_read(spark, d):
     """Texts as files in a folder per server, a line feed behind each, read back as a table of files."""
     path = io.scratch(spark)
     v.table(spark, d, "documents").where("text is not null").select(F.col("source").alias("server"), "text").write.partitionBy("server").text(path)
-    found = io.read_files(spark, path)
+    found = io.read_files(spark, path).where("path like '%.txt'")
     content = F.decode("content", "UTF-8")
     feeds = F.length(content) - F.length(F.replace(content, F.lit("\n")))
     server = F.regexp_replace("server_id", "^server=", "")

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import permits_cloning
-from . import sarif_sink
+from . import checkouts, sarif_sink
 
 
 class Refused(ValueError):
@@ -95,19 +92,21 @@ def write_history(history: DataFrame, path: str) -> None:
     history.repartitionByRange("finding_id").sortWithinPartitions("finding_id").write.mode("overwrite").json(path)
 
 
-def _is_link(paths: pd.Series) -> pd.Series:
-    """Whether a path of the local file system names a symbolic link; stores without links have none."""
-    return paths.map(lambda p: p.startswith("file:") and os.path.islink(unquote(p.removeprefix("file:"))))
+def read_files(spark: SparkSession, path: str, server_depth: int = 1, most_bytes: int = 0) -> DataFrame:
+    """Checkouts below ``path`` (one folder per server) as a table of files; links are rows without content and never followed.
 
-
-def read_files(spark: SparkSession, path: str, server_depth: int = 1) -> DataFrame:
-    """Checkouts below ``path`` (one folder per server) as a table of files."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    Files of more than ``most_bytes`` (0: no limit) come without content.
+    """
+    if path.startswith("file:") or "://" not in path:
+        checkouts.register(spark)
+        return spark.read.format("checkouts").option("server_depth", server_depth).option("most_bytes", most_bytes).load(path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)  # a store that knows no links
     root = path.rstrip("/").split(":", 1)[-1].lstrip("/")
-    tail = F.regexp_replace(F.col("path"), rf"^[a-z0-9]+:/*{root}/", "")
-    parts = F.split(tail, "/")
+    parts = F.split(F.regexp_replace(F.col("path"), rf"^[a-z0-9]+:/*{root}/", ""), "/")
     server = F.array_join(F.slice(parts, 1, server_depth), "/")
-    return found.select(server.alias("server_id"), F.lit(None).cast("string").alias("commit_sha"), F.array_join(F.slice(parts, F.lit(server_depth + 1), F.greatest(F.size(parts) - server_depth, F.lit(0))), "/").alias("path"), "content", F.col("length").alias("size"), F.pandas_udf(_is_link, "boolean")("path").alias("is_symlink"))
+    tail = F.array_join(F.slice(parts, F.lit(server_depth + 1), F.greatest(F.size(parts) - server_depth, F.lit(0))), "/")
+    content = F.when((F.lit(most_bytes) == 0) | (F.col("length") <= most_bytes), F.col("content"))
+    return found.select(server.alias("server_id"), F.lit(None).cast("string").alias("commit_sha"), tail.alias("path"), content.alias("content"), F.col("length").alias("size"), F.lit(False).alias("is_symlink"))
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
