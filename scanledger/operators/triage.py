@@ -80,10 +80,26 @@ def adjudicate(entries: DataFrame, cache: DataFrame, judge: Callable[[str], tupl
     return joined.select("entry_id", "key", F.coalesce("probability", "new").alias("probability"), source.alias("source"), "failure"), fresh
 
 
-def spend_cap(calls: DataFrame, cap: float, order: str, arm: str) -> DataFrame:
-    """Calls whose arm had spent less than ``cap`` before them (the last may overshoot)."""
-    before = Window.partitionBy(arm).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("spent_before", F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0))).where(F.col("spent_before") < cap)
+#: Calls of a block of ``spend_cap``.
+BLOCK_CALLS = 50_000
+
+
+def spend_cap(calls: DataFrame, cap: float, order: str, arm: str, block_calls: int = BLOCK_CALLS) -> DataFrame:
+    """Calls whose arm had spent less than ``cap`` before them (the last may overshoot), with ``spent_before``.
+
+    Calls are ranged by arm and order into blocks; what an arm spent before a block is a sum over its blocks' sums, blocks
+    that begin beyond the cap go, and only within a block are calls added up one by one.  A call without a cost costs
+    nothing; of calls at the same place any may come first.
+    """
+    blocks = max(1, -(-calls.count() // block_calls))
+    ranged = settled(calls.repartitionByRange(blocks, arm, order).withColumn("_block", F.spark_partition_id()))
+    spent = ranged.groupBy(F.col(arm).alias("_arm"), "_block").agg(F.coalesce(F.sum("cost_usd"), F.lit(0)).alias("_spent"))
+    by_block = Window.partitionBy("_arm").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = spent.select("_arm", F.col("_block").alias("_b"), F.coalesce(F.sum("_spent").over(by_block), F.lit(0)).alias("_begun")).where(F.col("_begun") < cap)
+    within = Window.partitionBy(arm, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    left = ranged.join(begun, (F.col("_b") == F.col("_block")) & F.col(arm).eqNullSafe(F.col("_arm")))
+    left = left.withColumn("spent_before", (F.col("_begun") + F.coalesce(F.sum("cost_usd").over(within), F.lit(0))).cast("double"))
+    return left.where(F.col("spent_before") < cap).select(*calls.columns, "spent_before")
 
 
 def cost_projection(pairs: DataFrame, sampled: DataFrame, cap: float) -> DataFrame:

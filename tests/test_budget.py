@@ -70,3 +70,20 @@ def test_every_call_fails_and_nothing_to_ask(spark):
     out, fresh = triage.adjudicate(df, none, judge, 4)
     assert out.where(F.col("source") == "failed").count() == 10 and fresh.count() == 0
     assert triage.adjudicate(df.limit(0), none, judge, 4)[0].collect() == []
+
+
+def test_the_cap_holds_across_blocks(spark):
+    rng = random.Random(9)
+    calls = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([0, 1, 3, None, 20])) for i in range(400)]
+    df = spark.createDataFrame(calls, "at int, arm string, cost_usd long").selectExpr("*", "1 as _spent_x").repartition(5)
+    want, spent = {}, {}
+    for at, arm, cost in sorted(calls, key=lambda c: c[0]):
+        if spent.get(arm, 0) < 300:
+            want[at] = spent.get(arm, 0)
+        spent[arm] = spent.get(arm, 0) + (cost or 0)
+    for block in (7, 100, 50_000):
+        out = triage.spend_cap(df, 300, "at", "arm", block)
+        assert {r.at: r.spent_before for r in out.collect()} == want and out.columns == [*df.columns, "spent_before"]
+    plan = triage.spend_cap(df, 300, "at", "arm", 7)._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(arm#" in plan and all("_block#" in w for w in plan.split("windowspecdefinition(arm#")[1:])  # no window over a whole arm
+    assert triage.spend_cap(df.limit(0), 300, "at", "arm").collect() == []
