@@ -50,10 +50,11 @@ def adjudicate(entries: DataFrame, cache: DataFrame, judge: Callable[[str], tupl
     """
     spark = entries.sparkSession
     entries = settled(entries.select("entry_id", "key", "shown"))
-    known = entries.select("entry_id", "key").join(cache.groupBy("key").agg(F.min("probability").alias("probability")), "key", "left")
-    open_keys = known.where("probability is null").groupBy("key").agg(F.min("entry_id").alias("first"))
-    order = settled(open_keys.select(F.struct("first", "key").alias("place"), "key"))  # without the texts
-    texts = entries.groupBy("key").agg(F.min("shown").alias("shown"))
+    known = settled(entries.select("entry_id", "key").join(cache.groupBy("key").agg(F.min("probability").alias("probability")), "key", "left"))
+    answered = known.where("probability is not null").select("key").distinct()
+    questions = entries.join(answered, "key", "left_anti").groupBy("key").agg(F.min("entry_id").alias("first"), F.min("shown").alias("shown"))
+    questions = settled(questions.select("key", F.struct("first", "key").alias("place"), "shown"))  # once for all rounds
+    order = questions.select("key", "place")
     rounds: list[DataFrame] = []
     last, lacking, kinds = None, most_calls, order.schema["place"].dataType.fields
     while lacking > 0:
@@ -63,7 +64,7 @@ def adjudicate(entries: DataFrame, cache: DataFrame, judge: Callable[[str], tupl
         end = asked.agg(F.count("*").alias("n"), F.max("place").alias("place")).first()
         if not end["n"]:
             break
-        answers = settled(asked.join(texts, "key").select("key", "shown").repartition(spark.sparkContext.defaultParallelism, "key").mapInPandas(_ask(judge), DECIDED))
+        answers = settled(questions.select("key", "shown").join(asked.select("key"), "key").repartition(spark.sparkContext.defaultParallelism, "key").mapInPandas(_ask(judge), DECIDED))
         rounds.append(answers)
         lacking -= answers.where(valid_decision()).count()
         last = tuple(end["place"])
@@ -85,7 +86,7 @@ BLOCK_CALLS = 50_000
 
 
 def spend_cap(calls: DataFrame, cap: float, order: str, arm: str, block_calls: int = BLOCK_CALLS) -> DataFrame:
-    """Calls whose arm had spent less than ``cap`` before them (the last may overshoot), with ``spent_before``.
+    """Calls whose arm had spent less than ``cap`` before them (the last may overshoot), with ``spent_before``; no cost is negative.
 
     Calls are ranged by arm and order into blocks; what an arm spent before a block is a sum over its blocks' sums, blocks
     that begin beyond the cap go, and only within a block are calls added up one by one.  A call without a cost costs

@@ -147,16 +147,16 @@ def entries_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as golden entries with two probabilities in thousandths from fixed hashes of the id."""
     d = F.col("doc_id")
     label = F.when(F.col("toxic") == 1, "unsure").when(F.col("quality") == 1, "true_positive").otherwise("false_positive")
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    # The flagged line of the whole text with the ones before and after it.
+    # The flagged line of the whole text with the ones before and after it, cut before the join, which then moves no whole texts that nobody reads.
     lines = F.split("text", "\n", -1)
     at = d % F.size(lines)
     first = F.greatest(at, F.lit(1))
     around = F.array_join(F.slice(lines, first.cast("int"), (at + 3 - first).cast("int")), "\n")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", around.alias("around")).join(table(spark, sf_dir, "labels"), "doc_id")
     window, function = (d * 7919 % 1001) / 1000.0, (d * 104729 % 1001) / 1000.0
     return rows.select(
         d.alias("entry_id"), F.col("source").alias("server_id"), F.col("lang").alias("rule_id"), label.alias("label"), F.when(d % 4 == 0, "model").otherwise("human").alias("labelled_by"),
-        F.when(d % 10 != 3, window).alias("p_window"), F.when(d % 10 != 7, function).alias("p_function"), F.col("text").alias("context"), around.alias("context_function"), (d % 30).cast("int").alias("line"),
+        F.when(d % 10 != 3, window).alias("p_window"), F.when(d % 10 != 7, function).alias("p_function"), F.col("text").alias("context"), F.col("around").alias("context_function"), (d % 30).cast("int").alias("line"),
     )
 
 
