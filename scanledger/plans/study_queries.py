@@ -11,6 +11,7 @@ from ..operators import golden as go
 from ..operators import rules as ru
 from ..operators import sampling
 from ..operators import triage as tr
+from ..sources import io
 from . import sql_views as sv
 from . import views as v
 
@@ -374,6 +375,7 @@ def _judge(text: str) -> tuple[float, float]:
 )
 def adjudicate_budget(spark, d):
     rows = v.entries_golden(spark, d).select("entry_id", cache_key(F.lit("window"), F.col("rule_id"), F.lit("python"), F.col("context_function")).alias("key"), F.col("context_function").alias("shown"))
+    rows = io.settled(rows)  # read by the cache and by the entries
     cache = rows.groupBy("key").agg(F.min("entry_id").alias("e")).where("e % 7 = 0").select("key", F.lit(0.75).alias("probability"))
     return tr.adjudicate(rows, cache, _judge, 150)[0].select("entry_id", "probability", "source")
 
