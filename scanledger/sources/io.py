@@ -99,7 +99,8 @@ def read_files(spark: SparkSession, path: str, server_depth: int = 1, most_bytes
     """
     if path.startswith("file:") or "://" not in path:
         checkouts.register(spark)
-        return spark.read.format("checkouts").option("server_depth", server_depth).option("most_bytes", most_bytes).load(path)
+        listed = settled(spark.read.format("checkouts").option("server_depth", server_depth).load(path))
+        return checkouts.with_content(listed, most_bytes)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)  # a store that knows no links
     root = path.rstrip("/").split(":", 1)[-1].lstrip("/")
     parts = F.split(F.regexp_replace(F.col("path"), rf"^[a-z0-9]+:/*{root}/", ""), "/")
