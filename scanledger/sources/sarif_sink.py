@@ -12,6 +12,7 @@ character; an empty table gives a folder with ``_SUCCESS`` alone; ``overwrite``
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,6 +50,8 @@ class Written(WriterCommitMessage):
 class SarifWriter(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex
+        files, _, staging = self._staging()
+        files.create_dir(staging, recursive=True)  # here alone: a task that outlives an abort finds no place to write to
 
     def _staging(self) -> tuple[pafs.FileSystem, str, str]:
         files, root = pafs.FileSystem.from_uri(self.path)
@@ -56,19 +59,21 @@ class SarifWriter(DataSourceWriter):
 
     def write(self, rows: Iterator[Row]) -> Written:
         files, _, staging = self._staging()
-        folder = uuid.uuid4().hex
+        folder, made = uuid.uuid4().hex, set()
         for row in rows:
             if row["server_id"] is None or row["document"] is None:
                 raise ValueError("a document or its server is missing")
-            name = f"{staging}/{folder}/{_file_of(row['server_id'], row['part'])}"
-            files.create_dir(name.rsplit("/", 1)[0], recursive=True)
-            with files.open_output_stream(name) as out:
+            levels = f"{folder}/{_file_of(row['server_id'], row['part'])}".split("/")
+            for level in ("/".join(levels[:i]) for i in range(1, len(levels))):
+                if level not in made:
+                    files.create_dir(f"{staging}/{level}", recursive=False)
+                    made.add(level)
+            with files.open_output_stream("/".join([staging, *levels])) as out:
                 out.write(row["document"].encode())
         return Written(folder)
 
     def commit(self, messages: list) -> None:
         files, root, staging = self._staging()
-        files.create_dir(staging, recursive=True)
         before = [f.path for f in files.get_file_info(pafs.FileSelector(root)) if f.path.rsplit("/", 1)[-1] != staging.rsplit("/", 1)[-1]]
         there = {f.base_name for f in files.get_file_info(pafs.FileSelector(staging))}
         for message in messages:
@@ -82,8 +87,13 @@ class SarifWriter(DataSourceWriter):
 
     def abort(self, messages: list) -> None:
         files, _, staging = self._staging()
-        if files.get_file_info(staging).type == pafs.FileType.Directory:
-            files.delete_dir(staging)
+        for again in range(20):  # tasks that are still being stopped may add a file meanwhile
+            try:
+                if files.get_file_info(staging).type == pafs.FileType.Directory:
+                    files.delete_dir(staging)
+                return
+            except OSError:
+                time.sleep(0.05 * again)
 
 
 @dataclass
