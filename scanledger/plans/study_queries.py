@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cache_key
@@ -12,6 +15,7 @@ from ..operators import rules as ru
 from ..operators import sampling
 from ..operators import triage as tr
 from ..sources import io
+from ..sources.io import settled
 from . import sql_views as sv
 from . import views as v
 
@@ -311,19 +315,40 @@ def blind_queue(spark, d):
     return go.blind_queue(_queue(spark, d), v.entries_golden(spark, d), ["entry_id", "rule_id", "context_function"])
 
 
-@query(f"WITH {sv.GOLDEN}, r AS (SELECT entry_id, sha256('{{\"entry_id\":' || entry_id || ',\"rule_id\":\"' || rule_id || '\",\"label\":\"' || label || '\"}}') AS h, substr(sha256(CAST(entry_id AS VARCHAR)), 1, 3) AS b FROM g), bl AS (SELECT b, sha256(unhex(string_agg(h, '' ORDER BY entry_id))) AS h, count(*) AS n FROM r GROUP BY 1) SELECT sha256(unhex(string_agg(h, '' ORDER BY b))) AS digest, CAST(sum(n) AS BIGINT) AS entries FROM bl")
+TREE = (
+    "lf AS (SELECT study, entry_id, sha256(entry_id || ':' || d || ':' || count(*)) AS place, count(*) AS n FROM (SELECT study, entry_id, sha256('{\"entry_id\":' || entry_id || ',\"rule_id\":\"' || rule_id || '\",\"label\":\"' || label || '\"}') AS d FROM r) GROUP BY study, entry_id, d),"
+    " dp AS (SELECT count(*) AS depth FROM range(12) t(i), (SELECT count(*) AS c FROM g) WHERE 64 * pow(16, i) < c),"
+    " tr(study, lvl, node, h, n) AS (SELECT study, depth, substr(place, 1, depth), sha256(string_agg(place, '' ORDER BY place)), sum(n) FROM lf, dp GROUP BY 1, 2, 3"
+    " UNION ALL SELECT study, lvl - 1, substr(node, 1, lvl - 1), sha256(string_agg(h, '' ORDER BY node)), sum(n) FROM tr WHERE lvl > 0 GROUP BY 1, 2, 3)"
+)
+REGISTERED = "SELECT 'as registered' AS study, entry_id, rule_id, label FROM g"
+
+
+@query(f"WITH RECURSIVE {sv.GOLDEN}, r AS ({REGISTERED}), {TREE} SELECT h AS digest, CAST(n AS BIGINT) AS entries FROM tr WHERE lvl = 0")
 def snapshot_digest(spark, d):
     return go.snapshot_digest(v.entries_golden(spark, d), ["entry_id", "rule_id", "label"])
 
 
-@query("SELECT 'as registered' AS study, true AS frozen UNION ALL SELECT 'one entry changed', false")
+@query(
+    f"WITH RECURSIVE {sv.GOLDEN}, r AS ({REGISTERED} UNION ALL SELECT 'one entry changed', entry_id, rule_id, CASE WHEN entry_id = (SELECT min(entry_id) FROM g) THEN 'changed' ELSE label END FROM g UNION ALL SELECT 'gone and doubled', entry_id, rule_id, label FROM g WHERE entry_id % 64 <> 5 UNION ALL SELECT 'gone and doubled', entry_id, rule_id, label FROM g WHERE entry_id % 64 = 7), {TREE},"
+    " df AS (SELECT s.study, l.entry_id, 1 AS was, 0 AS now FROM (SELECT DISTINCT study FROM r) s, lf l WHERE l.study = 'as registered' AND (s.study, l.place) NOT IN (SELECT study, place FROM lf) UNION ALL SELECT study, entry_id, 0, 1 FROM lf WHERE place NOT IN (SELECT place FROM lf WHERE study = 'as registered')),"
+    " ch AS (SELECT study, entry_id, CASE WHEN max(was) = 1 AND max(now) = 1 THEN 'changed' WHEN max(was) = 1 THEN 'gone' ELSE 'added' END AS change FROM df GROUP BY 1, 2)"
+    " SELECT study, h AS digest, h = (SELECT h FROM tr WHERE lvl = 0 AND study = 'as registered') AS frozen, entry_id, change FROM tr LEFT JOIN ch USING (study) WHERE lvl = 0"
+)
 def frozen_study(spark, d):
-    rows, fields = v.entries_golden(spark, d), ["entry_id", "rule_id", "label"]
-    manifest = go.snapshot_digest(rows, fields)
+    """The entries as they were registered, with one label changed, and with some entries gone and others there twice: the root of each and what changed."""
+    rows, fields = settled(v.entries_golden(spark, d).select("entry_id", "rule_id", "label")), ["entry_id", "rule_id", "label"]
+    before = go.snapshot_tree(rows, fields)
+    depth = before.agg(F.max("level")).first()[0] - 1
     least = rows.agg(F.min("entry_id").alias("least"))
-    changed = rows.crossJoin(F.broadcast(least)).withColumn("label", F.when(F.col("entry_id") == F.col("least"), "changed").otherwise(F.col("label")))
-    same, other = (go.check_frozen(x, manifest, fields).select(F.lit(name).alias("study"), "frozen") for x, name in ((rows, "as registered"), (changed, "one entry changed")))
-    return same.union(other)
+    relabelled = rows.crossJoin(F.broadcast(least)).withColumn("label", F.when(F.col("entry_id") == F.col("least"), "changed").otherwise(F.col("label"))).drop("least")  # one row
+    thinned = rows.where("entry_id % 64 <> 5").union(rows.where("entry_id % 64 = 7"))
+    root, out = before.where("level = 0").select(F.col("digest").alias("expected")), []
+    for study, now in (("as registered", rows), ("one entry changed", relabelled), ("gone and doubled", thinned)):
+        after = go.snapshot_tree(now, fields, depth)
+        roots = after.where("level = 0").crossJoin(root).select(F.lit(study).alias("study"), "digest", (F.col("digest") == F.col("expected")).alias("frozen"))
+        out.append(roots.join(go.changed_entries(before, after).withColumn("study", F.lit(study)), "study", "left"))
+    return reduce(DataFrame.union, out)
 
 
 @query(
