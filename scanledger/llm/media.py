@@ -16,7 +16,8 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,6 +44,7 @@ SIGNATURES = [
 ]
 RIFF_KINDS = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
 UNKNOWN = "application/octet-stream"
+OGG_POLY = 0x04C11DB7
 PIXELS_WIDE = 64
 ROW_BYTES = PIXELS_WIDE * 3
 SLICE_BYTES = 4 << 20
@@ -64,6 +66,8 @@ class _Value:
 
     def __init__(self, data: bytes):
         self.data, self.size, self.places = data, len(data), {}
+        self.chains: dict[str, dict[int, tuple[int, bool]]] = {}
+        self.sums = array("I", [0])
 
     def find(self, needle: bytes, at: int) -> int:
         """Where ``needle`` stands next from ``at`` on, or -1."""
@@ -73,6 +77,35 @@ class _Value:
             self.places[needle] = at, place
         return place
 
+    def chain(self, name: str, at: int, step: Callable[[int], tuple[int, bool] | None]) -> tuple[int, bool]:
+        """Where the steps from ``at`` on end, and whether any of them was marked.
+
+        Walks that meet go on alike, so what is known of every eighth place of a walk spares later ones the rest of it.
+        """
+        known, path = self.chains.setdefault(name, {}), []
+        while at not in known:
+            after = step(at)
+            if after is None:
+                known[at] = at, False
+                break
+            path.append((at, after[1]))
+            at = after[0]
+        end, marked = known[at]
+        for n in range(len(path) - 1, -1, -1):
+            marked = marked or path[n][1]
+            if n % 8 == 0:
+                known[path[n][0]] = end, marked
+        return end, marked
+
+    def check_sum(self, start: int, end: int) -> int:
+        """The 32-bit check sum, highest bit first, of a stretch: a difference of those of two beginnings of the value, each byte read once."""
+        table, sums = _crc_table(32, OGG_POLY), self.sums
+        c = sums[-1]
+        for x in memoryview(self.data)[len(sums) - 1 : end]:
+            c = (c << 8 & 0xFFFFFFFF) ^ table[c >> 24 ^ x]
+            sums.append(c)
+        return sums[end] ^ _shifted(sums[start], end - start)
+
 
 def _png(v: _Value, at: int) -> int:
     b, i, first, data = v.data, at + 8, True, False
@@ -111,25 +144,26 @@ def _jpeg(v: _Value, at: int) -> int:
 
 
 def _gif(v: _Value, at: int) -> int:
+    """Blocks up to the trailer, a picture among them."""
     b = v.data
     if at + 13 > v.size:
         return 0
-    flags, pictures = b[at + 10], 0
-    i = at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
-    while i < v.size:
-        if b[i] == 0x3B:
-            return i + 1 - at if pictures else 0
-        if b[i] == 0x21:
-            i += 2
-        elif b[i] == 0x2C and i + 10 <= v.size:
-            flags, pictures = b[i + 9], pictures + 1
-            i += 11 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
+
+    def piece(i: int) -> tuple[int, bool] | None:
+        return (i + b[i] + 1, False) if i < v.size and b[i] else None
+
+    def block(i: int) -> tuple[int, bool] | None:
+        if i < v.size and b[i] == 0x21:
+            start = i + 2
+        elif i + 10 <= v.size and b[i] == 0x2C:
+            start = i + 11 + (3 << ((b[i + 9] & 7) + 1) if b[i + 9] & 0x80 else 0)
         else:
-            return 0
-        while i < v.size and b[i]:
-            i += b[i] + 1
-        i += 1
-    return 0
+            return None
+        return v.chain("pieces", start, piece)[0] + 1, b[i] == 0x2C
+
+    flags = b[at + 10]
+    end, pictured = v.chain("blocks", at + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0), block)
+    return end + 1 - at if pictured and end < v.size and b[end] == 0x3B else 0
 
 
 def _bmp(v: _Value, at: int) -> int:
@@ -173,6 +207,33 @@ def _crc(data: bytes, bits: int, poly: int) -> int:
     return c
 
 
+@lru_cache(1 << 12)
+def _power(n: int) -> int:
+    """x to the power 8 n, modulo the polynomial."""
+    if n == 0:
+        return 1
+    half = _times(_power(n // 2), _power(n // 2)) if n > 1 else 1
+    return _times(half, 1 << 8) if n & 1 else half
+
+
+def _times(a: int, c: int) -> int:
+    """Product of two polynomials modulo that of Ogg."""
+    out = 0
+    while c:
+        if c & 1:
+            out ^= a
+        c >>= 1
+        a <<= 1
+        if a >> 32:
+            a ^= 1 << 32 | OGG_POLY
+    return out
+
+
+def _shifted(c: int, n: int) -> int:
+    """What a check sum becomes behind ``n`` zero bytes."""
+    return _times(c, _power(n)) if c else 0
+
+
 def _flac_head(b: bytes, i: int) -> tuple[int, int]:
     """(length of the frame header at ``i``, samples of the frame), zeros where there is none."""
     if i + 6 > len(b) or b[i] != 0xFF or b[i + 1] & 0xFE != 0xF8 or b[i + 3] & 1:
@@ -223,29 +284,37 @@ def _flac(v: _Value, at: int) -> int:
 
 def _ogg(v: _Value, at: int) -> int:
     """Pages with right check sums, from one that begins a stream to the last that follows without a gap."""
-    b, i = v.data, at
-    while i + 27 <= v.size and b[i : i + 5] == b"OggS\0":
-        n = b[i + 26]
-        end = i + 27 + n + sum(b[i + 27 : i + 27 + n])
-        if i + 27 + n > v.size or end > v.size or i == at and not b[i + 5] & 2:
-            break
-        if _crc(b[i : i + 22] + b"\0\0\0\0" + b[i + 26 : end], 32, 0x04C11DB7) != struct.unpack_from("<I", b, i + 22)[0]:
-            break
-        i = end
-    return i - at
+    b = v.data
+
+    def page(i: int) -> tuple[int, bool] | None:
+        if i + 27 > v.size or b[i : i + 5] != b"OggS\0":
+            return None
+        body = i + 27 + b[i + 26]
+        if body > v.size or (end := body + sum(b[i + 27 : body])) > v.size:
+            return None
+        told = struct.unpack_from("<I", b, i + 22)[0]
+        blank = _shifted(_crc(b[i + 22 : i + 26], 32, OGG_POLY), end - i - 26)  # the page's own sum counts as zeros in it
+        return (end, False) if v.check_sum(i, end) ^ blank == told else None
+
+    return v.chain("pages", at, page)[0] - at if b[at + 5 : at + 6] and b[at + 5] & 2 else 0
 
 
 def _mp4(v: _Value, at: int) -> int:
-    b, i, kinds = v.data, at, set()
-    while i + 8 <= v.size:
+    """Boxes with printable kinds that follow without a gap, one of which holds media or tells of them."""
+    b = v.data
+
+    def box(i: int) -> tuple[int, bool] | None:
+        if i + 8 > v.size:
+            return None
         n, kind = struct.unpack_from(">I4s", b, i)
         if n == 1 and i + 16 <= v.size:
             n = struct.unpack_from(">Q", b, i + 8)[0]
         if n < 8 or i + n > v.size or not all(32 <= c < 127 for c in kind):
-            break
-        kinds.add(kind)
-        i += n
-    return i - at if kinds & {b"moov", b"mdat", b"moof", b"meta"} else 0
+            return None
+        return i + n, kind in (b"moov", b"mdat", b"moof", b"meta")
+
+    end, held = v.chain("boxes", at, box)
+    return end - at if held else 0
 
 
 _PDF_END = re.compile(rb"startxref[\r\n ]+(\d{1,12})[\r\n ]+$")
