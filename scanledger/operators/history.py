@@ -10,6 +10,7 @@ from ..schemas import COLLAPSE_FACTOR, CONFIDENCES, SEVERITIES
 from ..sources.io import Refused, refuse_any
 
 FIELDS = ["finding_id", "server_id", "commit_sha", "rule_id", "severity", "confidence", "file", "line", "evidence"]
+STAMPS = ["first_seen", "last_seen", "previous_ids"]
 MOVE_KEY = ["server_id", "rule_id", "file", "evidence"]
 
 
@@ -84,9 +85,13 @@ def carry_moved(merged: DataFrame, now: Column) -> DataFrame:
     Only where as many vanished as arrived: the old row goes, the new one takes its first_seen and its chain of ids.
     All windows share one shuffle on a hash of the key, and ``merged`` is read once.
     """
-    k = F.xxhash64(*MOVE_KEY)
+    return _carried(merged.withColumn("k", F.xxhash64(*MOVE_KEY)), now).drop("k")
+
+
+def _carried(rows: DataFrame, now: Column) -> DataFrame:
+    """``carry_moved`` of rows with k, the hash of their key, which stays."""
     side = F.when(F.col("last_seen") != now, "gone").when((F.col("last_seen") == now) & (F.col("first_seen") == now), "came").otherwise("kept")
-    rows = merged.withColumns({"k": k, "side": side})
+    rows = rows.withColumn("side", side)
     rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("k", *MOVE_KEY, "side").orderBy("line", "finding_id")))
     same = Window.partitionBy("k", *MOVE_KEY)
     rows = rows.withColumn("even", F.count_if(F.col("side") == "gone").over(same) == F.count_if(F.col("side") == "came").over(same))
@@ -97,6 +102,7 @@ def carry_moved(merged: DataFrame, now: Column) -> DataFrame:
         F.coalesce("old.first_seen", "first_seen").alias("first_seen"),
         "last_seen",
         F.when(F.col("old").isNotNull(), F.concat("old.previous_ids", F.array("old.finding_id"))).otherwise(F.col("previous_ids")).alias("previous_ids"),
+        "k",
     )
 
 
@@ -104,6 +110,36 @@ def nightly_fold(previous: DataFrame, current: DataFrame, now: Column) -> DataFr
     return carry_moved(merge_findings(previous, current, now), now)
 
 
+def dealt(history: DataFrame, buckets: int) -> DataFrame:
+    """A history in the form of ``write_bucketed_history``, dealt to buckets by k, the hash of what a move keeps."""
+    return history.select(*FIELDS, *STAMPS, F.lit(False).alias("tonight"), F.xxhash64(*MOVE_KEY).alias("k")).repartition(buckets, "k")
+
+
+def fold_into_buckets(kept: DataFrame, current: DataFrame, now: Column, buckets: int) -> DataFrame:
+    """``nightly_fold`` where ``kept`` is a history that ``write_bucketed_history`` left: only tonight's side is shuffled.
+
+    An id is made of the fields of the key and the line, so rows of one id and all that may have moved into one another
+    stand in one bucket; the merge is an aggregation and the moves are windows within it.  Both sides have one row per id,
+    and server, rule, file and evidence are never null.  The result has the form of ``kept``, and is written to buckets as it
+    is.  Both branches of the union stay without a projection, above which Spark would no longer know of the buckets.
+    """
+    types = {f.name: f.dataType for f in kept.schema}
+    new = [F.col(x).cast(types[x]).alias(x) for x in FIELDS] + [F.lit(None).cast(types[x]).alias(x) for x in STAMPS]
+    new = current.select(*new, F.lit(True).alias("tonight"), F.xxhash64(*MOVE_KEY).alias("k")).repartition(buckets, "k")
+    sides = kept.union(new).groupBy("k", "finding_id").agg(
+        F.max_by(F.struct(*FIELDS[1:]), "tonight").alias("r"), F.max("tonight").alias("seen"), *[F.first(x, ignorenulls=True).alias(x) for x in STAMPS]
+    )
+    merged = sides.select(
+        "finding_id",
+        "r.*",
+        F.coalesce("first_seen", now).alias("first_seen"),
+        F.when(F.col("seen"), now).otherwise(F.coalesce("last_seen", now)).alias("last_seen"),
+        F.coalesce("previous_ids", F.array().cast("array<string>")).alias("previous_ids"),
+        "k",
+    )
+    return _carried(merged, now).select(*FIELDS, *STAMPS, F.lit(False).alias("tonight"), "k")
+
+
 def seen_in(history: DataFrame, at: Column) -> DataFrame:
     return history.where(F.col("last_seen") == at)
 

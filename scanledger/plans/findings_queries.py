@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -129,6 +130,15 @@ def moved_findings(spark, d):
     return stamped(h.select(*ROW, "first_seen", "last_seen", "previous_ids"), "first_seen", "last_seen")
 
 
+@query(f"WITH {sv.HISTORY} SELECT {', '.join(ROW)}, {TS.format('first_seen')} AS first_seen, {TS.format('last_seen')} AS last_seen, previous_ids FROM h")
+def bucketed_fold(spark, d):
+    """The fold of tonight into a history kept in buckets."""
+    table, buckets = f"history_{uuid.uuid4().hex}", 64
+    kept = io.write_bucketed_history(history.dealt(v.previous(spark, d), buckets), table, buckets, io.scratch(spark))
+    h = history.fold_into_buckets(kept, v.current(spark, d), v.now(), buckets).withColumn("previous_ids", F.array_join("previous_ids", ","))
+    return stamped(h.select(*ROW, "first_seen", "last_seen", "previous_ids"), "first_seen", "last_seen")
+
+
 @query(f"WITH {sv.HISTORY} SELECT finding_id FROM h, clock WHERE last_seen = now")
 def seen_tonight(spark, d):
     return history.seen_in(v.folded(spark, d), v.now()).select("finding_id")

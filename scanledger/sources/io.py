@@ -92,6 +92,13 @@ def write_history(history: DataFrame, path: str) -> None:
     history.repartitionByRange("finding_id").sortWithinPartitions("finding_id").write.mode("overwrite").json(path)
 
 
+def write_bucketed_history(history: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """A history with k (see ``history.dealt``) as a table of buckets by k, read back; ``path`` places it outside the warehouse."""
+    writer = history.write.bucketBy(buckets, "k").sortBy("k").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return history.sparkSession.table(table)
+
+
 def read_files(spark: SparkSession, path: str, server_depth: int = 1, most_bytes: int = 0) -> DataFrame:
     """Checkouts below ``path`` (one folder per server) as a table of files; links are rows without content and never followed.
 
