@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from .sampling import numbered_by_hash
 FLOOR = 0.80
 BINS = 5
 REPLICATES = 2000
+#: Counts that a sign test sums as whole numbers, and steps of a larger one at a time.
+EXACT, STEPS = 1000, 1 << 15
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -63,16 +66,34 @@ def choose_threshold(swept: DataFrame, floor: float = FLOOR) -> DataFrame:
     return swept.where(F.col("precision") >= floor).agg(F.max(F.struct("recall", "threshold", "precision")).alias("b")).where("b is not null").select("b.threshold", "b.precision", "b.recall")
 
 
+def _outcomes_up_to(n: int, k: int) -> float:
+    """Share of the 2^n outcomes of n tosses with at most k heads, k <= n / 2.
+
+    Binomial coefficients are taken as multiples of the middle one, downwards by their ratios, until they vanish beside it:
+    some 40 * sqrt(n) steps, whatever k is.  Shares below 1e-290 come out as 0.
+    """
+    at, term, whole, tail = n // 2, 1.0, 0.0, 0.0
+    while at >= 0 and term > 1e-300:
+        i = np.arange(at, max(at - STEPS, -1), -1, dtype="float64")
+        ratios = i / (n - i + 1)
+        terms = term * np.concatenate(([1.0], np.cumprod(ratios[:-1])))
+        whole, tail = whole + terms.sum(), tail + terms[i <= k].sum()
+        at, term = at - STEPS, terms[-1] * ratios[-1]
+    return float(tail / (2 * whole - (n % 2 == 0)))  # the other half is the same, and an even n has one middle
+
+
 def _sign_test(more: pd.Series, less: pd.Series) -> pd.Series:
     def one(a: int, b: int) -> float:
         n, k = int(a + b), int(min(a, b))
+        if n > EXACT:  # whole coefficients have n bits, and there are k of them
+            return min(1.0, 2 * _outcomes_up_to(n, k))
         return 1.0 if n == 0 else min(1.0, sum(math.comb(n, i) for i in range(k + 1)) / (1 << (n - 1)))
 
     return pd.Series([one(a, b) for a, b in zip(more, less, strict=True)], dtype="float64")
 
 
 def sign_test(more: Column, less: Column) -> Column:
-    """Exact two-sided binomial p-value of two counts, ties left out by the caller."""
+    """Exact two-sided binomial p-value of two counts, ties left out by the caller; beyond ``EXACT`` counts to some 12 digits."""
     return F.pandas_udf(_sign_test, "double")(more.cast("long"), less.cast("long"))
 
 
