@@ -30,3 +30,29 @@ def test_large_sign_tests_are_exact():
         n, k = a + b, min(a, b)
         want = 1.0 if n == 0 else min(1.0, float(Fraction(sum(math.comb(n, i) for i in range(k + 1)), 1 << (n - 1))))
         assert math.isclose(evaluate._sign_test(pd.Series([a]), pd.Series([b]))[0], want, rel_tol=1e-11, abs_tol=1e-290)
+
+
+def test_sign_tests_answers_with_large_counts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from scanledger.plans import registry
+
+    d, n = f"file://{tmp_path}", 60_000
+    doc = spark.range(n).withColumnRenamed("id", "doc_id")
+    doc.select("doc_id", F.lit("x").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source")).write.parquet(f"{d}/documents.parquet")
+    doc.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{d}/labels.parquet")
+
+    def late(*_):
+        raise TimeoutError("sign_tests takes too long")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(60)
+    try:
+        row = registry.QUERIES["sign_tests"](spark, d).first()
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+        spark.sparkContext.cancelAllJobs()
+    more, less = row.more, row.less
+    assert more + less > 40_000
+    assert abs(row.p_value - min(1.0, math.erfc(max(abs(more - less) - 1, 0) / math.sqrt(2 * (more + less))))) < 1e-4
