@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import gated, stamp
@@ -150,10 +152,20 @@ def notice_id() -> Column:
 
 
 def mark_notices(ledger: DataFrame, updates: DataFrame) -> DataFrame:
-    """Notices with acknowledged_at and fixed_at from ``updates`` (notice_id, acknowledged_at, fixed_at)."""
+    """Notices with acknowledged_at and fixed_at from ``updates`` (notice_id, acknowledged_at, fixed_at).
+
+    Notices to one server within one second share an id; ``updates`` with a column reference tell them apart by that of the
+    notice.  An update that still means several notices stops the query.  Several of one notice are one update of their
+    latest stamps, and every notice stays one row.
+    """
+    key = ["notice_id", "reference"] if "reference" in updates.columns else ["notice_id"]
     named = ledger.where("kind = 'notice'").withColumn("notice_id", notice_id())
-    u = updates.select("notice_id", F.col("acknowledged_at").alias("u_ack"), F.col("fixed_at").alias("u_fixed"))
-    return named.join(u, "notice_id", "left").withColumn("acknowledged_at", F.coalesce("u_ack", "acknowledged_at")).withColumn("fixed_at", F.coalesce("u_fixed", "fixed_at")).drop("u_ack", "u_fixed")
+    u = updates.groupBy(*[F.col(k).alias(f"u_{k}") for k in key]).agg(F.max("acknowledged_at").alias("u_ack"), F.max("fixed_at").alias("u_fixed"), F.lit(True).alias("u_is"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"u_{k}")) for k in key])
+    several = F.col("u_is") & (F.count("*").over(Window.partitionBy(*key)) > 1)
+    refused = lambda c: F.when(several, F.raise_error(F.concat(F.lit("several notices are meant by "), "notice_id"))).otherwise(c)
+    marked = named.join(u, same, "left")
+    return marked.withColumns({"acknowledged_at": refused(F.coalesce("u_ack", "acknowledged_at")), "fixed_at": refused(F.coalesce("u_fixed", "fixed_at"))}).select(*named.columns)
 
 
 def redact_benchmark(entries: DataFrame, stated: DataFrame, fields: list[str]) -> DataFrame:

@@ -271,7 +271,7 @@ def ledger_summary(spark, d):
 )
 def marked_notices(spark, d):
     led = v.ledger(spark, d)
-    chosen = v.findings(spark, d).where("event_id % 15 = 0").select(F.concat("server_id", F.lit("@"), stamp(F.col("ts"))).alias("notice_id"), (F.col("ts") + F.expr("interval 3 days")).alias("acknowledged_at"), F.lit(None).cast("timestamp").alias("fixed_at"))
+    chosen = v.findings(spark, d).where("event_id % 15 = 0").select(F.concat("server_id", F.lit("@"), stamp(F.col("ts"))).alias("notice_id"), F.col("event_id").cast("string").alias("reference"), (F.col("ts") + F.expr("interval 3 days")).alias("acknowledged_at"), F.lit(None).cast("timestamp").alias("fixed_at"))
     return stamped(disclosure.mark_notices(led, chosen).select("server_id", "notified_at", "acknowledged_at", "fixed_at"), "notified_at", "acknowledged_at", "fixed_at")
 
 

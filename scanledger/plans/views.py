@@ -92,17 +92,17 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices, withdrawals, extensions and opt-outs drawn from events by their ids."""
+    """Notices, withdrawals, extensions and opt-outs drawn from events by their ids; a notice's reference is its event."""
     e, ts = F.col("event_id"), F.col("ts")
     none_ts, none, day = F.lit(None).cast("timestamp"), F.lit(None).cast("string"), F.expr("interval 1 day")
     channel = F.when(e % 3 == 0, "advisory").when(e % 3 == 1, "email").otherwise("contact_request")
 
     def entry(kind: str, keep, **values):
-        fields = {"server_id": F.col("server_id"), "finding_ids": F.lit(None).cast("array<string>"), "finding_id": F.col("finding_id"), "channel": none, "notified_at": none_ts, "until": none_ts, "acknowledged_at": none_ts, "fixed_at": none_ts}
+        fields = {"server_id": F.col("server_id"), "finding_ids": F.lit(None).cast("array<string>"), "finding_id": F.col("finding_id"), "channel": none, "reference": none, "notified_at": none_ts, "until": none_ts, "acknowledged_at": none_ts, "fixed_at": none_ts}
         return F.when(keep, F.struct(F.lit(kind).alias("kind"), *[c.alias(n) for n, c in (fields | values).items()]))
 
     drawn = F.array(
-        entry("notice", e % 5 == 0, finding_ids=F.array("finding_id"), finding_id=none, channel=channel, notified_at=ts, acknowledged_at=F.when(e % 10 == 0, ts + day), fixed_at=F.when(e % 25 == 0, ts + day)),
+        entry("notice", e % 5 == 0, finding_ids=F.array("finding_id"), finding_id=none, channel=channel, reference=e.cast("string"), notified_at=ts, acknowledged_at=F.when(e % 10 == 0, ts + day), fixed_at=F.when(e % 25 == 0, ts + day)),
         entry("withdrawal", e % 50 == 0),
         entry("extension", e % 35 == 0, until=ts + F.expr("interval 120 days")),
         entry("opt_out", e % 100 == 7, server_id=F.lit("s9"), finding_id=none),
